@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def all_cases():
-    from . import companies, market, sentiment
+    from . import companies, market, sentiment, signals, trading
 
-    modules = [market, sentiment, companies]
+    modules = [market, sentiment, companies, signals, trading]
     return [c for m in modules for c in m.CASES]

@@ -100,9 +100,9 @@ CASES = [
     ),
     Case(
         "intrinsic_values_default_rate", "H20",
-        lambda t: rounded(pv.intrinsic_values(t.fundamentals, pv.sector_medians(t.fundamentals)).select("symbol", "intrinsic_gordon", "intrinsic_value")),
+        lambda t: rounded(pv.intrinsic_values(t.fundamentals, pv.sector_medians(t.fundamentals)).select("symbol", "intrinsic_gordon", "intrinsic_value"), 9),
         sql(f"""SELECT symbol, CAST(NULL AS DOUBLE) AS intrinsic_gordon, {rq('''(coalesce(ipe, 0) + coalesce(ipb, 0))
-            / nullif(CAST(ipe IS NOT NULL AS INT) + CAST(ipb IS NOT NULL AS INT), 0)''')} AS intrinsic_value FROM (
+            / nullif(CAST(ipe IS NOT NULL AS INT) + CAST(ipb IS NOT NULL AS INT), 0)''', 9)} AS intrinsic_value FROM (
           SELECT symbol, CASE WHEN eps > 0 AND peer_pe > 0 THEN eps * peer_pe END AS ipe,
             CASE WHEN book_value_per_share > 0 AND peer_pb > 0 THEN book_value_per_share * peer_pb END AS ipb FROM peered)""", **PEERED),
     ),
@@ -137,10 +137,10 @@ CASES = [
         lambda t: rounded(verdict_csv(pd.verdicts(t.composite, t.fundamentals, t.names, 10)).select(
             "symbol", "name", F.col("sentiment_score").cast("double").alias("sentiment_score"),
             F.col("valuation_score").cast("double").alias("valuation_score"),
-            F.col("combined_score").cast("double").alias("combined_score"), "verdict", "confidence")),
+            F.col("combined_score").cast("double").alias("combined_score"), "verdict", "confidence"), 3, combined_score=1),
         sql(
-            f"""SELECT symbol, coalesce(name, symbol) AS name, {rq('s', 4)} AS sentiment_score, {rq('v', 4)} AS valuation_score,
-              {rq('greatest(least((s + 5) * 10, 100), 0) * 0.5 + greatest(least((v + 0.5) * 100, 100), 0) * 0.5', 2)} AS combined_score,
+            f"""SELECT symbol, coalesce(name, symbol) AS name, {rq('s', 3)} AS sentiment_score, {rq('v', 3)} AS valuation_score,
+              {rq('greatest(least((s + 5) * 10, 100), 0) * 0.5 + greatest(least((v + 0.5) * 100, 100), 0) * 0.5', 1)} AS combined_score,
               CASE WHEN s < 0 AND v > 0 THEN 'BUY' ELSE 'HOLD' END AS verdict,
               printf('%.2f', CASE WHEN s < 0 AND v > 0 THEN least(0.9, 0.5 + abs(s) * 0.1 + abs(v)) ELSE 0.5 END) AS confidence
               FROM picked JOIN market_value USING (symbol) LEFT JOIN names USING (symbol)""",
