@@ -223,7 +223,7 @@ CASES = [
         lambda t: rounded(asof_join(
             t.sentiment_raw.withColumn("ts", F.expr("ts - interval 8400 days")).select("symbol", "ts", "event_id"),
             t.fills.groupBy("symbol", "ts").agg(F.max("price").alias("price")),
-            ["symbol"], "ts", "price", ["event_id"], spread=True).select("symbol", "event_id", "price")),
+            ["symbol"], "ts", "price", ["event_id"], True).select("symbol", "event_id", "price")),
         sql(f"""SELECT e.symbol, e.event_id, {rq('f.price')} AS price
           FROM (SELECT symbol, ts - INTERVAL 8400 DAYS AS ts, event_id FROM sentiment_raw) e
           ASOF LEFT JOIN (SELECT symbol, ts, max(price) AS price FROM fills GROUP BY symbol, ts) f

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .segments import ordered_segments, running
+from .segments import ordered, running
 
 
 def value_as_of(df: DataFrame, keys: Sequence[str], ts: str, value: str, as_of) -> DataFrame:
@@ -22,22 +22,21 @@ def asof_join(
     ts: str,
     value: str,
     tie: Sequence[str] = (),
-    spread: bool = False,
+    unbounded: bool = False,
+    limit: int | None = None,
 ) -> DataFrame:
     """Give each left row the last right value of its key at or before its time.
 
     Both sides become one ordered stream per key, right rows first at equal times, and the value is
-    carried forward; no pair of rows is ever formed.  ``spread`` uses range segments, for keys that
-    may be larger than a task.  ``tie`` must then make left rows unique within (keys, ts).
+    carried forward; no pair of rows is ever formed.  ``unbounded`` is for keys without a natural
+    bound on their rows; ``tie`` must then make left rows unique within (keys, ts).
     """
     both = left.withColumn("_side", F.lit(1)).unionByName(
         right.select(*keys, ts, value).withColumn("_side", F.lit(0)), allowMissingColumns=True
     )
     order = [ts, "_side", *tie]
-    if spread:
-        filled = running(ordered_segments(both, keys, order), keys, order, {value: ("last", F.col(value))}).drop(
-            "segment"
-        )
+    if unbounded:
+        filled = running(ordered(both, keys, order, limit), {value: ("last", F.col(value))}).rows()
     else:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         filled = both.withColumn(value, F.last(value, ignorenulls=True).over(w))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .segments import SEGMENT, ordered_segments
+from .segments import SEGMENT, ordered
 
 # Earlier than any time, in microseconds: nothing accepted yet.
 NEVER = -(2**62)
@@ -80,28 +80,30 @@ def _walk(pause: int, order: list[str]):
 
 
 def accept_after_cooldown(
-    df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], minutes: int = 60
+    df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], minutes: int = 60, limit: int | None = None
 ) -> DataFrame:
     """Add ``accepted``: the first row of a key, and each row at least ``minutes`` after the last
     accepted one.
 
-    The outcome of a stretch of rows depends on the rows before it only through the last accepted
-    time, and that dependence is a short step function.  So stretches are summarised in parallel,
-    the summaries are walked per key (one row per stretch), and the stretches are marked in parallel.
+    Where a key is too large for one task, its rows are cut into stretches.  The outcome of a
+    stretch depends on the rows before it only through the last accepted time, and that dependence
+    is a short step function.  So stretches are summarised in parallel, the summaries are walked per
+    key (one row per stretch), and the stretches are marked in parallel.
     """
     pause = minutes * 60_000_000
-    order = [ts, *tie]
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    cut = ordered_segments(df.withColumn("_us", micros), keys, order)
-    part = [*keys, SEGMENT]
-    kinds = dict(cut.dtypes)
-    head = ", ".join(f"`{k}` {kinds[k]}" for k in part)
-    summary = (
-        cut.select(*part, "_us")
-        .groupBy(*part)
-        .applyInPandas(_summary(pause), f"{head}, starts array<bigint>, ends array<bigint>")
-    )
-    entries = summary.groupBy(*keys).applyInPandas(_entries(pause), f"{head}, _before bigint")
-    rows = cut.join(entries, part)
+    cut = ordered(df.withColumn("_us", micros), keys, [ts, *tie], limit)
+    rows = cut.df.withColumn("_before", F.lit(NEVER))
+    if cut.split:
+        kinds = dict(cut.df.dtypes)
+        head = ", ".join(f"`{k}` {kinds[k]}" for k in cut.parts)
+        summary = (
+            cut.df.select(*cut.parts, "_us")
+            .groupBy(*cut.parts)
+            .applyInPandas(_summary(pause), f"{head}, starts array<bigint>, ends array<bigint>")
+        )
+        entries = summary.groupBy(*keys).applyInPandas(_entries(pause), f"{head}, _before bigint")
+        rows = cut.df.join(entries, cut.parts)
     out = ", ".join(f"`{n}` {k}" for n, k in rows.dtypes if n != "_before") + ", accepted boolean"
-    return rows.groupBy(*part).applyInPandas(_walk(pause, ["_us", *tie]), out).drop("_us", SEGMENT)
+    marked = rows.groupBy(*cut.parts).applyInPandas(_walk(pause, ["_us", *tie]), out)
+    return marked.drop("_us", SEGMENT)

@@ -7,13 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .segments import SEGMENT, ordered_segments, positions, running
+from .segments import ordered, running
 
-# Rows folded at a time; three levels cover 8192^3 rows of one key.
+# Rows folded at a time.
 FOLD = 8192
 
 
-def fifo_ranks(trades: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def fifo_ranks(
+    trades: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int | None = None
+) -> DataFrame:
     """Number BUY and SELL rows so that equal numbers belong together (``pair_no``).
 
     A SELL takes the oldest open BUY; with none open it pairs with nothing and gets NULL.
@@ -23,37 +25,43 @@ def fifo_ranks(trades: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     """
     buy = F.col("side") == "BUY"
     step = F.when(buy, 1).otherwise(-1).cast("long")
+    before = F.col("_level") - step
     counted = running(
-        ordered_segments(trades, keys, order),
-        keys,
-        order,
+        ordered(trades, keys, order, limit),
         {
             "_level": ("sum", step),
             "_buys": ("sum", buy.cast("long")),
             "_sells": ("sum", (~buy).cast("long")),
         },
     )
-    before = F.col("_level") - step
-    ranked = running(counted, keys, order, {"_low": ("min", before)})
+    ranked = running(counted, {"_low": ("min", before)}).rows()
     open_buys = before - F.col("_low")
     return ranked.withColumn(
         "pair_no",
         F.when(buy, F.col("_buys")).when(open_buys > 0, F.col("_sells") + F.col("_low")),
-    ).drop("_level", "_buys", "_sells", "_low", SEGMENT)
+    ).drop("_level", "_buys", "_sells", "_low")
 
 
 def fifo_pairs(
-    trades: DataFrame, keys: Sequence[str], order: Sequence[str], carry: Sequence[str]
+    trades: DataFrame, keys: Sequence[str], order: Sequence[str], carry: Sequence[str], limit: int | None = None
 ) -> DataFrame:
     """One row per closed round trip with the carried columns of both sides.
 
-    The join key (key, pair_no) is unique on either side, so a large key spreads over all tasks.
+    Both sides meet in a group of two rows, (key, pair_no), so a large key spreads over all tasks.
     """
-    ranked = fifo_ranks(trades, keys, order)
-    side = lambda name, tag: ranked.filter(
-        (F.col("side") == name) & F.col("pair_no").isNotNull()
-    ).select(*keys, "pair_no", *(F.col(c).alias(f"{tag}_{c}") for c in carry))
-    return side("BUY", "buy").join(side("SELL", "sell"), [*keys, "pair_no"])
+    ranked = fifo_ranks(trades.select(*keys, *order, "side", *(c for c in carry if c not in order)), keys, order, limit)
+    halves = [
+        F.max(F.when(F.col("side") == side, F.col(c))).alias(f"{side.lower()}_{c}")
+        for side in ("BUY", "SELL")
+        for c in carry
+    ]
+    return (
+        ranked.filter(F.col("pair_no").isNotNull())
+        .groupBy(*keys, "pair_no")
+        .agg(F.count(F.lit(1)).alias("_n"), *halves)
+        .filter("_n = 2")
+        .drop("_n")
+    )
 
 
 # State of the average-cost fold, as a map of the cost c and the open profit r that come in:
@@ -110,23 +118,27 @@ def _fold(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def average_cost_book(
-    fills: DataFrame, keys: Sequence[str], order: Sequence[str], qty: str = "qty", price: str = "price"
+    fills: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    qty: str = "qty",
+    price: str = "price",
+    limit: int | None = None,
+    fold: int = FOLD,
 ) -> DataFrame:
     """Quantity, average cost and realised profit per key from signed fills.
 
     Adding moves the cost to the weighted mean, reducing realises profit at the standing cost,
     crossing zero restarts at the fill price.  The quantity is a running sum; given it, each fill
     maps the cost affinely, and such maps compose.  So the fold runs in short stretches of one key
-    in parallel and then over the stretches.
+    in parallel and then over the stretches, as many times as the largest key needs.
     """
     moved = fills.select(*keys, *order, F.col(qty).alias("qty"), F.col(price).alias("price")).filter("qty <> 0")
     one = running(
-        ordered_segments(moved, keys, order),
-        keys,
-        order,
+        ordered(moved, keys, order, limit),
         {"_held": ("sum", F.col("qty")), "idx": ("sum", F.lit(1).cast("long"))},
-    ).withColumn("idx", F.col("idx") - 1)
-    steps = one.select(
+    )
+    steps = one.df.withColumn("idx", F.col("idx") - 1).select(
         *keys,
         "idx",
         "qty",
@@ -135,9 +147,11 @@ def average_cost_book(
         F.col("price").alias("last_price"),
         *(c.alias(n) for n, c in _fill_step(F.col("qty"), F.col("price"), F.col("_held") - F.col("qty")).items()),
     )
-    for _ in range(2):
+    length = one.largest
+    while length > fold:
         by = [*keys, "chunk"]
-        steps = _fold(steps.withColumn("chunk", F.floor(F.col("idx") / FOLD)), by).withColumnRenamed("chunk", "idx")
+        steps = _fold(steps.withColumn("chunk", F.floor(F.col("idx") / fold)), by).withColumnRenamed("chunk", "idx")
+        length = -(-length // fold)
     book = _fold(steps, keys)
     open_ = F.col("qty") != 0
     return book.select(

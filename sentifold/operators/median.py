@@ -7,19 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .segments import ordered_segments, running
+from .segments import ordered, running
 
 
-def exact_medians(df: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
+def exact_medians(df: DataFrame, key: str, values: Sequence[str], limit: int | None = None) -> DataFrame:
     """One row per key with the median of each column, NULLs left out.
 
-    Equal values are counted before they move.  The counts are then accumulated in value order by
-    range segments and the one or two middle values picked, so no group is held in one buffer.
+    Equal values are counted before they move.  The counts are then accumulated in value order and
+    the one or two middle values picked, so no group is held in one buffer.
     """
     long_ = df.select(key, *values).unpivot([key], list(values), "_name", "_v").filter(F.col("_v").isNotNull())
     counts = long_.groupBy(key, "_name", "_v").agg(F.count(F.lit(1)).alias("_n"))
     keys = [key, "_name"]
-    cum = running(ordered_segments(counts, keys, ["_v"]), keys, ["_v"], {"_upto": ("sum", F.col("_n"))})
+    cum = running(ordered(counts, keys, ["_v"], limit), {"_upto": ("sum", F.col("_n"))}).rows()
     sizes = cum.groupBy(*keys).agg(F.sum("_n").alias("_size"))
     holds = lambda rank: (F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank)
     low, high = F.floor((F.col("_size") - 1) / 2), F.floor(F.col("_size") / 2)

@@ -1,11 +1,12 @@
 """Ordered computation over keys of any size.
 
-A plain window puts all rows of a key into one task, which fails when one key owns a third of a
-large ledger.  Here rows are spread by *range* over (key, order): each partition holds a contiguous
-stretch of rows, a large key simply covers many partitions, and a stretch of one key inside one
-partition is a segment.  A running value is then two cheap steps: a window inside (key, segment),
-and a carry computed over one summary row per segment.  A key has at most as many segments as there
-are partitions, so the carry window is small whatever the key holds.
+A plain window puts all rows of a key into one task.  That is the cheapest plan while every key is
+small, and it fails when one key owns a third of a large ledger.  So the largest key is counted
+first (one narrow scan), and only when it exceeds what a task should hold are rows spread by *range*
+over (key, order): each partition then holds a contiguous stretch of rows, a large key covers many
+partitions, and a stretch of one key inside one partition is a segment.  A running value is then a
+window inside (key, segment) plus a carry computed over one summary row per segment.  A key has at
+most as many segments as there are partitions, so the carry window is small whatever the key holds.
 
 The order columns must identify a row within its key.
 """
@@ -13,6 +14,7 @@ The order columns must identify a row within its key.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +23,9 @@ from .durable import durable
 
 SEGMENT = "segment"
 
+# Rows of one key that a single task may sort and scan.
+ROWS_PER_TASK = 1_000_000
+
 _MERGE = {
     "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + b),
     "min": (F.min, lambda a, b: F.least(a, b)),
@@ -29,52 +34,75 @@ _MERGE = {
 }
 
 
-def ordered_segments(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Spread rows by (keys, order) and number the stretches.
+@dataclass(frozen=True)
+class Ordered:
+    """Rows with a known order inside each key, cut into segments where a key is too large."""
+
+    df: DataFrame
+    keys: tuple[str, ...]
+    order: tuple[str, ...]
+    largest: int
+    split: bool
+
+    @property
+    def parts(self) -> list[str]:
+        """Columns of a group that fits one task."""
+        return [*self.keys, SEGMENT] if self.split else list(self.keys)
+
+    def rows(self) -> DataFrame:
+        return self.df.drop(SEGMENT)
+
 
-    The result is written once: range bounds come from a sample, so two evaluations could cut the
-    rows differently, and every step below must see the same cut.
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest key: counted map-side first, and one number reaches the driver."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.max("n")).first()[0] or 0
+
+
+def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int | None = None) -> Ordered:
+    """Order rows by ``order`` inside each key, spreading them by range when a key exceeds ``limit``.
+
+    Spread rows are written once: range bounds come from a sample, so two evaluations could cut the
+    rows differently, and every later step must see the same cut.
     """
+    keys, order = tuple(keys), tuple(order)
+    largest = largest_group(df, keys)
+    if largest <= (ROWS_PER_TASK if limit is None else limit):
+        return Ordered(df, keys, order, largest, False)
     spread = df.repartitionByRange(*keys, *order).withColumn(SEGMENT, F.spark_partition_id())
-    return durable(spread)
+    return Ordered(durable(spread), keys, order, largest, True)
 
 
-def running(
-    segmented: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    measures: dict[str, tuple[str, Column]],
-) -> DataFrame:
+def running(rows: Ordered, measures: dict[str, tuple[str, Column]]) -> Ordered:
     """Add running values, current row included, over the full order of each key.
 
     ``measures`` maps an output name to (kind, column) with kind sum, min, max or last.
     """
     inside = (
-        Window.partitionBy(*keys, SEGMENT).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy(*rows.parts).orderBy(*rows.order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    earlier = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    if not rows.split:
+        values = {name: _MERGE[kind][0](column).over(inside) for name, (kind, column) in measures.items()}
+        return replace(rows, df=rows.df.withColumns(values))
 
-    summary_aggs, carry_cols, local_cols, merged = [], [], {}, {}
+    earlier = Window.partitionBy(*rows.keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    totals, carries, local, merged = [], [], {}, {}
     for name, (kind, column) in measures.items():
         fold, merge = _MERGE[kind]
-        local, carry = f"_local_{name}", f"_carry_{name}"
-        local_cols[local] = fold(column).over(inside)
-        if kind == "last":
-            # The last value of a segment needs the row order inside the segment.
-            rank = F.when(column.isNotNull(), F.struct(*order))
-            summary_aggs.append(F.max_by(column, rank).alias(name))
+        here, before = f"_local_{name}", f"_carry_{name}"
+        local[here] = fold(column).over(inside)
+        if kind == "last":  # the last value of a segment depends on the row order inside it
+            totals.append(F.max_by(column, F.when(column.isNotNull(), F.struct(*rows.order))).alias(name))
         else:
-            summary_aggs.append(fold(column).alias(name))
-        carry_cols.append(fold(F.col(name)).over(earlier).alias(carry))
-        merged[name] = merge(F.col(carry), F.col(local))
-
-    summary = segmented.groupBy(*keys, SEGMENT).agg(*summary_aggs)
-    carries = summary.select(*keys, SEGMENT, *carry_cols)
-    out = segmented.withColumns(local_cols).join(carries, [*keys, SEGMENT])
-    return out.withColumns(merged).drop(*local_cols, *(f"_carry_{n}" for n in measures))
+            totals.append(fold(column).alias(name))
+        carries.append(fold(F.col(name)).over(earlier).alias(before))
+        merged[name] = merge(F.col(before), F.col(here))
+    summary = rows.df.groupBy(*rows.parts).agg(*totals).select(*rows.parts, *carries)
+    out = rows.df.withColumns(local).join(summary, rows.parts).withColumns(merged)
+    return replace(rows, df=out.drop(*local, *(f"_carry_{n}" for n in measures)))
 
 
-def positions(segmented: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "pos") -> DataFrame:
+def positions(rows: Ordered, name: str = "pos") -> Ordered:
     """Exact zero-based position of each row within its key (or overall, with no keys)."""
-    out = running(segmented, keys, order, {name: ("sum", F.lit(1).cast("long"))})
-    return out.withColumn(name, F.col(name) - 1)
+    out = running(rows, {name: ("sum", F.lit(1).cast("long"))})
+    return replace(out, df=out.df.withColumn(name, F.col(name) - 1))

@@ -207,19 +207,19 @@ def performance_report(
     curve: DataFrame, trades: DataFrame, order: Sequence[str], p: CostParams = CostParams(), stop: bool = True
 ) -> DataFrame:
     """The published one-row report from an equity curve and a trade table."""
-    stats = trade_statistics(round_trips(trades, order))
+    stats = trade_statistics(round_trips(trades, order)).select(F.struct("win_rate", "profit_factor", "no_losses"))
     total = trades.agg(F.count(F.lit(1))).scalar()
-    return curve_measures(curve, p, stop).select(
+    return curve_measures(curve, p, stop).withColumn("_s", stats.scalar()).select(
         "initial_capital",
         "final_capital",
         "total_return",
         "annualized_return",
         "sharpe_ratio",
         "max_drawdown",
-        stats.select("win_rate").scalar().alias("win_rate"),
+        "_s.win_rate",
         total.alias("total_trades"),
-        stats.select("profit_factor").scalar().alias("profit_factor"),
-        stats.select("no_losses").scalar().alias("no_losses"),
+        "_s.profit_factor",
+        "_s.no_losses",
     )
 
 
@@ -235,19 +235,19 @@ def first_touch(
     ``bars``: symbol, day, close and optionally mood, v.  Each bar looks ahead over a fixed number
     of rows of its own series, so no entry is paired with all bars of its symbol.
     """
-    extra = [F.col(c) if c in bars.columns else F.lit(None).cast("double").alias(c) for c in ("mood", "v")]
+    extra = [c for c in ("mood", "v") if c in bars.columns]
+    unknown = F.lit(None).cast("double")
     ahead = Window.partitionBy("symbol").orderBy("day").rowsBetween(1, horizon)
-    path = bars.select("symbol", "day", "close", *extra).withColumn(
-        "path", F.collect_list(F.struct("day", "close", "mood", "v")).over(ahead)
-    )
+    path = bars.select("symbol", "day", F.collect_list(F.struct("day", "close", *extra)).over(ahead).alias("path"))
     why = lambda b: t.exit_reason(
-        F.col("signal_type"), b["close"], F.col("stop_loss"), F.col("take_profit"), b["mood"], b["v"], p
-    )
+        F.col("signal_type"), b["close"], F.col("stop_loss"), F.col("take_profit"),
+        *(b[c] if c in extra else unknown for c in ("mood", "v")), p,
+    )
     hits = F.filter(
         F.transform("path", lambda b: F.struct(b["day"].alias("day"), b["close"].alias("close"), why(b).alias("why"))),
         lambda h: h["why"].isNotNull(),
     )
-    touched = entries.join(path.select("symbol", "day", "path"), ["symbol", "day"]).withColumn(
+    touched = entries.join(path, ["symbol", "day"]).withColumn(
         "hit", F.try_element_at(hits, F.lit(1))
     )
     gain = t.return_pct(F.col("signal_type") == "BUY", F.col("entry_price"), F.col("hit.close"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import mood
 from ..functions.basic import first_existing, or_zero, parse_iso, strip_exchange, usable_symbol
-from ..operators.segments import SEGMENT, ordered_segments, positions
+from ..operators.segments import ordered, positions
 from ..params import CODE_HEADERS
 from ..sources.vendor import (
     MISSING,
@@ -35,19 +35,18 @@ def _observation(df: DataFrame, source: str, score: Column, confidence: Column,
     )
 
 
-def popularity(hot_rank: DataFrame, dense_rank: bool = False) -> DataFrame:
+def popularity(hot_rank: DataFrame, dense_rank: bool = False, limit: int | None = None) -> DataFrame:
     """raw_symbol, popularity = 1 - position/total in the ranking, unusable codes still counting.
 
-    With a dense rank the position is rank - 1.  Otherwise positions are counted by range segments,
-    never by one global window.
+    With a dense rank the position is rank - 1.  Otherwise positions are counted, by range segments
+    where the ranking is longer than one task should hold.
     """
     code = first_existing(hot_rank, ("code", *CODE_HEADERS[:1]), MISSING).cast("string")
     ranked = hot_rank.select(code.alias("raw_symbol"), F.col("rank").cast("long").alias("rank"))
     if dense_rank:
         placed = ranked.withColumn("pos", F.col("rank") - 1)
     else:
-        order = ["rank", "raw_symbol"]
-        placed = positions(ordered_segments(ranked, [], order), [], order).drop(SEGMENT)
+        placed = positions(ordered(ranked, [], ["rank", "raw_symbol"], limit)).rows()
     total = hot_rank.agg(F.count(F.lit(1))).scalar()
     return (
         placed.withColumn("popularity", 1 - F.col("pos") / total)
