@@ -19,25 +19,21 @@ class Case:
     sql: str | None = None
 
 
-# Share of the last digit added before rounding.  Values that end exactly on half a digit are common
-# here (cents over 16 or 32 shares) and the engines break such ties differently; the shift moves the
-# border to where no short decimal lies, and leaves values already on the grid as they are.
-SHIFT = 0.3718281828
-
-
-def _shift(digits: int) -> str:
-    return f"{SHIFT}e-{digits}"
+# Share of the last digit added before cutting.  One half would round as usual, but values that end
+# exactly on half a digit are common here (cents over 16 or 32 shares) and may land on either side;
+# with this share no short decimal lies on the border, and values already on the grid stay put.
+SHARE = 0.8718281828
 
 
 def rd(column: Column | str, digits: int = 6) -> Column:
-    """Rounded, and never a negative zero."""
+    """Rounded by plain arithmetic, the same in both engines."""
     c = F.col(column) if isinstance(column, str) else column
-    return F.round(c + F.lit(float(_shift(digits))), digits) + F.lit(0.0)
+    return F.floor(c * F.lit(float(10**digits)) + F.lit(SHARE)) / F.lit(float(10**digits))
 
 
 def rq(text: str, digits: int = 6) -> str:
     """The same in SQL."""
-    return f"round({text} + {_shift(digits)}, {digits}) + 0.0"
+    return f"floor(CAST({text} AS DOUBLE) * 1e{digits} + {SHARE}) / 1e{digits}"
 
 
 def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:

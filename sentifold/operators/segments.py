@@ -25,6 +25,8 @@ SEGMENT = "segment"
 
 # Rows of one key that a single task may sort and scan.
 ROWS_PER_TASK = 1_000_000
+# Range partitions at most; beyond it partitions grow instead, and sorts spill.
+MAX_PARTITIONS = 50_000
 
 _MERGE = {
     "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + b),
@@ -53,10 +55,11 @@ class Ordered:
         return self.df.drop(SEGMENT)
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest key: counted map-side first, and one number reaches the driver."""
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """Rows of the largest key and of all keys: counted map-side first, two numbers reach the driver."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0
+    largest, total = counts.agg(F.max("n"), F.sum("n")).first()
+    return largest or 0, total or 0
 
 
 def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int | None = None) -> Ordered:
@@ -66,10 +69,13 @@ def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int
     rows differently, and every later step must see the same cut.
     """
     keys, order = tuple(keys), tuple(order)
-    largest = largest_group(df, keys)
-    if largest <= (ROWS_PER_TASK if limit is None else limit):
+    limit = ROWS_PER_TASK if limit is None else limit
+    largest, total = group_sizes(df, keys)
+    if largest <= limit:
         return Ordered(df, keys, order, largest, False)
-    spread = df.repartitionByRange(*keys, *order).withColumn(SEGMENT, F.spark_partition_id())
+    wanted = min(-(-total // limit), MAX_PARTITIONS)
+    parts = max(wanted, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = df.repartitionByRange(parts, *keys, *order).withColumn(SEGMENT, F.spark_partition_id())
     return Ordered(durable(spread), keys, order, largest, True)
 
 

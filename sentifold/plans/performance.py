@@ -243,13 +243,8 @@ def first_touch(
         F.col("signal_type"), b["close"], F.col("stop_loss"), F.col("take_profit"),
         *(b[c] if c in extra else unknown for c in ("mood", "v")), p,
     )
-    hits = F.filter(
-        F.transform("path", lambda b: F.struct(b["day"].alias("day"), b["close"].alias("close"), why(b).alias("why"))),
-        lambda h: h["why"].isNotNull(),
-    )
-    touched = entries.join(path, ["symbol", "day"]).withColumn(
-        "hit", F.try_element_at(hits, F.lit(1))
-    )
+    first = F.try_element_at(F.filter("path", lambda b: why(b).isNotNull()), F.lit(1))
+    touched = entries.join(path, ["symbol", "day"]).withColumn("hit", first)
     gain = t.return_pct(F.col("signal_type") == "BUY", F.col("entry_price"), F.col("hit.close"))
     return touched.select(
         "symbol",
@@ -257,6 +252,6 @@ def first_touch(
         "signal_type",
         "entry_price",
         F.col("hit.day").alias("exit_day"),
-        F.coalesce("hit.why", F.lit("open")).alias("exit_reason"),
+        F.coalesce(why(F.col("hit")), F.lit("open")).alias("exit_reason"),
         gain.alias("exit_return"),
     )
