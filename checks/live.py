@@ -140,12 +140,12 @@ CASES = [
               sum(position_size) OVER (PARTITION BY run, signal_type) AS total FROM scaled)"""),
     ),
     Case(
-        "correlated_symbols", "S2",
-        lambda t: rounded(rules.correlated_pairs(
-            t.bars.select("symbol", "day", "close"), t.bars.select("symbol").distinct(), 0.02), 5),
-        sql(f"""SELECT symbol_a, symbol_b, n_days, {rq('c', 5)} AS correlation FROM (
-          SELECT a.symbol AS symbol_a, b.symbol AS symbol_b, count(*) AS n_days, corr(a.ret, b.ret) AS c FROM returns a JOIN returns b
-          ON a.day = b.day AND a.symbol < b.symbol AND a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY 1, 2) WHERE n_days >= 20 AND c > 0.02""", **RETURNS),
+        "crowded_symbols", "S2",
+        lambda t: rounded(rules.crowded_symbols(
+            t.bars.select("symbol", "day", "close"), t.bars.select("symbol").distinct(), -0.02), 5),
+        sql(f"""SELECT symbol, n_days, {rq('c', 5)} AS correlation FROM (SELECT symbol, count(*) AS n_days, corr(ret, others) AS c FROM (
+          SELECT symbol, ret, (sum(ret) OVER (PARTITION BY day) - ret) / nullif(count(*) OVER (PARTITION BY day) - 1, 0) AS others
+          FROM returns WHERE ret IS NOT NULL) WHERE others IS NOT NULL GROUP BY symbol) WHERE n_days >= 20 AND c > -0.02""", **RETURNS),
     ),
     Case(
         "liquid_bars", "S3",

@@ -33,19 +33,20 @@ def cap_sides(signals: DataFrame, long_limit: float = 0.30, short_limit: float =
     return signals.withColumn("position_size", F.col("position_size") * F.coalesce(factor, F.lit(1.0)))
 
 
-def correlated_pairs(bars: DataFrame, symbols: DataFrame, limit: float = 0.7, min_days: int = 20) -> DataFrame:
-    """Pairs of the given candidate symbols whose daily returns move together.
+def crowded_symbols(bars: DataFrame, symbols: DataFrame, limit: float = 0.7, min_days: int = 20) -> DataFrame:
+    """Candidates whose daily returns move with those of the other candidates.
 
-    Quadratic in the candidates by its nature, so it takes the few symbols of one portfolio: their
-    returns of one day form one short list, and pairs of a day come from that list.
+    Each symbol is held against the mean return of all others on the same day, which takes one sum
+    per day instead of a row per pair of symbols.
     """
     wanted = bars.join(symbols.select("symbol"), "symbol", "left_semi")
     returns = with_return(wanted, ["symbol"], ["day"]).filter("ret is not null").select("symbol", "day", "ret")
-    left = returns.select(F.col("symbol").alias("symbol_a"), "day", F.col("ret").alias("ret_a"))
-    right = returns.select(F.col("symbol").alias("symbol_b"), "day", F.col("ret").alias("ret_b"))
-    pairs = left.join(right, "day").filter("symbol_a < symbol_b")
-    found = pairs.groupBy("symbol_a", "symbol_b").agg(
-        F.count(F.lit(1)).alias("n_days"), F.corr("ret_a", "ret_b").alias("correlation")
+    basket = returns.groupBy("day").agg(F.sum("ret").alias("_sum"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    others = (F.col("_sum") - F.col("ret")) / (F.col("_n") - 1)
+    found = (
+        returns.join(basket, "day")
+        .groupBy("symbol")
+        .agg(F.count(F.lit(1)).alias("n_days"), F.corr("ret", others).alias("correlation"))
     )
     return found.filter((F.col("n_days") >= min_days) & (F.col("correlation") > limit))
 

@@ -12,10 +12,10 @@ from ..functions.basic import first_existing, or_zero, parse_iso, strip_exchange
 from ..operators.segments import ordered, positions
 from ..params import CODE_HEADERS
 from ..sources.vendor import (
-    MISSING,
     dragon_tiger_table,
     fund_flow_table,
     margin_table,
+    missing,
     northbound_table,
     spot_table,
 )
@@ -41,7 +41,7 @@ def popularity(hot_rank: DataFrame, dense_rank: bool = False, limit: int | None
     With a dense rank the position is rank - 1.  Otherwise positions are counted, by range segments
     where the ranking is longer than one task should hold.
     """
-    code = first_existing(hot_rank, ("code", *CODE_HEADERS[:1]), MISSING).cast("string")
+    code = first_existing(hot_rank, ("code", *CODE_HEADERS[:1]), missing()).cast("string")
     ranked = hot_rank.select(code.alias("raw_symbol"), F.col("rank").cast("long").alias("rank"))
     if dense_rank:
         placed = ranked.withColumn("pos", F.col("rank") - 1)

@@ -221,7 +221,7 @@ def _text_columns(df: DataFrame) -> list[Column]:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.select(*_text_columns(df)).write.mode("overwrite").csv(path, header=True)
+    df.select(*_text_columns(df)).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def trade_report(trades: DataFrame) -> DataFrame:

@@ -19,7 +19,8 @@ from ..params import (
     SPOT_VOLUME_HEADERS,
 )
 
-MISSING = F.lit(None).cast("string")
+def missing() -> Column:
+    return F.lit(None).cast("string")
 
 
 def read_landed(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None, **options) -> DataFrame:
@@ -43,7 +44,7 @@ def spot_table(df: DataFrame) -> DataFrame:
     """symbol, change_pct, volume"""
     return _keyed(
         df,
-        first_existing(df, ("code", *CODE_HEADERS[:1]), MISSING),
+        first_existing(df, ("code", *CODE_HEADERS[:1]), missing()),
         change_pct=parse_number(first_existing(df, ("change_pct", *SPOT_CHANGE_HEADERS), F.lit(0.0)), ""),
         volume=parse_number(first_existing(df, ("volume", *SPOT_VOLUME_HEADERS), F.lit(0.0))),
     )
@@ -53,7 +54,7 @@ def dragon_tiger_table(df: DataFrame) -> DataFrame:
     """symbol, net_buy"""
     return _keyed(
         df,
-        first_existing(df, ("code", *CODE_HEADERS), MISSING),
+        first_existing(df, ("code", *CODE_HEADERS), missing()),
         net_buy=parse_number(first_existing(df, ("net_buy", *DRAGON_TIGER_HEADERS), F.lit(0.0))),
     )
 
@@ -62,7 +63,7 @@ def northbound_table(df: DataFrame) -> DataFrame:
     """symbol, holding_change as a fraction"""
     change = first_existing(df, ("change_pct", *NORTHBOUND_HEADERS), F.lit(0.0))
     return _keyed(
-        df, first_existing(df, ("code", *CODE_HEADERS), MISSING), holding_change=parse_number(change, "%") / 100
+        df, first_existing(df, ("code", *CODE_HEADERS), missing()), holding_change=parse_number(change, "%") / 100
     )
 
 
@@ -70,7 +71,7 @@ def fund_flow_table(df: DataFrame) -> DataFrame:
     """symbol, main_net, retail_net"""
     return _keyed(
         df,
-        first_existing(df, ("code", *CODE_HEADERS), MISSING),
+        first_existing(df, ("code", *CODE_HEADERS), missing()),
         main_net=parse_number(first_existing(df, ("main_net", *MAIN_FLOW_HEADERS), F.lit(0.0))),
         retail_net=parse_number(first_existing(df, ("retail_net", *RETAIL_FLOW_HEADERS), F.lit(0.0))),
     )
@@ -85,7 +86,7 @@ def margin_table(*exchanges: DataFrame) -> DataFrame:
     for other in exchanges[1:]:
         both = both.unionByName(other, allowMissingColumns=True)
     headers = [h for h in ("code", *MARGIN_CODE_HEADERS) if h in both.columns]
-    balance = first_existing(both, ("balance", *MARGIN_BALANCE_HEADERS), MISSING)
+    balance = first_existing(both, ("balance", *MARGIN_BALANCE_HEADERS), missing())
     if not headers or not {"balance", *MARGIN_BALANCE_HEADERS} & set(both.columns):
         return both.sparkSession.createDataFrame([], "symbol string, balance double")
     code = F.coalesce(*(F.col(f"`{h}`").cast("string") for h in headers))
