@@ -55,6 +55,21 @@ def verdict_case(name: str, covers: str, n: int, bottom: bool, scale: float) ->
     )
 
 
+def _report(t):
+    """The text report: its decimals, and that each text lies within half a digit of its number."""
+    rows = pd.verdicts(t.composite, t.fundamentals, t.names, 10)
+    texts = {"sentiment": ("sentiment_score", 4), "valuation": ("valuation_score", 4), "combined": ("combined_score", 2)}
+    report = verdict_csv(rows).select(
+        "symbol", "name", "verdict", "confidence", *(F.col(c).alias(f"{n}_text") for n, (c, _) in texts.items())
+    )
+    both = report.join(rows.select("symbol", *(c for c, _ in texts.values())), "symbol")
+    return both.select(
+        "symbol", "name", "verdict", "confidence",
+        *(F.length(F.substring_index(f"{n}_text", ".", -1)).cast("bigint").alias(f"{n}_decimals") for n in texts),
+        *((F.abs(F.col(f"{n}_text").cast("double") - F.col(c)) <= 0.50001 * 10.0**-d).alias(f"{n}_near") for n, (c, d) in texts.items()),
+    )
+
+
 CASES = [
     Case(
         "sector_medians", "D20", lambda t: rounded(pv.sector_medians(t.fundamentals)),
@@ -133,16 +148,11 @@ CASES = [
     verdict_case("verdict_bottom_scaled", "K12, H28", 100, True, 5.0),
     verdict_case("verdict_top_scaled", "K12, H28", 100, False, 5.0),
     Case(
-        "verdict_report", "A14",
-        lambda t: rounded(verdict_csv(pd.verdicts(t.composite, t.fundamentals, t.names, 10)).select(
-            "symbol", "name", F.col("sentiment_score").cast("double").alias("sentiment_score"),
-            F.col("valuation_score").cast("double").alias("valuation_score"),
-            F.col("combined_score").cast("double").alias("combined_score"), "verdict", "confidence"), 3, combined_score=1),
-        sql(
-            f"""SELECT symbol, coalesce(name, symbol) AS name, {rq('s', 3)} AS sentiment_score, {rq('v', 3)} AS valuation_score,
-              {rq('greatest(least((s + 5) * 10, 100), 0) * 0.5 + greatest(least((v + 0.5) * 100, 100), 0) * 0.5', 1)} AS combined_score,
-              CASE WHEN s < 0 AND v > 0 THEN 'BUY' ELSE 'HOLD' END AS verdict,
-              printf('%.2f', CASE WHEN s < 0 AND v > 0 THEN least(0.9, 0.5 + abs(s) * 0.1 + abs(v)) ELSE 0.5 END) AS confidence
+        "verdict_report", "A14", lambda t: _report(t),
+        sql("""SELECT symbol, coalesce(name, symbol) AS name, CASE WHEN s < 0 AND v > 0 THEN 'BUY' ELSE 'HOLD' END AS verdict,
+              printf('%.2f', CASE WHEN s < 0 AND v > 0 THEN least(0.9, 0.5 + abs(s) * 0.1 + abs(v)) ELSE 0.5 END) AS confidence,
+              4::BIGINT AS sentiment_decimals, 4::BIGINT AS valuation_decimals, 2::BIGINT AS combined_decimals,
+              true AS sentiment_near, true AS valuation_near, true AS combined_near
               FROM picked JOIN market_value USING (symbol) LEFT JOIN names USING (symbol)""",
             picked="""SELECT symbol, score AS s FROM (SELECT symbol, score,
               row_number() OVER (PARTITION BY symbol ORDER BY day DESC) AS rn FROM composite) WHERE rn = 1

@@ -111,8 +111,8 @@ CASES = [
     ),
     Case(
         "close_ema", "E1",
-        lambda t: rounded(with_ema(t.bars.select("symbol", "day", "close"), ["symbol"], ["day"], "close", 0.2).select("symbol", "day", "ema"), 5),
-        sql(f"SELECT symbol, {day()} AS day, {rq('ema', 5)} AS ema FROM walk",
+        lambda t: rounded(with_ema(t.bars.select("symbol", "day", "close"), ["symbol"], ["day"], "close", 0.2).select("symbol", "day", "ema"), 4),
+        sql(f"SELECT symbol, {day()} AS day, {rq('ema', 4)} AS ema FROM walk",
             ordered="SELECT symbol, day, close, row_number() OVER (PARTITION BY symbol ORDER BY day) AS n FROM bars",
             walk="""SELECT symbol, n, day, close AS ema FROM ordered WHERE n = 1
               UNION ALL SELECT o.symbol, o.n, o.day, 0.2 * o.close + 0.8 * w.ema FROM walk w JOIN ordered o

@@ -47,18 +47,20 @@ def screen_orders(
     """Add ``fault`` (NULL when accepted) and ``fault_kind``; the first failing check is reported.
 
     Each request is judged against the one snapshot.  Portfolio totals are a one-row aggregate read
-    as scalars.  Positions, prices and limits have one row per symbol, so a symbol with very many
-    requests is split by the adaptive skew join.
+    as scalars.  What is known of a symbol is put into one row first, so the requests are joined once
+    and nothing after that join needs their partitioning: Spark's adaptive skew join can split a
+    symbol with very many requests.
     """
     totals = exposure(positions, prices)
     n_open, held_value = totals.select("n_open").scalar(), totals.select("value").scalar()
-    df = requests.join(
-        positions.select("symbol", F.col("quantity").alias("_held")), "symbol", "left"
-    ).join(prices.select("symbol", F.col("price").alias("_market")), "symbol", "left")
+    known = positions.select("symbol", F.col("quantity").alias("_held")).join(
+        prices.select("symbol", F.col("price").alias("_market")), "symbol", "full"
+    )
     limit = F.lit(p.max_position)
     if custom_limits is not None:
-        df = df.join(custom_limits.select("symbol", F.col("position_limit").alias("_limit")), "symbol", "left")
+        known = known.join(custom_limits.select("symbol", F.col("position_limit").alias("_limit")), "symbol", "full")
         limit = F.coalesce(F.col("_limit"), limit)
+    df = requests.join(known, "symbol", "left")
     buy, qty = F.lower("side") == "buy", F.col("quantity")
     held = F.coalesce(F.col("_held"), F.lit(0))
     new = F.when(buy, held + qty).otherwise(held - qty)

@@ -38,8 +38,8 @@ def resolve(
 ) -> DataFrame:
     """One signal per symbol (and run): exits first, else the side with the greater vote, merged.
 
-    Expects at most one signal per strategy, symbol and run, so a group is as small as the list of
-    strategies.  Everything is one conditional aggregate: one shuffle, with partial aggregation.
+    A group holds one signal per strategy.  Everything is one conditional aggregate: one shuffle, with
+    partial aggregation, and the only lists kept are the distinct reasons and strategies.
     """
     keys = [*run, "symbol"]
     kind, exit_ = F.col("signal_type"), t.is_exit(F.col("signal_type"))
@@ -59,10 +59,10 @@ def resolve(
             F.sum(F.when(here, wc)).alias(f"{side}_wc"),
             F.max(F.when(here, F.col("ts"))).alias(f"{side}_ts"),
             F.min_by(row, F.when(here, F.col("source"))).alias(f"{side}_row"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(here, F.col("reasons")))))).alias(
+            F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(here, F.col("reasons")))))).alias(
                 f"{side}_reasons"
             ),
-            F.array_sort(F.collect_list(F.when(here, F.col("source")))).alias(f"{side}_sources"),
+            F.array_sort(F.collect_set(F.when(here, F.col("source")))).alias(f"{side}_sources"),
         ]
         for a in AVERAGED:
             has = here & F.col(a).isNotNull()

@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import value as v
 from ..operators.latest import top_rows
+from ..operators.sizes import BROADCAST_ROWS
 from ..params import ValueParams
 from .valuation import market_valuation
 
-# A list up to this long (some 2 MB) is broadcast.
-BROADCAST_ROWS = 50_000
-
 
 def latest_by_semi_join(composite: DataFrame, ts: str = "day") -> DataFrame:
     """Rows of each symbol's latest time.  The maximum is aggregated before it moves."""
