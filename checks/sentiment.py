@@ -177,7 +177,7 @@ CASES = [
           {rq('chg')} AS price_change_pct FROM social"""),
     ),
     Case(
-        "score_news", "H7, C2, H12",
+        "score_news", "H7, C2, H12, G3",
         lambda t: _meta(scoring.score_news(t.vendor()["dragon_tiger"], t.vendor()["northbound"], AS_OF), "dt_net_ratio", "northbound_change"),
         sql(f"""SELECT symbol, {rq('score')} AS score, {rq('confidence')} AS confidence, {rq('ratio')} AS dt_net_ratio,
           {rq('change')} AS northbound_change FROM news"""),

@@ -110,8 +110,9 @@ RETURNS = {
 }
 DISLOCATION = {
     **RETURNS,
-    "placed": """SELECT s.symbol, s.day, s.close, s.z, coalesce(m.score, 0) AS score, coalesce(m.score, 0) - s.z AS gap
-      FROM (SELECT * FROM scored WHERE n >= 20) s ASOF LEFT JOIN brand_mood m ON s.symbol = m.symbol AND s.day >= m.day""",
+    "placed": """SELECT symbol, day, close, z, score, score - z AS gap FROM (SELECT s.symbol, s.day, s.close, s.z,
+      CASE WHEN s.day - m.day <= 252 THEN m.score ELSE 0 END AS score
+      FROM (SELECT * FROM scored WHERE n >= 20) s ASOF LEFT JOIN brand_mood m ON s.symbol = m.symbol AND s.day >= m.day)""",
     "called": """SELECT *, CASE WHEN score > 1.5 AND z < -0.5 AND gap > 2 THEN 'BUY'
       WHEN score < -1.5 AND z > 0.5 AND gap < -2 THEN 'SELL' END AS signal_type FROM placed""",
 }
@@ -294,6 +295,32 @@ CASES = [
           {rq('close', 9)} AS entry_price, {levels(0.15, 0.20)}, {rq('score', 5)} AS sentiment_score, {rq('z', 5)} AS price_z_score,
           {rq('gap', 5)} AS dislocation FROM called WHERE signal_type IS NOT NULL""", **DISLOCATION),
     ),
+    Case(
+        "dislocation_signals_of_day", "K7",
+        lambda t: rounded(ps.dislocation_signals(t.bars.select("symbol", "day", "close"), t.brand_mood, D("2001-01-21")).select(
+            F.to_date("ts").alias("day"), "symbol", "signal_type", "strength", "entry_price"), 5, **P),
+        sql(f"""SELECT symbol, {day()} AS day, signal_type, {rq('least((abs(score) + abs(z) + abs(gap)) * 10, 100)', 5)} AS strength,
+          {rq('close', 9)} AS entry_price FROM called WHERE signal_type IS NOT NULL""", **{
+            "recent": "SELECT symbol, day, close FROM bars WHERE day BETWEEN DATE '2001-01-21' - 252 AND DATE '2001-01-21'",
+            **DISLOCATION,
+            "returns": """SELECT symbol, day, close, close / lag(close) OVER (PARTITION BY symbol ORDER BY day) - 1 AS ret,
+              row_number() OVER (PARTITION BY symbol ORDER BY day DESC) AS back FROM recent""",
+            "scored": """SELECT symbol, max(CASE WHEN back = 1 THEN day END) AS day, max(CASE WHEN back = 1 THEN close END) AS close,
+              (max(CASE WHEN back = 1 THEN ret END) - avg(ret)) / stddev_samp(ret) AS z, count(ret) AS n FROM returns GROUP BY symbol""",
+        }),
+    ),
+    Case(
+        "momentum_signals_of_day", "K9",
+        lambda t: rounded(ps.momentum_signals(t.bars.select("symbol", "day", "close"), D("2001-01-21")).select(
+            F.to_date("ts").alias("day"), "symbol", "signal_type", "strength", "entry_price"), 5, **P),
+        sql(f"""SELECT symbol, {day()} AS day, CASE WHEN m > 0 THEN 'BUY' ELSE 'SELL' END AS signal_type, {rq('least(abs(m) * 5000, 100)', 5)} AS strength,
+          {rq('close', 9)} AS entry_price FROM moved WHERE n >= 20 AND abs(m) > 0.005""",
+            recent="SELECT symbol, day, close FROM bars WHERE day BETWEEN DATE '2001-01-21' - 30 AND DATE '2001-01-21'",
+            returns="""SELECT symbol, day, close, close / lag(close) OVER (PARTITION BY symbol ORDER BY day) - 1 AS ret,
+              row_number() OVER (PARTITION BY symbol ORDER BY day DESC) AS back FROM recent""",
+            moved="""SELECT symbol, max(CASE WHEN back = 1 THEN day END) AS day, max(CASE WHEN back = 1 THEN close END) AS close,
+              avg(CASE WHEN back <= 5 THEN ret END) - avg(CASE WHEN back <= 20 THEN ret END) AS m, count(*) AS n FROM returns GROUP BY symbol"""),
+    ),
     Case(
         "momentum", "E10",
         lambda t: rounded(with_momentum(t.bars.select("symbol", "day", "close"), ["symbol"]).filter("momentum is not null").select("symbol", "day", "momentum")),

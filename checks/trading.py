@@ -127,7 +127,7 @@ def _curve_sql(limit: float | None) -> dict[str, str]:
         "cut_curve": f"SELECT *, (equity - lag(equity) OVER (ORDER BY date)) / lag(equity) OVER (ORDER BY date) AS daily FROM (SELECT * FROM fallen {cut})",
         "measures": """SELECT *, (final_capital - 1e9) / 1e9 AS total_return, greatest(days / 365.0, 1.0::DOUBLE / 252) AS years FROM (
           SELECT arg_max(equity, date) AS final_capital, max(drawdown) AS max_drawdown, avg(daily) AS m, stddev_pop(daily) AS s,
-          CAST(max(date) - min(date) AS DOUBLE) AS days, count(*) AS n_days FROM cut_curve)""",
+          (SELECT CAST(max(date) - min(date) AS DOUBLE) FROM fallen) AS days, count(*) AS n_days FROM cut_curve)""",
     }
 
 
@@ -288,14 +288,19 @@ CASES = [
     Case(
         "equity_until_stop", "E13",
         lambda t: rounded(cut_after_breach(
-            with_drawdown(t.equity.withColumn("c", F.lit(0)), ["c"], ["date"], "equity", CAPITAL), ["c"], ["date"], 0.05).select("date", "drawdown")),
+            with_drawdown(t.equity.withColumn("c", F.lit(0)), ["c"], ["date"], "equity", CAPITAL), ["c"], ["date"], 0.01).select("date", "drawdown")),
         sql(f"""SELECT {day('date')} AS date, {rq('drawdown')} AS drawdown FROM fallen
-          WHERE fallen.date <= coalesce((SELECT min(f.date) FROM fallen f WHERE f.drawdown >= 0.05), DATE '9999-01-01')""", **DRAW),
+          WHERE fallen.date <= coalesce((SELECT min(f.date) FROM fallen f WHERE f.drawdown >= 0.01), DATE '9999-01-01')""", **DRAW),
     ),
     Case(
         "curve_measures", "D21", lambda t: rounded(pp.curve_measures(t.equity, CURVE, stop=False), 6, final_capital=2),
         sql(f"SELECT {MEASURES}, n_days FROM measures", **_curve_sql(None)),
     ),
+    Case(
+        "curve_measures_with_stop", "D21, E13",
+        lambda t: rounded(pp.curve_measures(t.equity, CostParams(initial_capital=CAPITAL, drawdown_stop=0.01)), 6, final_capital=2),
+        sql(f"SELECT {MEASURES}, n_days FROM measures", **_curve_sql(0.01)),
+    ),
     Case(
         "performance_report", "K18, D16, D21",
         lambda t: rounded(pp.performance_report(t.equity, _costed(t), FILL_ORDER, CURVE), 6, final_capital=2, profit_factor=4),

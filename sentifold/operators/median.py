@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .segments import ordered, running
+from .segments import ordered, running, totals
 
 
 def exact_medians(df: DataFrame, key: str, values: Sequence[str], limit: int | None = None) -> DataFrame:
@@ -19,13 +19,12 @@ def exact_medians(df: DataFrame, key: str, values: Sequence[str], limit: int | N
     long_ = df.select(key, *values).unpivot([key], list(values), "_name", "_v").filter(F.col("_v").isNotNull())
     counts = long_.groupBy(key, "_name", "_v").agg(F.count(F.lit(1)).alias("_n"))
     keys = [key, "_name"]
-    cum = running(ordered(counts, keys, ["_v"], limit), {"_upto": ("sum", F.col("_n"))}).rows()
-    sizes = cum.groupBy(*keys).agg(F.sum("_n").alias("_size"))
+    cum = running(ordered(counts, keys, ["_v"], limit), {"_upto": ("sum", F.col("_n"))})
+    cum = totals(cum, {"_size": ("sum", F.col("_n"))}).rows()
     holds = lambda rank: (F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank)
     low, high = F.floor((F.col("_size") - 1) / 2), F.floor(F.col("_size") / 2)
     middle = (
-        cum.join(sizes, keys)
-        .filter(holds(low) | holds(high))
+        cum.filter(holds(low) | holds(high))
         .groupBy(*keys)
         .agg(((F.min("_v") + F.max("_v")) / 2).alias("_median"))
     )

@@ -108,6 +108,18 @@ def running(rows: Ordered, measures: dict[str, tuple[str, Column]]) -> Ordered:
     return replace(rows, df=out.drop(*local, *(f"_carry_{n}" for n in measures)))
 
 
+def totals(rows: Ordered, measures: dict[str, tuple[str, Column]]) -> Ordered:
+    """Add per-key totals to every row."""
+    if not rows.split:
+        whole = Window.partitionBy(*rows.keys)
+        return replace(rows, df=rows.df.withColumns({n: _MERGE[k][0](c).over(whole) for n, (k, c) in measures.items()}))
+    # A large key is summed in the map tasks, and its one row joins back to its many segments.
+    partial = rows.df.groupBy(*rows.parts).agg(*(_MERGE[k][0](c).alias(n) for n, (k, c) in measures.items()))
+    whole = Window.partitionBy(*rows.keys)
+    per_part = partial.select(*rows.parts, *(_MERGE[k][0](F.col(n)).over(whole).alias(n) for n, (k, _) in measures.items()))
+    return replace(rows, df=rows.df.join(per_part, rows.parts))
+
+
 def positions(rows: Ordered, name: str = "pos") -> Ordered:
     """Exact zero-based position of each row within its key (or overall, with no keys)."""
     out = running(rows, {name: ("sum", F.lit(1).cast("long"))})

@@ -222,11 +222,17 @@ def with_drawdown(
     return df.withColumn("peak", peak).withColumn("drawdown", (F.col("peak") - F.col(equity)) / F.col("peak"))
 
 
+def with_stop(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: float, out: str = "stopped"
+) -> DataFrame:
+    """True on the rows after the first drawdown at or above the limit."""
+    w = _rows(keys, order, Window.unboundedPreceding, -1)
+    return df.withColumn(out, F.coalesce(F.max(F.col("drawdown") >= limit).over(w), F.lit(False)))
+
+
 def cut_after_breach(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: float) -> DataFrame:
     """Keep the rows up to and including the first drawdown at or above the limit."""
-    w = _rows(keys, order, Window.unboundedPreceding, -1)
-    breached = F.max((F.col("drawdown") >= limit).cast("int")).over(w)
-    return df.withColumn("_b", breached).filter(F.coalesce(F.col("_b"), F.lit(0)) == 0).drop("_b")
+    return with_stop(df, keys, order, limit, "_stopped").filter("not _stopped").drop("_stopped")
 
 
 def with_trend(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str = "trend") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import trading as t
 from ..functions.basic import id_text, or_zero
 from ..operators.ledger import average_cost_book, fifo_pairs
-from ..operators.series import cut_after_breach, with_drawdown
+from ..operators.series import with_drawdown, with_stop
 from ..params import ContrarianParams, CostParams
 
 # --- positions --------------------------------------------------------------
@@ -170,22 +170,22 @@ def mark_to_market(trades: DataFrame, bars: DataFrame, initial: float) -> DataFr
 def curve_measures(curve: DataFrame, p: CostParams = CostParams(), stop: bool = True) -> DataFrame:
     """Return, annual return, drawdown and Sharpe ratio of a daily curve (date, equity), one row.
 
-    The curve has a row per day, so one task holds it easily; with ``stop`` it ends at the first
-    drawdown past the limit.
+    The curve has a row per day, so one task holds it easily.  With ``stop`` it counts up to the
+    first drawdown past the limit; the annual return is still over the whole span of days.
     """
     one = curve.select("date", "equity").withColumn("curve", F.lit(0))
     one = with_drawdown(one, ["curve"], ["date"], "equity", p.initial_capital)
-    if stop and p.drawdown_stop:
-        one = cut_after_breach(one, ["curve"], ["date"], p.drawdown_stop)
+    one = with_stop(one, ["curve"], ["date"], p.drawdown_stop if stop and p.drawdown_stop else float("inf"))
     before = F.lag("equity").over(Window.partitionBy("curve").orderBy("date"))
     one = one.withColumn("daily", (F.col("equity") - before) / before)
+    counted = lambda c: F.when(~F.col("stopped"), c)
     m = one.agg(
-        F.max_by("equity", "date").alias("final_capital"),
-        F.max("drawdown").alias("max_drawdown"),
-        F.avg("daily").alias("_mean"),
-        F.stddev_pop("daily").alias("_std"),
+        F.max_by("equity", counted(F.col("date"))).alias("final_capital"),
+        F.max(counted(F.col("drawdown"))).alias("max_drawdown"),
+        F.avg(counted(F.col("daily"))).alias("_mean"),
+        F.stddev_pop(counted(F.col("daily"))).alias("_std"),
         F.datediff(F.max("date"), F.min("date")).alias("_days"),
-        F.count(F.lit(1)).alias("n_days"),
+        F.count_if(~F.col("stopped")).alias("n_days"),
     )
     years = F.greatest(F.col("_days") / 365.0, F.lit(1 / 252))
     gain = F.col("total_return")

@@ -18,6 +18,7 @@ from ..functions import trading as t
 from ..functions.basic import or_zero
 from ..functions.value import value_points
 from ..operators.asof import asof_join
+from ..operators.latest import latest
 from ..operators.series import with_momentum, with_moving_average, with_return_zscore
 from ..params import (
     BreakoutParams,
@@ -32,12 +33,17 @@ from ..sources.schemas import SIGNALS, conform
 log = logging.getLogger(__name__)
 
 
-def _on(df: DataFrame, day: str, as_of) -> DataFrame:
-    """Rows of the newest bar per symbol at ``as_of``; every bar where no date is given."""
+def _lookback(df: DataFrame, as_of, days: int) -> DataFrame:
+    """Only the days a run at ``as_of`` looks at, both ends included; all days without a date."""
     if as_of is None:
         return df
-    newest = df.filter(F.col(day) <= as_of).groupBy("symbol").agg(F.max(day).alias(day))
-    return df.join(newest, ["symbol", day], "left_semi")
+    end = F.lit(as_of).cast("date")
+    return df.filter(F.col("day").between(F.date_sub(end, days), end))
+
+
+def _newest(df: DataFrame, as_of) -> DataFrame:
+    """The newest row per symbol for a run at a date; every row without one."""
+    return df if as_of is None else latest(df, ["symbol"], ["day"])
 
 
 def _levels(df: DataFrame, stop: float, target: float) -> DataFrame:
@@ -52,13 +58,21 @@ def dislocation_signals(
 ) -> DataFrame:
     """Sentiment that runs ahead of the return z-score.
 
-    ``bars``: symbol, day, close.  ``sentiment``: symbol, day, score, one row per symbol and day;
-    each bar takes the latest score at or before its day.
+    ``bars``: symbol, day, close.  ``sentiment``: symbol, day, score.  Both have one row per symbol
+    and day; each bar takes the latest score at or before its day, none older than the lookback.
     """
-    scored = with_return_zscore(bars, ["symbol"], "day", "close", p.lookback_days, p.min_rows)
-    scored = asof_join(scored, sentiment, ["symbol"], "day", "score")
-    s, z, gap = or_zero(F.col("score")), F.col("z_score"), F.col("dislocation")
-    rows = _on(scored, "day", as_of).withColumn("score", s).withColumn("dislocation", F.col("score") - z)
+    days = p.lookback_days
+    bars, sentiment = _lookback(bars, as_of, days), _lookback(sentiment, as_of, days)
+    scored = with_return_zscore(bars, ["symbol"], "day", "close", days, p.min_rows)
+    seen = sentiment.select("symbol", "day", F.struct("score", F.col("day").alias("at")).alias("seen"))
+    scored = asof_join(scored, seen, ["symbol"], "day", "seen")
+    recent = F.datediff(F.col("day"), F.col("seen.at")) <= days
+    z, gap = F.col("z_score"), F.col("dislocation")
+    rows = (
+        _newest(scored, as_of)
+        .withColumn("score", F.when(recent, F.col("seen.score")).otherwise(0.0))
+        .withColumn("dislocation", F.col("score") - z)
+    )
     side = F.when(
         (F.col("score") > p.long_mood) & (z < p.long_z) & (gap > p.long_gap), "BUY"
     ).when((F.col("score") < p.short_mood) & (z > p.short_z) & (gap < p.short_gap), "SELL")
@@ -115,8 +129,9 @@ def points_signals(
 
 
 def momentum_signals(bars: DataFrame, as_of=None, p: MomentumParams = MomentumParams()) -> DataFrame:
-    rows = _on(
-        with_momentum(bars, ["symbol"], "day", "close", p.lookback_days, p.fast, p.slow, p.min_rows), "day", as_of
+    bars = _lookback(bars, as_of, p.lookback_days)
+    rows = _newest(
+        with_momentum(bars, ["symbol"], "day", "close", p.lookback_days, p.fast, p.slow, p.min_rows), as_of
     )
     m = F.col("momentum")
     side = F.when(m > p.limit, "BUY").when(m < -p.limit, "SELL")
@@ -167,9 +182,8 @@ def mean_mood_signals(raw: DataFrame, prices: DataFrame, as_of, p: MeanMoodParam
 
 
 def breakout_signals(bars: DataFrame, as_of=None, p: BreakoutParams = BreakoutParams()) -> DataFrame:
-    rows = _on(
-        with_moving_average(bars, ["symbol"], "day", "close", p.rows, p.lookback_days), "day", as_of
-    )
+    bars = _lookback(bars, as_of, p.lookback_days)
+    rows = _newest(with_moving_average(bars, ["symbol"], "day", "close", p.rows, p.lookback_days), as_of)
     close, ma = F.col("close"), F.col("moving_average")
     out = rows.filter(close > ma * p.margin).withColumns(
         {
