@@ -44,6 +44,7 @@ class Ordered:
     keys: tuple[str, ...]
     order: tuple[str, ...]
     largest: int
+    total: int
     split: bool
 
     @property
@@ -72,11 +73,11 @@ def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int
     limit = ROWS_PER_TASK if limit is None else limit
     largest, total = group_sizes(df, keys)
     if largest <= limit:
-        return Ordered(df, keys, order, largest, False)
+        return Ordered(df, keys, order, largest, total, False)
     wanted = min(-(-total // limit), MAX_PARTITIONS)
     parts = max(wanted, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     spread = df.repartitionByRange(parts, *keys, *order).withColumn(SEGMENT, F.spark_partition_id())
-    return Ordered(durable(spread), keys, order, largest, True)
+    return Ordered(durable(spread), keys, order, largest, total, True)
 
 
 def running(rows: Ordered, measures: dict[str, tuple[str, Column]]) -> Ordered:

@@ -45,9 +45,10 @@ def popularity(hot_rank: DataFrame, dense_rank: bool = False, limit: int | None
     ranked = hot_rank.select(code.alias("raw_symbol"), F.col("rank").cast("long").alias("rank"))
     if dense_rank:
         placed = ranked.withColumn("pos", F.col("rank") - 1)
+        total = hot_rank.agg(F.count(F.lit(1))).scalar()
     else:
-        placed = positions(ordered(ranked, [], ["rank", "raw_symbol"], limit)).rows()
-    total = hot_rank.agg(F.count(F.lit(1))).scalar()
+        counted = positions(ordered(ranked, [], ["rank", "raw_symbol"], limit))
+        placed, total = counted.rows(), F.lit(counted.total)
     return (
         placed.withColumn("popularity", 1 - F.col("pos") / total)
         .filter(usable_symbol(F.col("raw_symbol")))

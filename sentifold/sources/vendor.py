@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.basic import first_existing, parse_number, usable_symbol
-from ..operators.latest import latest
 from ..params import (
     CODE_HEADERS,
     DRAGON_TIGER_HEADERS,
@@ -32,12 +31,14 @@ def read_landed(spark: SparkSession, path: str, fmt: str = "parquet", schema: st
 
 
 def _keyed(df: DataFrame, code: Column, **values: Column) -> DataFrame:
-    """Rows with a usable code, the last row of the feed (``seq``) winning where a code repeats."""
-    seq = F.col("seq") if "seq" in df.columns else F.lit(0)
+    """One row per usable code.  Where a code repeats, the last row of the feed (``seq``) counts, or
+    without a feed order the greatest value, so that a rerun gives the same."""
+    fed = "seq" in df.columns
     shaped = df.select(
-        code.cast("string").alias("symbol"), seq.cast("long").alias("seq"), *(c.alias(n) for n, c in values.items())
+        code.cast("string").alias("symbol"), *(["seq"] if fed else []), *(c.alias(n) for n, c in values.items())
     ).filter(usable_symbol(F.col("symbol")))
-    return latest(shaped, ["symbol"], ["seq", *values]).drop("seq")
+    pick = (lambda n: F.max_by(n, "seq")) if fed else F.max
+    return shaped.groupBy("symbol").agg(*(pick(n).alias(n) for n in values))
 
 
 def spot_table(df: DataFrame) -> DataFrame:
