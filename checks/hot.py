@@ -8,6 +8,7 @@ from sentifold.operators import ledger
 from sentifold.operators.asof import asof_join
 from sentifold.operators.cooldown import accept_after_cooldown
 from sentifold.operators.median import exact_medians
+from sentifold.plans.mood import mood_by_observation
 from sentifold.plans.scoring import popularity
 
 from .case import Case, rounded, rq
@@ -65,6 +66,24 @@ CASES = [
         lambda t: rounded(ledger.average_cost_book(*_fills(t)[:1], ["symbol"], _fills(t)[1], limit=LIMIT, fold=512), 4),
         None,
     ),
+    Case(
+        "sentiment_by_observation_hot_symbol", "E1, E2, E3, E4, E5, K3",
+        lambda t: rounded(mood_by_observation(
+            _events(t).select("symbol", "ts", "event_id", (F.col("score") * 5).alias("total")), ["ts", "event_id"], limit=LIMIT // 2
+        ).select("symbol", "event_id", "ema", "roc", "mean", "std", "z_score", "rows_seen", "is_extreme", "label"), 4),
+        sql(f"""SELECT symbol, event_id, {rq('ema', 4)} AS ema, {rq('roc', 4)} AS roc, {rq('mean', 4)} AS mean, {rq('std', 4)} AS std,
+          {rq('z', 4)} AS z_score, n AS rows_seen, CASE WHEN n < 10 THEN abs(ema) >= 2 ELSE abs(z) >= 1.5 END AS is_extreme,
+          CASE WHEN ema <= -3 THEN 'extreme_bearish' WHEN ema <= -1.5 THEN 'bearish' WHEN ema >= 3 THEN 'extreme_bullish'
+            WHEN ema >= 1.5 THEN 'bullish' ELSE 'neutral' END AS label FROM (
+          SELECT *, coalesce(ema - lag(ema) OVER w, 0) AS roc, avg(ema) OVER a AS mean, stddev_pop(ema) OVER a AS std,
+            CASE WHEN stddev_pop(ema) OVER b >= 0.01 THEN (ema - avg(ema) OVER b) / stddev_pop(ema) OVER b ELSE 0 END AS z FROM emas
+          WINDOW w AS (PARTITION BY symbol ORDER BY n), a AS (PARTITION BY symbol ORDER BY n ROWS BETWEEN 29 PRECEDING AND CURRENT ROW),
+            b AS (PARTITION BY symbol ORDER BY n ROWS BETWEEN 29 PRECEDING AND 1 PRECEDING))""", **HOT,
+            observed="""SELECT symbol, event_id, total, row_number() OVER (PARTITION BY symbol ORDER BY ts, event_id) AS n FROM (
+              SELECT h.symbol, h.ts, h.event_id, s.score * 5 AS total FROM hot_events h JOIN sentiment_raw s ON h.event_id = s.event_id)""",
+            emas="""SELECT o.symbol, o.event_id, o.n, any_value(o.total) AS total, sum(CASE WHEN q.n = 1 THEN 1 ELSE 0.2 END * pow(0.8, o.n - q.n) * q.total) AS ema
+              FROM observed o JOIN observed q ON q.symbol = o.symbol AND q.n <= o.n AND q.n > o.n - 250 GROUP BY o.symbol, o.event_id, o.n"""),
+    ),
     Case(
         "cooled_signals_hot_symbol", "E22",
         lambda t: accept_after_cooldown(_events(t).select("symbol", "ts", "event_id"), ["symbol"], "ts", ["event_id"], 720, LIMIT // 8)

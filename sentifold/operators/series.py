@@ -1,8 +1,9 @@
 """Windows over one ordered series per key.
 
 These use a plain window per key, which is right where the series has a natural bound: one row per
-key and day, so a century is 36,525 rows.  The plans reduce raw rows to that grain first.  Ledgers
-without such a bound go through ``segments``.
+key and day, so a century is 36,525 rows.  The plans reduce raw rows to that grain first.  A series
+without such a bound runs the same functions through ``stretches.in_stretches``, ledgers through
+``segments``.
 """
 
 from __future__ import annotations
@@ -89,12 +90,18 @@ def with_prior_zscore(
 
 
 def with_extreme(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], smooth: str = "ema", p: MoodParams = MoodParams()
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    smooth: str = "ema",
+    p: MoodParams = MoodParams(),
+    position: str | None = None,
 ) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
+    """Extreme test; the rows seen so far are counted, or taken from a column of positions."""
+    counted = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     rows_seen = F.col("rows_seen")
     return (
-        df.withColumn("rows_seen", F.row_number().over(w).cast("long"))
+        df.withColumn("rows_seen", (F.col(position) + 1 if position else counted).cast("long"))
         .withColumn("extreme_value", extreme_value(rows_seen, F.col(smooth), F.col("z_score"), p))
         .withColumn("is_extreme", extreme_flag(rows_seen, F.col("extreme_value"), p))
     )

@@ -11,6 +11,7 @@ from ..functions.mood import mood_flags, mood_label
 from ..operators.blend import composite, total_score
 from ..operators.latest import latest
 from ..operators.series import with_change, with_ema, with_extreme, with_prior_zscore, with_rolling_stats
+from ..operators.stretches import POSITION, ema_look_back, in_stretches
 from ..params import SOURCE_WEIGHTS, MoodParams
 from ..sources.store import append_raw, pack_raw, upsert_composite
 
@@ -30,28 +31,40 @@ def collect_and_publish(scores: DataFrame, raw_path: str, composite_path: str, o
     upsert_composite(blended.select("symbol", "ts", "score", "confidence", "source_scores"), composite_path)
 
 
-def mood_series(
-    raw: DataFrame,
-    order: Sequence[str] = ("ts",),
-    p: MoodParams = MoodParams(),
-    keys: Sequence[str] = ("symbol",),
-    step: str = "day",
+def follow(
+    total: DataFrame, keys: Sequence[str], order: Sequence[str], p: MoodParams = MoodParams(), position: str | None = None
 ) -> DataFrame:
-    """Total, moving average, change, rolling statistics, extreme test, label and flags.
+    """Average, change, rolling statistics, extreme test, label and flags of a column ``total``."""
+    s = with_ema(total, keys, order, "total", p.alpha)
+    s = with_change(s, keys, order, "ema")
+    s = with_rolling_stats(s, keys, order, "ema", p.stats_rows)
+    s = with_prior_zscore(s, keys, order, "ema", p.stats_rows, p.min_std)
+    s = with_extreme(s, keys, order, "ema", p, position)
+    return s.withColumn("label", mood_label(F.col("ema"), p)).withColumn(
+        "flags", mood_flags(F.col("ema"), F.col("roc"), p)
+    )
+
+
+def mood_series(raw: DataFrame, order: Sequence[str] = ("ts",), p: MoodParams = MoodParams()) -> DataFrame:
+    """The sentiment series per symbol and day.
 
     Raw rows shrink to one per symbol and day before any window, so a symbol that owns a third of
     the observations still has a short series.
     """
-    keys = list(keys)
-    total = total_score(raw.withColumn(step, F.to_date("ts")), [*keys, step], order, p)
-    s = with_ema(total, keys, [step], "total", p.alpha)
-    s = with_change(s, keys, [step], "ema")
-    s = with_rolling_stats(s, keys, [step], "ema", p.stats_rows)
-    s = with_prior_zscore(s, keys, [step], "ema", p.stats_rows, p.min_std)
-    s = with_extreme(s, keys, [step], "ema", p)
-    return s.withColumn("label", mood_label(F.col("ema"), p)).withColumn(
-        "flags", mood_flags(F.col("ema"), F.col("roc"), p)
-    )
+    total = total_score(raw.withColumn("day", F.to_date("ts")), ["symbol", "day"], order, p)
+    return follow(total, ["symbol"], ["day"], p)
+
+
+def mood_by_observation(
+    scores: DataFrame,
+    order: Sequence[str] = ("ts",),
+    p: MoodParams = MoodParams(),
+    limit: int | None = None,
+) -> DataFrame:
+    """The same for every single score (symbol, ..., total), however many a symbol has."""
+    back = ema_look_back(p.alpha) + p.stats_rows
+    work = lambda df, keys: follow(df, keys, list(order), p, POSITION)
+    return in_stretches(scores, ["symbol"], order, back, work, limit)
 
 
 def mood_state(series: DataFrame, step: str = "day") -> DataFrame:

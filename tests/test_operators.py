@@ -23,6 +23,7 @@ from sentifold.operators.series import (
     with_trend,
 )
 from sentifold.params import SOURCE_WEIGHTS
+from sentifold.plans.mood import follow, mood_by_observation
 
 LIMITS = pytest.mark.parametrize("limit", [None, 50], ids=["whole", "split"])
 
@@ -219,6 +220,20 @@ def test_ema_is_the_recursion(spark, alpha):
     assert got[0] == values[0] and worst < 1e-11
 
 
+@pytest.mark.parametrize("limit", [None, 300], ids=["whole", "split"])
+def test_series_in_stretches(spark, limit):
+    rnd = random.Random(1)
+    rows = [(k, i, rnd.uniform(-5, 5)) for k, n in (("hot", 3000), ("a", 20)) for i in range(n)]
+    df = spark.createDataFrame(rows, "symbol string, n int, total double")
+    got = {(r.symbol, r.n): r for r in mood_by_observation(df, ["n"], limit=limit).collect()}
+    want = {(r.symbol, r.n): r for r in follow(df, ["symbol"], ["n"]).collect()}
+    assert got.keys() == want.keys()
+    for k, w in want.items():
+        g = got[k]
+        assert (g.rows_seen, g.is_extreme, g.label) == (w.rows_seen, w.is_extreme, w.label)
+        assert [g.ema, g.roc, g["mean"], g["std"], g.z_score] == pytest.approx([w.ema, w.roc, w["mean"], w["std"], w.z_score], abs=1e-9)
+
+
 def test_ema_known(spark):
     df = spark.createDataFrame([("a", 0, 2.0), ("a", 1, 3.0)], "k string, n int, v double")
     assert [r.ema for r in with_ema(df, ["k"], ["n"], "v", 0.2).orderBy("n").collect()] == pytest.approx([2.0, 2.2])
