@@ -66,6 +66,12 @@ CASES = [
         lambda t: rounded(ledger.average_cost_book(*_fills(t)[:1], ["symbol"], _fills(t)[1], limit=LIMIT, fold=512), 4),
         None,
     ),
+    Case(
+        "fill_ledger_hot_symbol", "D15, K15",
+        lambda t: rounded(ledger.cost_ledger(*_fills(t)[:1], ["symbol"], _fills(t)[1], limit=LIMIT, stretch=1500)
+                          .groupBy("symbol").agg(F.sum("realised").alias("realised"), F.count("avg_cost_after").alias("n_open")), 2),
+        None,
+    ),
     Case(
         "sentiment_by_observation_hot_symbol", "E1, E2, E3, E4, E5, K3",
         lambda t: rounded(mood_by_observation(

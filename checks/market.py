@@ -198,6 +198,11 @@ CASES = [
         sql(f"""SELECT symbol, {day()} AS day, {rq('score')} AS score, n_sources FROM (
           SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY day DESC) AS rn FROM composite) WHERE rn = 1"""),
     ),
+    Case(
+        "daily_closes", "S7",
+        lambda t: rounded(market.daily_closes(t.fills.groupBy("symbol", "ts").agg(F.max("price").alias("close"))), PRICE),
+        sql(f"SELECT symbol, {day()} AS day, {rq('max(price)', 9)} AS close FROM fills GROUP BY symbol, fills.day"),
+    ),
     Case(
         "latest_prices", "E19", lambda t: rounded(market.latest_prices(t.bars, "day")),
         sql(f"""SELECT symbol, {rq('close')} AS price FROM (

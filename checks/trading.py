@@ -205,6 +205,15 @@ CASES = [
           {rq('unrealised', 4)} AS unrealised, {rq('realised_open', 4)} AS realised_open, {rq('realised_all', 4)} AS realised_all,
           {rq('return_pct', 4)} AS return_pct, n_fills FROM book""", **BOOK),
     ),
+    Case(
+        "fill_ledger", "D15, K15",
+        lambda t: rounded(ledger.cost_ledger(t.fills, ["symbol"], FILL_ORDER).select(
+            "symbol", "l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "quantity_after", "avg_cost_after", "realised"), 4),
+        sql(f"""SELECT symbol, f.l_orderkey, CAST(f.l_linenumber AS BIGINT) AS l_linenumber, w.q AS quantity_after,
+          {rq('CASE WHEN w.q <> 0 THEN w.c END', 4)} AS avg_cost_after, {rq('w.all_pnl - coalesce(b.all_pnl, 0)', 4)} AS realised
+          FROM cost_walk w JOIN numbered f USING (symbol, n) LEFT JOIN cost_walk b ON b.symbol = w.symbol AND b.n = w.n - 1""".replace(
+            "SELECT symbol,", "SELECT w.symbol,"), **BOOK),
+    ),
     Case(
         "position_totals", "D12", lambda t: rounded(pp.book_totals(pp.position_book(t.fills, FILL_ORDER)), 2),
         sql(f"""SELECT count(*) FILTER (quantity <> 0) AS num_positions, {rq('sum(market_value)', 2)} AS total_market_value,

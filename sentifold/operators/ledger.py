@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .segments import ordered, running
+from .affine import affine_scan
+from .segments import ROWS_PER_TASK, ordered, running
 
 # Rows folded at a time.
 FOLD = 8192
@@ -117,6 +118,21 @@ def _fold(df: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
+def _steps(
+    fills: DataFrame, keys: Sequence[str], order: Sequence[str], qty: str, price: str, limit: int | None
+) -> tuple[DataFrame, int]:
+    """Each fill with its position, the quantity held after it and what it does to the cost; and the
+    rows of the largest key."""
+    moved = fills.select(*keys, *order, F.col(qty).alias("qty"), F.col(price).alias("price")).filter("qty <> 0")
+    one = running(
+        ordered(moved, keys, order, limit),
+        {"held": ("sum", F.col("qty")), "idx": ("sum", F.lit(1).cast("long"))},
+    )
+    before = F.col("held") - F.col("qty")
+    steps = one.rows().withColumn("idx", F.col("idx") - 1).withColumns(_fill_step(F.col("qty"), F.col("price"), before))
+    return steps, one.largest
+
+
 def average_cost_book(
     fills: DataFrame,
     keys: Sequence[str],
@@ -133,21 +149,16 @@ def average_cost_book(
     maps the cost affinely, and such maps compose.  So the fold runs in short stretches of one key
     in parallel and then over the stretches, as many times as the largest key needs.
     """
-    moved = fills.select(*keys, *order, F.col(qty).alias("qty"), F.col(price).alias("price")).filter("qty <> 0")
-    one = running(
-        ordered(moved, keys, order, limit),
-        {"_held": ("sum", F.col("qty")), "idx": ("sum", F.lit(1).cast("long"))},
-    )
-    steps = one.df.withColumn("idx", F.col("idx") - 1).select(
+    steps, length = _steps(fills, keys, order, qty, price, limit)
+    steps = steps.select(
         *keys,
         "idx",
         "qty",
         F.lit(1).cast("long").alias("n_fills"),
         F.col("idx").alias("last_at"),
         F.col("price").alias("last_price"),
-        *(c.alias(n) for n, c in _fill_step(F.col("qty"), F.col("price"), F.col("_held") - F.col("qty")).items()),
+        *_STATE,
     )
-    length = one.largest
     while length > fold:
         by = [*keys, "chunk"]
         steps = _fold(steps.withColumn("chunk", F.floor(F.col("idx") / fold)), by).withColumnRenamed("chunk", "idx")
@@ -163,3 +174,27 @@ def average_cost_book(
         F.when(open_, F.col("q")).otherwise(0.0).alias("realised_open"),
         "n_fills",
     )
+
+
+def cost_ledger(
+    fills: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    qty: str = "qty",
+    price: str = "price",
+    limit: int | None = None,
+    stretch: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """Every fill with the quantity held and the average cost after it, and the profit it realised."""
+    steps, largest = _steps(fills, keys, order, qty, price, limit)
+    cost = affine_scan(steps, keys, "idx", "a", "b", "cost_before", largest, stretch)
+    before = F.col("cost_before")
+    return cost.select(
+        *keys,
+        *order,
+        "qty",
+        "price",
+        F.col("held").alias("quantity_after"),
+        F.when(F.col("held") != 0, F.col("a") * before + F.col("b")).alias("avg_cost_after"),
+        (F.col("g") * before + F.col("h")).alias("realised"),
+    )

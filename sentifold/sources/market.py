@@ -39,6 +39,11 @@ def latest_prices(bars: DataFrame, ts: str = "ts", value: str = "close") -> Data
     return bars.groupBy("symbol").agg(F.max_by(value, ts).alias("price"))
 
 
+def daily_closes(bars: DataFrame, ts: str = "ts") -> DataFrame:
+    """Last close per symbol and day, the grain the strategies' windows expect."""
+    return bars.groupBy("symbol", F.to_date(ts).alias("day")).agg(F.max_by("close", ts).alias("close"))
+
+
 def fundamentals_as_of(fundamentals: DataFrame, symbols=None, as_of=None, ts: str = "ts") -> DataFrame:
     """Latest snapshot per symbol, no later than ``as_of`` where one is given."""
     rows = fundamentals if symbols is None else in_universe(fundamentals, symbols)

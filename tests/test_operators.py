@@ -76,6 +76,34 @@ def test_average_cost_book(spark, limit, fold):
             assert r.avg_cost == pytest.approx(c)
 
 
+@LIMITS
+@pytest.mark.parametrize("stretch", [10**6, 13, 5])
+def test_cost_ledger(spark, limit, stretch):
+    rows = fills()
+    got = ledger.cost_ledger(spark.createDataFrame(rows, FILL_SCHEMA), ["symbol"], ["n"], limit=limit, stretch=stretch).collect()
+    got = {(r.symbol, r.n): r for r in got}
+    assert len(got) == len(rows)
+    by_symbol = {}
+    for row in rows:
+        s, n, dq, p, _ = row
+        q, c, total = by_symbol.get(s, (0, 0.0, 0.0))
+        gain = 0.0
+        if q == 0:
+            q, c = dq, p
+        elif q * dq > 0:
+            c = (abs(q) * c + abs(dq) * p) / (abs(q) + abs(dq))
+            q += dq
+        else:
+            gain = (p - c) * min(abs(q), abs(dq)) * (1 if q > 0 else -1)
+            c = p if abs(dq) > abs(q) else c
+            q += dq
+        by_symbol[s] = (q, c, total + gain)
+        r = got[s, n]
+        assert r.quantity_after == q
+        assert r.realised == pytest.approx(gain, abs=1e-7)
+        assert r.avg_cost_after == (pytest.approx(c) if q else None)
+
+
 def test_average_cost_known(spark):
     rows = [("x", 0, 100, 10.0, ""), ("x", 1, 100, 12.0, ""), ("x", 2, -150, 13.0, ""), ("x", 3, -100, 9.0, "")]
     want = [(100, 10.0, 0.0), (200, 11.0, 0.0), (50, 11.0, 300.0), (-50, 9.0, 200.0)]
