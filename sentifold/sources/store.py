@@ -175,9 +175,17 @@ def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def write_snapshot(df: DataFrame, path: str, number: int) -> None:
-    """Write one numbered snapshot beside the earlier ones; repeating a number replaces it."""
+    """Write one numbered snapshot beside the earlier ones; repeating a number replaces it.
+
+    A marker row makes an empty snapshot exist, so that a reader does not fall back to an older one.
+    """
+    marker = df.sparkSession.range(1).select(
+        *(F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema), F.lit(False).alias("present")
+    )
     (
-        df.withColumn("snapshot", F.lit(number).cast("bigint"))
+        df.withColumn("present", F.lit(True))
+        .unionByName(marker)
+        .withColumn("snapshot", F.lit(number).cast("bigint"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("snapshot")
@@ -185,11 +193,14 @@ def write_snapshot(df: DataFrame, path: str, number: int) -> None:
     )
 
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The highest snapshot; the number is a partition value, so only that one is scanned."""
+def read_snapshot(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The highest snapshot (below ``before``); the number is a partition value, so only that one is
+    scanned."""
     stored = spark.read.parquet(path)
+    if before is not None:
+        stored = stored.filter(F.col("snapshot") < before)
     newest = stored.agg(F.max("snapshot")).scalar()
-    return stored.filter(F.col("snapshot") == newest).drop("snapshot")
+    return stored.filter((F.col("snapshot") == newest) & F.col("present")).drop("snapshot", "present")
 
 
 def upsert_names(new: DataFrame, path: str, number: int, as_of) -> None:

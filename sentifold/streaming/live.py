@@ -19,7 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.trading import stop_loss_hit
 from ..operators.latest import latest
 from ..params import MoodParams, RiskParams
-from ..sources.store import merge_newest, write_snapshot
+from ..sources.store import merge_newest, read_snapshot, write_snapshot
 
 MOOD_OUT = (
     "symbol string, ts timestamp, tie bigint, total double, ema double, roc double, rows_seen bigint, "
@@ -116,12 +116,9 @@ def position_writer(path: str, order: Sequence[str] = ("ts",)) -> Callable[[Data
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         changes = latest(batch, ["symbol"], list(order))
         if number > 0:
-            stored = spark.read.parquet(path)
-            newest = stored.filter(F.col("snapshot") < number).agg(F.max("snapshot")).scalar()
-            before = stored.filter(F.col("snapshot") == newest).drop("snapshot")
+            before = read_snapshot(batch.sparkSession, path, number)
             changes = merge_newest(before.withColumn("closed", F.lit(False)), changes.select(*before.columns, "closed"), ["symbol"])
         write_snapshot(changes.filter(~F.col("closed")).drop("closed"), path, number)
 

@@ -72,6 +72,17 @@ def test_position_changes(spark, tmp_path):
     assert {(r.symbol, r.quantity) for r in read_snapshot(spark, f"{tmp_path}/positions").collect()} == {("a", 6), ("c", 7)}
 
 
+def test_all_positions_closed(spark, tmp_path):
+    schema = "symbol string, ts timestamp, quantity long, closed boolean"
+    rows = [("a", T0, 1, False), ("a", T0 + dt.timedelta(1), 0, True), ("b", T0 + dt.timedelta(2), 4, False)]
+    write = live.position_writer(f"{tmp_path}/positions")
+    held = []
+    for number, row in enumerate(rows):
+        write(spark.createDataFrame([row], schema), number)
+        held.append([(r.symbol, r.quantity) for r in read_snapshot(spark, f"{tmp_path}/positions").collect()])
+    assert held == [[("a", 1)], [], [("b", 4)]]
+
+
 def test_stop_loss_and_unique_bars(spark, tmp_path):
     schema = "symbol string, ts timestamp, price double"
     t = lambda m: T0 + dt.timedelta(minutes=m)
