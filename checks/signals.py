@@ -216,6 +216,35 @@ RESOLVE_BODY = f"""SELECT {day('run')} AS run, symbol, signal_type, source, {rq(
   {rq('sentiment_score', 8)} AS sentiment_score, {rq('valuation_score', 8)} AS valuation_score, reasons, resolution FROM resolved"""
 
 
+POINTS = {
+    "latest": """SELECT symbol, score FROM (SELECT symbol, score, row_number() OVER (PARTITION BY symbol ORDER BY day DESC) AS rn
+      FROM composite) WHERE rn = 1""",
+    "pointed": """SELECT symbol, price, coalesce(score, 0) AS s, coalesce(
+      CASE WHEN nullif(pe_ratio, 0) < 15 THEN 0.2 WHEN pe_ratio > 30 THEN -0.2 ELSE 0 END::DOUBLE
+      + CASE WHEN nullif(pb_ratio, 0) < 1.5 THEN 0.15 WHEN pb_ratio > 4 THEN -0.15 ELSE 0 END::DOUBLE
+      + CASE WHEN roe > 0.15 THEN 0.1 ELSE 0 END::DOUBLE, 0) AS v
+      FROM last_price LEFT JOIN fundamentals USING (symbol) LEFT JOIN latest USING (symbol)""",
+    "called": """SELECT *, CASE WHEN s < -0.15 AND v > 0.10 THEN 'BUY' WHEN s > 0.15 AND v < -0.10 THEN 'SELL' END AS signal_type
+      FROM pointed""",
+}
+
+
+def _snapshot_registry():
+    registry = ps.Registry()
+    registry.add(ps.Strategy(
+        "points", lambda t, d: ps.points_signals(t["prices"], t["fundamentals"], t["scores"], d),
+        ["prices", "fundamentals", "scores"]))
+    registry.add(ps.Strategy("mean_mood", lambda t, d: ps.mean_mood_signals(t["raw"], t["prices"], d), ["raw", "prices"]))
+    return registry
+
+
+def _snapshot_tables(t):
+    return {
+        "prices": t.last_price, "fundamentals": t.fundamentals, "raw": t.sentiment_raw,
+        "scores": t.composite.groupBy("symbol").agg(F.max_by("score", "day").alias("score")),
+    }
+
+
 def _registry():
     registry = ps.Registry()
     registry.add(ps.Strategy("sentiment_arbitrage", lambda t, d: ps.dislocation_signals(t["bars"], t["mood"], d), ["bars", "mood"]))
@@ -262,13 +291,7 @@ CASES = [
         sql(f"""SELECT symbol, signal_type, {rq('least(abs(s) * 20 + abs(v) * 50, 100)', 5)} AS strength, {rq('price', 9)} AS entry_price,
           {levels(0.08, 0.15, 'price')}, {rq('s', 5)} AS sentiment_score, {rq('v', 5)} AS valuation_score,
           CASE signal_type WHEN 'BUY' THEN 'Bearish sentiment' ELSE 'Bullish sentiment' END AS first_reason FROM called WHERE signal_type IS NOT NULL""",
-          latest="""SELECT symbol, score FROM (SELECT symbol, score, row_number() OVER (PARTITION BY symbol ORDER BY day DESC) AS rn FROM composite) WHERE rn = 1""",
-          pointed="""SELECT symbol, price, coalesce(score, 0) AS s, coalesce(
-            CASE WHEN nullif(pe_ratio, 0) < 15 THEN 0.2 WHEN pe_ratio > 30 THEN -0.2 ELSE 0 END::DOUBLE
-            + CASE WHEN nullif(pb_ratio, 0) < 1.5 THEN 0.15 WHEN pb_ratio > 4 THEN -0.15 ELSE 0 END::DOUBLE
-            + CASE WHEN roe > 0.15 THEN 0.1 ELSE 0 END::DOUBLE, 0) AS v
-            FROM last_price LEFT JOIN fundamentals USING (symbol) LEFT JOIN latest USING (symbol)""",
-          called="""SELECT *, CASE WHEN s < -0.15 AND v > 0.10 THEN 'BUY' WHEN s > 0.15 AND v < -0.10 THEN 'SELL' END AS signal_type FROM pointed"""),
+          **POINTS),
     ),
     Case(
         "simple_returns", "E7", lambda t: rounded(with_return(t.bars.select("symbol", "day", "close"), ["symbol"], ["day"]).select("symbol", "day", "ret")),
@@ -423,7 +446,17 @@ CASES = [
             AND (s.source = 'router' OR w.source = s.source)) AS max_ts FROM scaled s WHERE signal_type IN ('BUY', 'SELL'))""", **_routed_views()),
     ),
     Case(
-        "registry_union", "J1, J2, J4, G2",
+        "registry_union", "J1, J4, G2",
+        lambda t: rounded(_snapshot_registry().collect(_snapshot_tables(t), TS("2024-01-25")).select(
+            "symbol", "source", "signal_type", "strength", "confidence", "sentiment_score"), 5),
+        sql(f"""SELECT symbol, 'points' AS source, signal_type, {rq('least(abs(s) * 20 + abs(v) * 50, 100)', 5)} AS strength, 0.6::DOUBLE AS confidence,
+            {rq('s', 5)} AS sentiment_score FROM called WHERE signal_type IS NOT NULL
+          UNION ALL SELECT symbol, 'mean_mood', CASE WHEN m > 0 THEN 'BUY' ELSE 'SELL' END, {rq('least(abs(m) * 50, 100)', 5)}, 0.7::DOUBLE, {rq('m', 5)}
+          FROM (SELECT symbol, avg(score) AS m FROM sentiment_raw WHERE ts BETWEEN TIMESTAMP '2024-01-20' AND TIMESTAMP '2024-01-25' GROUP BY symbol)
+          JOIN last_price USING (symbol) WHERE abs(m) > 0.5""", **POINTS),
+    ),
+    Case(
+        "registry_union_of_bars", "J1, J2, J4, G2",
         lambda t: _registry().collect(_plug(t), D("2001-01-20")).groupBy("source", "signal_type").agg(F.count(F.lit(1)).alias("n")),
         None,
     ),
