@@ -5,12 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import written
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from . import simhash
+
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    rows = written(simhash.with_fingerprint(docs).select("doc_id", "fp"), "doc-fingerprints")
+    hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
+    return simhash.grouped(rows).select("doc_id", hexed, "component_id")
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     from . import quality
 
@@ -19,6 +31,7 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_quality_rules": op4_quality_rules,
 }
 
