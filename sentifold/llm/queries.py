@@ -14,6 +14,12 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    from . import packing
+
+    return packing.packed(_table(spark, folder, "documents"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from . import simhash
 
@@ -31,6 +37,7 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_quality_rules": op4_quality_rules,
 }
