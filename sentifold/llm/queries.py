@@ -36,10 +36,17 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(docs).select("doc_id", *quality.BASE, "base_failed", "kept", "posterior")
 
 
+def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    from . import ppm
+
+    return ppm.scored(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op8_lm_scoring": op8_lm_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {}
