@@ -42,11 +42,18 @@ def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return ppm.scored(_table(spark, folder, "documents"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from . import suffixes
+
+    return suffixes.repeated(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op8_lm_scoring": op8_lm_scoring,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
