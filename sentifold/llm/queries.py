@@ -36,6 +36,12 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(docs).select("doc_id", *quality.BASE, "base_failed", "kept", "posterior")
 
 
+def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from . import decontam
+
+    return decontam.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     from . import ppm
 
@@ -52,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op8_lm_scoring": op8_lm_scoring,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
