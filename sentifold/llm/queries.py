@@ -29,6 +29,12 @@ def op2_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.grouped(rows).select("doc_id", hexed, "component_id")
 
 
+def op3_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    from . import licenses
+
+    return licenses.scanned(_table(spark, folder, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     from . import quality
 
@@ -63,6 +69,7 @@ def op10_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_license_scans": op3_license_scans,
     "op4_quality_rules": op4_quality_rules,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op8_lm_scoring": op8_lm_scoring,
