@@ -48,6 +48,12 @@ def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return decontam.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    from . import tokencounts
+
+    return tokencounts.document_counts(_table(spark, folder, "documents"))
+
+
 def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     from . import ppm
 
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scans": op3_license_scans,
     "op4_quality_rules": op4_quality_rules,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_token_counts": op7_token_counts,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_warc": op9_warc,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
