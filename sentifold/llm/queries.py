@@ -42,6 +42,12 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(docs).select("doc_id", *quality.BASE, "base_failed", "kept", "posterior")
 
 
+def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    from . import chat
+
+    return chat.formatted(_table(spark, folder, "conversations"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     from . import decontam
 
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_license_scans": op3_license_scans,
     "op4_quality_rules": op4_quality_rules,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_token_counts": op7_token_counts,
     "op8_lm_scoring": op8_lm_scoring,
