@@ -36,3 +36,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def utf8(column: Column) -> Column:
     """A text's bytes, a null text's being empty."""
     return F.coalesce(column.cast("string"), F.lit("")).cast("binary")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name

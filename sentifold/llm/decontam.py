@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bits import bit_table, is_set
-from .common import modest_batches, utf8, written
+from .common import modest_batches, unused, utf8, written
 
 SIMILARITY = 0.8
 WALKS, SAMPLES, PLACES = 3, 8, 4
@@ -265,7 +265,8 @@ def contaminated(
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, with all their columns, in which no benchmark item is found."""
     modest_batches(docs.sparkSession)
-    numbered = written(docs.withColumn("row_", F.monotonically_increasing_id()), "numbered")
-    rows = numbered.select(F.col("row_").alias("row"), F.col(doc_id).alias("doc_id"), utf8(F.col(text)).alias("text"))
+    number = unused(docs, "row_")
+    numbered = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    rows = numbered.select(F.col(number).alias("row"), F.col(doc_id).alias("doc_id"), utf8(F.col(text)).alias("text"))
     found = _leaks(rows, _numbered(benchmark, "item_id", "text", "item", "item_id"), similarity)
-    return numbered.join(found.select(F.col("row").alias("row_")).distinct(), "row_", "left_anti").select(*docs.columns)
+    return numbered.join(found.select(F.col("row").alias(number)).distinct(), number, "left_anti").select(*docs.columns)

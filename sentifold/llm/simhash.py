@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import modest_batches, utf8, written
+from .common import modest_batches, unused, utf8, written
 from .components import components
 
 SHINGLE = 3
@@ -177,3 +177,14 @@ def grouped(rows: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     named = rooted.join(names, "root").select("fp", "component_id", "root")
     clash = [c for c in ("component_id", "root") if c in rows.columns]
     return rows.drop(*clash).join(named, "fp")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows, with all their columns, that come first in their group: smallest id, null ids last."""
+    number = unused(docs, "row_")
+    numbered = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    rows = numbered.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(number).alias("row"))
+    rows = written(with_fingerprint(rows).drop("text"), "doc-fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    firsts = grouped(rows).groupBy("root").agg(F.min(place).alias("first")).select(F.col("first.row").alias(number))
+    return numbered.join(firsts, number, "left_semi").select(*docs.columns)
