@@ -138,17 +138,22 @@ MEASURES = f"""1e9::DOUBLE AS initial_capital, {rq('final_capital', 2)} AS final
 # For every (symbol, day): what is held and at which price, looked up rather than accumulated.
 MARKED = {
     "costed": FIFO["costed"].replace("numbered", "fills"),
-    "part_trades": """SELECT p_brand AS symbol, day, side, quantity, fill_price, commission, stamp_duty
+    "part_trades": """SELECT p_brand AS symbol, day, side, quantity, fill_price, commission, stamp_duty, ts, l_orderkey, l_linenumber
       FROM costed JOIN part ON symbol = CAST(p_partkey AS VARCHAR)""",
     "moves": """SELECT symbol, day, sum(CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END) AS dq,
-      sum(-CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END * fill_price - commission - stamp_duty) AS flow, max(fill_price) AS fill
-      FROM part_trades GROUP BY symbol, day""",
-    "days": "SELECT DISTINCT day FROM (SELECT day FROM moves UNION ALL SELECT day FROM bars)",
-    "symbols": "SELECT DISTINCT symbol FROM (SELECT symbol FROM moves UNION ALL SELECT symbol FROM bars)",
-    "grid": """SELECT s.symbol, d.day, coalesce(m.dq, 0) AS dq, coalesce(m.flow, 0) AS flow, coalesce(b.close, m.fill) AS mark
+      sum(-CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END * fill_price - commission - stamp_duty) AS flow,
+      arg_max(fill_price, {'ts': ts, 'o': l_orderkey, 'l': l_linenumber}) AS fill FROM part_trades GROUP BY symbol, day""",
+    "hours": """SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS day, l_linenumber AS hour,
+      sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / 100.0::DOUBLE / sum(l_quantity) AS close
+      FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3""",
+    "closes": "SELECT symbol, day, arg_max(close, hour) AS close FROM hours GROUP BY symbol, day",
+    "days": "SELECT DISTINCT day FROM (SELECT day FROM moves UNION ALL SELECT day FROM closes)",
+    "symbols": "SELECT DISTINCT symbol FROM (SELECT symbol FROM moves UNION ALL SELECT symbol FROM closes)",
+    "grid": """SELECT s.symbol, d.day, coalesce(m.dq, 0) AS dq, coalesce(m.flow, 0) AS flow, b.close, m.fill
       FROM symbols s CROSS JOIN days d LEFT JOIN moves m ON m.symbol = s.symbol AND m.day = d.day
-      LEFT JOIN bars b ON b.symbol = s.symbol AND b.day = d.day""",
-    "valued": """SELECT symbol, day, flow, sum(dq) OVER w * last_value(mark IGNORE NULLS) OVER w AS value FROM grid
+      LEFT JOIN closes b ON b.symbol = s.symbol AND b.day = d.day""",
+    "valued": """SELECT symbol, day, flow, sum(dq) OVER w *
+      coalesce(last_value(close IGNORE NULLS) OVER w, last_value(fill IGNORE NULLS) OVER w) AS value FROM grid
       WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
     "daily_value": "SELECT day, sum(value) AS positions_value, sum(flow) AS flow FROM valued GROUP BY day",
 }
@@ -159,6 +164,17 @@ def _brand_trades(t):
     return _costed(t).join(part, "symbol").withColumn("symbol", F.col("p_brand"))
 
 
+def _hours(t):
+    """Bars with several closes a day, in the order of ``hour``."""
+    line, part = t.read("lineitem"), t.read("part")
+    cents = F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint"))
+    return (
+        line.join(part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+        .groupBy(F.col("p_brand").alias("symbol"), F.to_date("l_shipdate").alias("day"), F.col("l_linenumber").alias("hour"))
+        .agg((cents / 100.0 / F.sum("l_quantity")).alias("close"))
+    )
+
+
 def _entries(t):
     s = ps.momentum_signals(t.bars.select("symbol", "day", "close"))
     return s.select("symbol", F.to_date("ts").alias("day"), "signal_type", "entry_price", "stop_loss", "take_profit")
@@ -169,7 +185,7 @@ def _mood_bars(t):
     return bars.withColumnRenamed("score", "mood").withColumn("v", F.when(F.col("mood").isNotNull(), 0.06))
 
 
-def _touch_sql(views: dict[str, str], entry: str, bars: str, why: str, horizon: int) -> str:
+def _touch_sql(views: dict[str, str], entry: str, bars: str, why: str) -> str:
     return sql(
         f"""SELECT e.symbol, {day('e.day')} AS day, e.signal_type, {rq('e.entry_price', 9)} AS entry_price, {day('h.exit_day')} AS exit_day,
           coalesce(h.reason, 'open') AS exit_reason,
@@ -177,12 +193,11 @@ def _touch_sql(views: dict[str, str], entry: str, bars: str, why: str, horizon:
           FROM entries e LEFT JOIN (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY symbol, entry_day ORDER BY exit_day) = 1) h
           ON h.symbol = e.symbol AND h.entry_day = e.day""",
         **views,
-        walked=f"SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY day) AS n FROM ({bars})",
+        walked=bars,
         entries=f"""SELECT *, close AS entry_price, CASE signal_type WHEN 'BUY' THEN close * 0.92 ELSE close * 1.08 END AS stop_loss,
           CASE signal_type WHEN 'BUY' THEN close * 1.15 ELSE close * 0.85 END AS take_profit FROM ({entry})""",
         hits=f"""SELECT * FROM (SELECT e.symbol, e.day AS entry_day, b.day AS exit_day, b.close, {why} AS reason
-          FROM entries e JOIN walked a ON a.symbol = e.symbol AND a.day = e.day
-          JOIN walked b ON b.symbol = a.symbol AND b.n > a.n AND b.n <= a.n + {horizon}) WHERE reason IS NOT NULL""",
+          FROM entries e JOIN walked b ON b.symbol = e.symbol AND b.day > e.day) WHERE reason IS NOT NULL""",
     )
 
 
@@ -318,23 +333,23 @@ CASES = [
     ),
     Case(
         "mark_to_market", "K17, C13, A13",
-        lambda t: rounded(store.equity_report(pp.mark_to_market(_brand_trades(t), t.bars, CAPITAL)), 0),
+        lambda t: rounded(store.equity_report(pp.mark_to_market(_brand_trades(t), _hours(t), CAPITAL, FILL_ORDER, "hour")), 0),
         sql(f"""SELECT {day('day')} AS date, {rq('1e9 + sum(flow) OVER w + positions_value', 0)} AS equity, {rq('1e9 + sum(flow) OVER w', 0)} AS cash,
           {rq('positions_value', 0)} AS positions_value FROM daily_value WINDOW w AS (ORDER BY daily_value.day)""", **MARKED),
     ),
     # --- exits --------------------------------------------------------------
     Case(
-        "first_touch_exits", "K19, C18", lambda t: rounded(pp.first_touch(_entries(t), t.bars, 40), 6, entry_price=9),
-        _touch_sql(MOMENTUM, "SELECT * FROM called WHERE signal_type IS NOT NULL", "SELECT symbol, day, close FROM bars", STOPS + " END", 40),
+        "first_touch_exits", "K19, C18", lambda t: rounded(pp.first_touch(_entries(t), t.bars), 6, entry_price=9),
+        _touch_sql(MOMENTUM, "SELECT * FROM called WHERE signal_type IS NOT NULL", "SELECT symbol, day, close FROM bars", STOPS + " END"),
     ),
     Case(
         "first_touch_exits_with_reversal", "K19, H23",
-        lambda t: rounded(pp.first_touch(_entries(t).filter("day >= date'2000-12-01'"), _mood_bars(t), 20), 6, entry_price=9),
+        lambda t: rounded(pp.first_touch(_entries(t), _mood_bars(t)), 6, entry_price=9),
         _touch_sql(
-            MOMENTUM, "SELECT * FROM called WHERE signal_type IS NOT NULL AND day >= DATE '2000-12-01'",
+            MOMENTUM, "SELECT * FROM called WHERE signal_type IS NOT NULL",
             "SELECT b.symbol, b.day, b.close, m.score AS mood FROM bars b ASOF LEFT JOIN brand_mood m ON b.symbol = m.symbol AND b.day >= m.day",
             STOPS + """ WHEN b.mood IS NULL THEN NULL WHEN e.signal_type = 'BUY' AND b.mood > 1 OR e.signal_type = 'SELL' AND b.mood < -1 THEN 'sentiment_reversal'
-              WHEN e.signal_type = 'SELL' THEN 'valuation_reversal' END""", 20),
+              WHEN e.signal_type = 'SELL' THEN 'valuation_reversal' END"""),
     ),
     # --- orders and risk ----------------------------------------------------
     Case(
@@ -388,12 +403,15 @@ CASES = [
         "order_fills", "D14, B6",
         lambda t: rounded(po.order_fills(
             t.read("orders").select(F.col("o_orderkey").alias("order_id"), (F.col("o_orderkey") % 200 + 1).alias("quantity")),
-            t.fills.withColumnRenamed("l_orderkey", "order_id").select("order_id", "quantity", "price")), 5).withColumns({
+            t.fills.filter("l_orderkey % 7 <> 0").withColumnRenamed("l_orderkey", "order_id").select("order_id", "quantity", "price")), 5).withColumns({
             "active": ft.order_is_active(F.col("status")), "complete": ft.order_is_complete(F.col("status"))}),
-        sql(f"""SELECT *, status = 'partially_filled' AS active, status = 'filled' AS complete FROM (
-          SELECT o_orderkey AS order_id, o_orderkey % 200 + 1 AS quantity, f AS filled_quantity, {rq('p', 5)} AS avg_fill_price,
-          CASE WHEN f >= o_orderkey % 200 + 1 THEN 'filled' ELSE 'partially_filled' END AS status, o_orderkey % 200 + 1 - f AS remaining_quantity
-          FROM orders JOIN (SELECT l_orderkey, sum(quantity) AS f, sum(quantity * price) / sum(quantity) AS p FROM fills GROUP BY 1) ON l_orderkey = o_orderkey)"""),
+        # the fills of every seventh order are left out, so that unfilled orders occur
+        sql(f"""SELECT *, status <> 'filled' AS active, status = 'filled' AS complete FROM (
+          SELECT o_orderkey AS order_id, o_orderkey % 200 + 1 AS quantity, coalesce(f, 0) AS filled_quantity, {rq('p', 5)} AS avg_fill_price,
+          CASE WHEN f IS NULL THEN 'pending' WHEN f >= o_orderkey % 200 + 1 THEN 'filled' ELSE 'partially_filled' END AS status,
+          o_orderkey % 200 + 1 - coalesce(f, 0) AS remaining_quantity FROM orders LEFT JOIN (
+          SELECT l_orderkey, sum(quantity) AS f, sum(quantity * price) / sum(quantity) AS p FROM fills WHERE l_orderkey % 7 <> 0 GROUP BY 1)
+          ON l_orderkey = o_orderkey)"""),
     ),
     Case(
         "requests_of_symbol", "B6", lambda t: t.requests.filter(F.col("symbol") == "7").select("request_id", "side", "quantity"),

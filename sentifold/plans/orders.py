@@ -142,12 +142,22 @@ def stop_loss_scan(positions: DataFrame, prices: DataFrame | None = None, p: Ris
 
 
 def order_fills(orders: DataFrame, fills: DataFrame) -> DataFrame:
-    """Filled quantity, average fill price and status of each order."""
+    """Filled quantity, average fill price and status of each order.
+
+    An order without a fill has filled nothing and keeps the status it came with (pending without one).
+    """
     done = fills.groupBy("order_id").agg(
-        F.sum("quantity").alias("filled_quantity"),
+        F.sum("quantity").alias("_filled"),
         (F.sum(F.col("quantity") * F.col("price")) / F.sum("quantity")).alias("avg_fill_price"),
     )
-    status = F.when(F.col("filled_quantity") >= F.col("quantity"), "filled").otherwise("partially_filled")
-    return orders.join(done, "order_id").withColumn("status", status).withColumn(
-        "remaining_quantity", F.col("quantity") - F.col("filled_quantity")
+    before = F.col("status") if "status" in orders.columns else F.lit("pending")
+    filled = F.coalesce(F.col("_filled"), F.lit(0.0))
+    met = orders.join(done, "order_id", "left").withColumn("filled_quantity", filled)
+    status = (
+        F.when(F.col("_filled").isNull(), before)
+        .when(F.col("filled_quantity") >= F.col("quantity"), "filled")
+        .otherwise("partially_filled")
     )
+    return met.withColumn("status", status).withColumn(
+        "remaining_quantity", F.col("quantity") - F.col("filled_quantity")
+    ).drop("_filled")

@@ -11,6 +11,7 @@ from ..functions import trading as t
 from ..functions.basic import id_text, or_zero
 from ..operators.ledger import average_cost_book, fifo_pairs
 from ..operators.series import with_drawdown, with_stop
+from ..operators.touch import first_hit
 from ..params import ContrarianParams, CostParams
 
 # --- positions --------------------------------------------------------------
@@ -127,9 +128,13 @@ def trade_statistics(pairs: DataFrame) -> DataFrame:
 # --- equity curve -----------------------------------------------------------
 
 
-def mark_to_market(trades: DataFrame, bars: DataFrame, initial: float) -> DataFrame:
+def mark_to_market(
+    trades: DataFrame, bars: DataFrame, initial: float, order: Sequence[str] = ("ts",), bar_order: str = "day"
+) -> DataFrame:
     """Daily equity from costed trades (symbol, day, side, quantity, fill_price, costs) and closes.
 
+    Of several bars or fills on a day the last by ``bar_order`` or ``order`` counts.  A symbol is marked at its
+    last close; only before its first bar does the last fill price stand in.
     Both tables shrink to one row per symbol and day.  A symbol's value changes only on days with
     a bar or a fill, so summing those changes per day and accumulating over days gives the holding
     value without a symbol-by-day grid.  The last window runs over one row per calendar day.
@@ -138,14 +143,17 @@ def mark_to_market(trades: DataFrame, bars: DataFrame, initial: float) -> DataFr
     signed = F.when(buy, F.col("quantity")).otherwise(-F.col("quantity"))
     flow = -signed * F.col("fill_price") - F.col("commission") - F.col("stamp_duty")
     moves = trades.groupBy("symbol", "day").agg(
-        F.sum(signed).alias("dq"), F.sum(flow).alias("flow"), F.max("fill_price").alias("fill")
+        F.sum(signed).alias("dq"),
+        F.sum(flow).alias("flow"),
+        F.max_by("fill_price", F.struct(*order)).alias("fill"),
     )
-    closes = bars.groupBy("symbol", "day").agg(F.max("close").alias("close"))
+    closes = bars.groupBy("symbol", "day").agg(F.max_by("close", bar_order).alias("close"))
     both = moves.join(closes, ["symbol", "day"], "full")
     w = Window.partitionBy("symbol").orderBy("day")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     valued = both.withColumn("held", F.sum(F.coalesce("dq", F.lit(0.0))).over(upto)).withColumn(
-        "mark", F.last(F.coalesce("close", "fill"), ignorenulls=True).over(upto)
+        "mark",
+        F.coalesce(F.last("close", ignorenulls=True).over(upto), F.last("fill", ignorenulls=True).over(upto)),
     )
     valued = valued.withColumn("value", F.col("held") * F.col("mark"))
     daily = (
@@ -227,31 +235,42 @@ def performance_report(
 
 
 def first_touch(
-    entries: DataFrame, bars: DataFrame, horizon: int = 60, p: ContrarianParams = ContrarianParams()
+    entries: DataFrame, bars: DataFrame, p: ContrarianParams = ContrarianParams(), limit: int | None = None
 ) -> DataFrame:
-    """For each entry the first later bar, within a horizon of bars, that calls for an exit.
+    """For each entry the first later bar that calls for an exit; without one it stays open.
 
-    ``entries``: symbol, day, signal_type, entry_price, stop_loss, take_profit, at bar days.
-    ``bars``: symbol, day, close and optionally mood, v.  Each bar looks ahead over a fixed number
-    of rows of its own series, so no entry is paired with all bars of its symbol.
+    ``entries``: symbol, day, signal_type, entry_price, stop_loss, take_profit, on any day.
+    ``bars``: one row per symbol and day with close and optionally mood, v.
     """
-    extra = [c for c in ("mood", "v") if c in bars.columns]
-    unknown = F.lit(None).cast("double")
-    ahead = Window.partitionBy("symbol").orderBy("day").rowsBetween(1, horizon)
-    path = bars.select("symbol", "day", F.collect_list(F.struct("day", "close", *extra)).over(ahead).alias("path"))
-    why = lambda b: t.exit_reason(
-        F.col("signal_type"), b["close"], F.col("stop_loss"), F.col("take_profit"),
-        *(b[c] if c in extra else unknown for c in ("mood", "v")), p,
-    )
-    first = F.try_element_at(F.filter("path", lambda b: why(b).isNotNull()), F.lit(1))
-    touched = entries.join(path, ["symbol", "day"]).withColumn("hit", first)
-    gain = t.return_pct(F.col("signal_type") == "BUY", F.col("entry_price"), F.col("hit.close"))
+    number = F.lit(None).cast("double")
+    extra = [c if c in bars.columns else number.alias(c) for c in ("mood", "v")]
+    bars = bars.select("symbol", "day", "close", *extra)
+    # A reversal needs both values, so a bar that lacks one takes part with its close only.
+    known = F.col("mood").isNotNull() & F.col("v").isNotNull()
+    bars = bars.withColumns({c: F.when(known, F.col(c)) for c in ("mood", "v")})
+
+    def calls(low, high):
+        long = F.col("signal_type") == "BUY"
+        no = F.lit(False)
+        falls = (low("close") <= F.col("stop_loss")) | (high("close") >= F.col("take_profit"))
+        rises = (high("close") >= F.col("stop_loss")) | (low("close") <= F.col("take_profit"))
+        turned = F.when(long, high("mood") > p.mood_reversal).otherwise(low("mood") < -p.mood_reversal)
+        valued = F.when(long, low("v") < p.value_reversal).otherwise(high("v") > p.value_reversal)
+        return F.coalesce(F.when(long, falls).otherwise(rises), no) | F.coalesce(turned, no) | F.coalesce(valued, no)
+
+    tie = ["signal_type", "entry_price", "stop_loss", "take_profit"]
+    touched = first_hit(entries, bars, "symbol", "day", ["close", "mood", "v"], calls, tie, limit)
+    hit = F.col("found")
+    why = t.exit_reason(
+        F.col("signal_type"), hit["close"], F.col("stop_loss"), F.col("take_profit"), hit["mood"], hit["v"], p
+    )
+    gain = t.return_pct(F.col("signal_type") == "BUY", F.col("entry_price"), hit["close"])
     return touched.select(
         "symbol",
         "day",
         "signal_type",
         "entry_price",
-        F.col("hit.day").alias("exit_day"),
-        F.coalesce(why(F.col("hit")), F.lit("open")).alias("exit_reason"),
+        hit["day"].alias("exit_day"),
+        F.when(hit.isNotNull(), why).otherwise("open").alias("exit_reason"),
         gain.alias("exit_return"),
     )

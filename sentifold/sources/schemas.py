@@ -23,7 +23,7 @@ SENTIMENT_COMPOSITE = (
     "symbol string, ts timestamp_ntz, score double, confidence double, source_scores map<string, double>"
 )
 
-STOCK_NAMES = "symbol string, name string, updated_at timestamp_ntz"
+NAMES = "symbol string, name string, updated_at timestamp_ntz"
 
 SIGNALS = (
     "symbol string, signal_type string, ts timestamp_ntz, source string, strength double, confidence double, "

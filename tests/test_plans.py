@@ -248,8 +248,23 @@ def test_mark_to_market(spark):
     trades = spark.createDataFrame([("x", day(1), "BUY", 10.0, 10.0, 1.0, 0.0), ("x", day(3), "SELL", 4.0, 12.0, 1.0, 2.0)],
                                    "symbol string, day date, side string, quantity double, fill_price double, commission double, stamp_duty double")
     bars = spark.createDataFrame([("x", day(2), 11.0), ("x", day(3), 13.0), ("y", day(4), 5.0)], "symbol string, day date, close double")
-    got = {r.date.day: (r.cash, r.positions_value, r.equity) for r in performance.mark_to_market(trades, bars, 1000.0).collect()}
+    got = {r.date.day: (r.cash, r.positions_value, r.equity) for r in performance.mark_to_market(trades, bars, 1000.0, ["day"]).collect()}
     assert got == {1: (899.0, 100.0, 999.0), 2: (899.0, 110.0, 1009.0), 3: (944.0, 78.0, 1022.0), 4: (944.0, 78.0, 1022.0)}
+    # of several bars a day the last counts, and a fill does not replace an older close
+    hours = spark.createDataFrame([("x", day(1), 9, 12.0), ("x", day(1), 15, 9.0)], "symbol string, day date, hour int, close double")
+    got = {r.date.day: r.positions_value for r in performance.mark_to_market(trades, hours, 1000.0, ["day"], "hour").collect()}
+    assert got == {1: 90.0, 3: 54.0}
+
+
+def test_orders_without_a_fill(spark):
+    orders = spark.createDataFrame([(1, 10), (2, 10)], "order_id int, quantity int")
+    fills = spark.createDataFrame([(1, 4, 2.0)], "order_id int, quantity int, price double")
+    from sentifold.plans.orders import order_fills
+
+    got = {r.order_id: (r.filled_quantity, r.avg_fill_price, r.status, r.remaining_quantity) for r in order_fills(orders, fills).collect()}
+    assert got == {1: (4, 2.0, "partially_filled", 6), 2: (0, None, "pending", 10)}
+    kept = order_fills(orders.selectExpr("*", "'cancelled' AS status"), fills).filter("order_id = 2").first()
+    assert kept.status == "cancelled"
 
 
 def test_curve_measures(spark):
@@ -260,12 +275,45 @@ def test_curve_measures(spark):
     assert r.annualized_return == pytest.approx(0.99 ** (365 / 2) - 1)
 
 
+ENTRY = "symbol string, day date, signal_type string, entry_price double, stop_loss double, take_profit double"
+
+
 def test_first_touch(spark):
     day = lambda d: dt.date(2024, 1, d)
     bars = spark.createDataFrame([("x", day(d), c) for d, c in enumerate([100.0, 95.0, 91.0, 120.0, 100.0], 1)], "symbol string, day date, close double")
-    entry = spark.createDataFrame([("x", day(1), "BUY", 100.0, 92.0, 115.0), ("x", day(4), "BUY", 120.0, 90.0, 130.0)],
-                                  "symbol string, day date, signal_type string, entry_price double, stop_loss double, take_profit double")
-    got = {r.day.day: (r.exit_reason, r.exit_day, r.exit_return) for r in performance.first_touch(entry, bars, 10).collect()}
-    assert got == {1: ("stop_loss", day(3), pytest.approx(-0.09)), 4: ("open", None, None)}
-    short = {r.day.day: r.exit_reason for r in performance.first_touch(entry, bars, 1).collect()}
-    assert short == {1: "open", 4: "open"}
+    entry = spark.createDataFrame(
+        [("x", day(1), "BUY", 100.0, 92.0, 115.0), ("x", day(4), "BUY", 120.0, 90.0, 130.0), ("y", day(4), "BUY", 1.0, 0.9, 1.3)], ENTRY
+    )
+    got = {(r.symbol, r.day.day): (r.exit_reason, r.exit_day, r.exit_return) for r in performance.first_touch(entry, bars).collect()}
+    assert got == {("x", 1): ("stop_loss", day(3), pytest.approx(-0.09)), ("x", 4): ("open", None, None), ("y", 4): ("open", None, None)}
+
+
+def test_first_touch_after_many_bars_and_off_bars(spark):
+    start = dt.date(2020, 1, 1)
+    day = lambda d: start + dt.timedelta(days=2 * d)
+    bars = spark.createDataFrame([("x", day(d), 100.0 if d < 65 else 50.0) for d in range(70)], "symbol string, day date, close double")
+    entry = spark.createDataFrame([("x", day(0), "BUY", 100.0, 92.0, 115.0), ("x", day(0) - dt.timedelta(days=9), "BUY", 100.0, 92.0, 115.0),
+                                   ("x", day(3) + dt.timedelta(days=1), "SELL", 100.0, 108.0, 50.0)], ENTRY)
+    out = performance.first_touch(entry, bars).collect()
+    assert {r.day: (r.exit_reason, r.exit_day) for r in out} == {
+        day(0): ("stop_loss", day(65)), day(0) - dt.timedelta(days=9): ("stop_loss", day(65)), day(3) + dt.timedelta(days=1): ("take_profit", day(65)),
+    }
+
+
+@pytest.mark.parametrize(("fan", "limit"), [(3, None), (4, 40)])
+def test_first_hit_equals_a_walk(spark, fan, limit):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from sentifold.operators.touch import first_hit
+
+    rng = random.Random(9)
+    rows = [("ab"[i % 7 == 0], i, rng.randrange(100)) for i in rng.sample(range(400), 200)]
+    asks = [(rng.choice("abc"), rng.randrange(420), n, rng.choice([1, 5, 50, 200])) for n in range(150)]
+    got = first_hit(
+        spark.createDataFrame(asks, "k string, at int, n int, bound int"), spark.createDataFrame(rows, "k string, at int, v int"),
+        "k", "at", ["v"], lambda low, high: high("v") >= F.col("bound"), ["n"], limit, fan,
+    )
+    want = {n: min((i for s, i, v in rows if s == k and i > at and v >= bound), default=None) for k, at, n, bound in asks}
+    assert {r.n: r.found and r.found["at"] for r in got.collect()} == want

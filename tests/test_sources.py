@@ -10,7 +10,7 @@ from sentifold.operators import durable
 from sentifold.plans import scoring
 from sentifold.plans.mood import collect_and_publish
 from sentifold.sources import market, store, vendor
-from sentifold.sources.schemas import SENTIMENT_COMPOSITE, SENTIMENT_RAW, STOCK_NAMES, conform
+from sentifold.sources.schemas import SENTIMENT_COMPOSITE, SENTIMENT_RAW, NAMES, conform
 
 NOW = "2024-02-01"
 
@@ -167,7 +167,7 @@ def test_names_and_snapshots(spark, tmp_path):
     store.upsert_names(names(("2", "deux"), ("3", "trois")), path, 2, "2024-01-02")
     kept = store.read_snapshot(spark, path)
     assert rows(kept, "symbol", "name") == {("1", "one"), ("2", "deux"), ("3", "trois")}
-    assert kept.columns == [c.split()[0] for c in STOCK_NAMES.split(", ")]
+    assert kept.columns == [c.split()[0] for c in NAMES.split(", ")]
     wanted = names(("1", ""), ("9", ""))
     assert rows(store.names_of(kept, wanted), "name") == {("one",)}
     assert rows(store.without_name(wanted, kept), "symbol") == {("9",)}
