@@ -46,15 +46,26 @@ HOT = {
     "lows": "SELECT *, min(s - step) OVER (PARTITION BY symbol ORDER BY n ROWS UNBOUNDED PRECEDING) AS low FROM levels",
     "matched": """SELECT *, row_number() OVER (PARTITION BY symbol, side ORDER BY n) AS pair_no FROM lows
       WHERE side = 'BUY' OR s - step > low""",
+    "paired": """SELECT symbol, pair_no, max(CASE WHEN side = 'BUY' THEN {'o': l_orderkey, 'p': price} END) AS b,
+      max(CASE WHEN side = 'SELL' THEN {'o': l_orderkey, 'p': price} END) AS s FROM matched GROUP BY symbol, pair_no""",
+    # Average cost as a fold over each symbol's fills: quantity, cost, profit, profit since flat, last price, fills, fills that left a position.
+    "folded": """SELECT symbol, list_reduce(list({'q': qty::DOUBLE, 'c': price, 'g': 0.0::DOUBLE, 'o': 0.0::DOUBLE, 'p': price, 'n': 1, 'k': 1}
+        ORDER BY ts, l_orderkey, l_linenumber, part), lambda a, x: {
+        'q': a.q + x.q,
+        'c': CASE WHEN a.q = 0 THEN x.p WHEN sign(a.q) = sign(x.q) THEN (a.q * a.c + x.q * x.p) / (a.q + x.q)
+          WHEN abs(x.q) > abs(a.q) THEN x.p ELSE a.c END,
+        'g': a.g + CASE WHEN a.q <> 0 AND sign(a.q) <> sign(x.q) THEN (x.p - a.c) * least(abs(x.q), abs(a.q)) * sign(a.q) ELSE 0 END,
+        'o': CASE WHEN a.q + x.q = 0 THEN 0 ELSE a.o + CASE WHEN a.q <> 0 AND sign(a.q) <> sign(x.q)
+          THEN (x.p - a.c) * least(abs(x.q), abs(a.q)) * sign(a.q) ELSE 0 END END,
+        'p': x.p, 'n': a.n + 1, 'k': a.k + CASE WHEN a.q + x.q <> 0 THEN 1 ELSE 0 END}) AS f FROM hot_fills GROUP BY symbol""",
 }
 
 CASES = [
     Case(
         "fifo_pairs_hot_symbol", "C15, E14",
         lambda t: rounded(ledger.fifo_pairs(*_fills(t)[:1], ["symbol"], _fills(t)[1], ["l_orderkey", "price"], LIMIT)),
-        sql(f"""SELECT b.symbol, b.pair_no, b.l_orderkey AS buy_l_orderkey, {rq('b.price')} AS buy_price, s.l_orderkey AS sell_l_orderkey,
-          {rq('s.price')} AS sell_price FROM matched b JOIN matched s ON b.symbol = s.symbol AND b.pair_no = s.pair_no
-          AND b.side = 'BUY' AND s.side = 'SELL'""", **HOT),
+        sql(f"""SELECT symbol, pair_no, b.o AS buy_l_orderkey, {rq('b.p')} AS buy_price, s.o AS sell_l_orderkey, {rq('s.p')} AS sell_price
+          FROM paired WHERE b IS NOT NULL AND s IS NOT NULL""", **HOT),
     ),
     Case(
         "position_quantities_hot_symbol", "D15",
@@ -63,14 +74,15 @@ CASES = [
     ),
     Case(
         "position_book_hot_symbol", "D15, K15",
-        lambda t: rounded(ledger.average_cost_book(*_fills(t)[:1], ["symbol"], _fills(t)[1], limit=LIMIT, fold=512), 4),
-        None,
+        lambda t: rounded(ledger.average_cost_book(*_fills(t)[:1], ["symbol"], _fills(t)[1], limit=LIMIT, fold=512), 3),
+        sql(f"""SELECT symbol, CAST(f.q AS BIGINT) AS quantity, {rq('CASE WHEN f.q <> 0 THEN f.c END', 3)} AS avg_cost, {rq('f.p', 3)} AS last_price,
+          {rq('f.g', 3)} AS realised_all, {rq('f.o', 3)} AS realised_open, CAST(f.n AS BIGINT) AS n_fills FROM folded""", **HOT),
     ),
     Case(
         "fill_ledger_hot_symbol", "D15, K15",
         lambda t: rounded(ledger.cost_ledger(*_fills(t)[:1], ["symbol"], _fills(t)[1], limit=LIMIT, stretch=1500)
                           .groupBy("symbol").agg(F.sum("realised").alias("realised"), F.count("avg_cost_after").alias("n_open")), 2),
-        None,
+        sql(f"SELECT symbol, {rq('f.g', 2)} AS realised, CAST(f.k AS BIGINT) AS n_open FROM folded", **HOT),
     ),
     Case(
         "sentiment_by_observation_hot_symbol", "E1, E2, E3, E4, E5, K3",

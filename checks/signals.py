@@ -8,12 +8,13 @@ from sentifold.functions import trading as ft
 from sentifold.operators.cooldown import accept_after_cooldown
 from sentifold.operators.series import (
     with_confirmation,
+    with_enough_rows,
     with_momentum,
     with_moving_average,
     with_return,
     with_return_zscore,
 )
-from sentifold.params import ContrarianParams, MomentumParams, RouterParams
+from sentifold.params import ContrarianParams, DislocationParams, MomentumParams, RouterParams
 from sentifold.plans import contrarian as pc
 from sentifold.plans import mood as pm
 from sentifold.plans import routing as pr
@@ -257,6 +258,38 @@ def _plug(t):
     return {"bars": t.bars.select("symbol", "day", "close"), "mood": t.brand_mood}
 
 
+def _bar_signals(as_of: str) -> dict[str, str]:
+    """What the three bar strategies of ``_registry`` say on a day."""
+    recent = f"day BETWEEN DATE '{as_of}' - {{}} AND DATE '{as_of}'"
+    walk = """SELECT symbol, day, close, close / lag(close) OVER (PARTITION BY symbol ORDER BY day) - 1 AS ret,
+      row_number() OVER (PARTITION BY symbol ORDER BY day DESC) AS back FROM {}"""
+    last = "max(CASE WHEN back = 1 THEN {0} END) AS {0}"
+    return {
+        "year": f"SELECT symbol, day, close FROM bars WHERE {recent.format(252)}",
+        "month": f"SELECT symbol, day, close FROM bars WHERE {recent.format(30)}",
+        "year_walk": walk.format("year"),
+        "month_walk": walk.format("month"),
+        "year_scored": f"""SELECT symbol, {last.format('day')}, {last.format('close')},
+          (max(CASE WHEN back = 1 THEN ret END) - avg(ret)) / stddev_samp(ret) AS z, count(ret) AS n FROM year_walk GROUP BY symbol""",
+        "year_placed": f"""SELECT s.symbol, s.close, s.z, coalesce(m.score, 0) AS score FROM year_scored s
+          ASOF LEFT JOIN (SELECT * FROM brand_mood WHERE {recent.format(252)}) m ON s.symbol = m.symbol AND s.day >= m.day WHERE n >= 20""",
+        "month_scored": f"""SELECT symbol, {last.format('close')}, count(*) AS n, avg(CASE WHEN back <= 20 THEN close END) AS ma,
+          avg(CASE WHEN back <= 5 THEN ret END) - avg(CASE WHEN back <= 15 THEN ret END) AS m FROM month_walk GROUP BY symbol""",
+        "entries_": """SELECT symbol, 'sentiment_arbitrage' AS source, least((abs(score) + abs(z) + abs(score - z)) * 10, 100) AS strength,
+            {arbitrage}::DOUBLE AS confidence, close AS entry_price, 0.15 AS down, 0.20 AS up, score AS sentiment_score,
+            CASE WHEN score > 1.5 AND z < -0.5 AND score - z > 2 THEN 'BUY' WHEN score < -1.5 AND z > 0.5 AND score - z < -2 THEN 'SELL' END AS signal_type
+          FROM year_placed
+          UNION ALL SELECT symbol, 'momentum', least(abs(m) * 5000, 100), 0.6::DOUBLE, close, 0.08, 0.15, NULL,
+            CASE WHEN m > 0.005 THEN 'BUY' WHEN m < -0.005 THEN 'SELL' END FROM month_scored WHERE n >= 15
+          UNION ALL SELECT symbol, 'breakout', 50.0::DOUBLE, 0.5::DOUBLE, close, NULL, NULL, NULL,
+            CASE WHEN close > ma * 1.02 THEN 'BUY' END FROM month_scored WHERE n >= 20""".replace("{arbitrage}", str(DislocationParams().confidence)),
+        "bar_signals": """SELECT 0 AS run, symbol, source, signal_type, strength, confidence, entry_price, source AS reason,
+          entry_price * CASE signal_type WHEN 'BUY' THEN 1 - down ELSE 1 + down END AS stop_loss,
+          entry_price * CASE signal_type WHEN 'BUY' THEN 1 + up ELSE 1 - up END AS take_profit,
+          CAST(NULL AS DOUBLE) AS position_size, sentiment_score, CAST(NULL AS DOUBLE) AS valuation_score FROM entries_ WHERE signal_type IS NOT NULL""",
+    }
+
+
 EVENT_TIMES = "SELECT symbol, ts, event_id, row_number() OVER (PARTITION BY symbol ORDER BY ts, event_id) AS n FROM sentiment_raw"
 
 CASES = [
@@ -299,10 +332,8 @@ CASES = [
     ),
     Case(
         "minimum_history", "B7",
-        lambda t: t.bars.filter(F.col("day").between(D("1996-01-01"), D("1996-02-01"))).groupBy("symbol").agg(
-            F.count(F.lit(1)).alias("n_closes")).filter("n_closes >= 20"),
-        sql("""SELECT symbol, count(*) AS n_closes FROM bars WHERE day BETWEEN DATE '1996-01-01' AND DATE '1996-02-01'
-          GROUP BY symbol HAVING count(*) >= 20"""),
+        lambda t: with_enough_rows(t.bars, ["symbol"], 20),
+        sql("SELECT symbol, count(*) AS n_rows FROM bars GROUP BY symbol HAVING count(*) >= 20"),
     ),
     Case(
         "return_zscores", "E8",
@@ -322,7 +353,7 @@ CASES = [
         "dislocation_signals_of_day", "K7",
         lambda t: rounded(ps.dislocation_signals(t.bars.select("symbol", "day", "close"), t.brand_mood, D("2001-01-21")).select(
             F.to_date("ts").alias("day"), "symbol", "signal_type", "strength", "entry_price"), 5, **P),
-        sql(f"""SELECT symbol, {day()} AS day, signal_type, {rq('least((abs(score) + abs(z) + abs(gap)) * 10, 100)', 5)} AS strength,
+        sql(f"""SELECT symbol, '2001-01-21' AS day, signal_type, {rq('least((abs(score) + abs(z) + abs(gap)) * 10, 100)', 5)} AS strength,
           {rq('close', 9)} AS entry_price FROM called WHERE signal_type IS NOT NULL""", **{
             "recent": "SELECT symbol, day, close FROM bars WHERE day BETWEEN DATE '2001-01-21' - 252 AND DATE '2001-01-21'",
             **DISLOCATION,
@@ -336,7 +367,7 @@ CASES = [
         "momentum_signals_of_day", "K9",
         lambda t: rounded(ps.momentum_signals(t.bars.select("symbol", "day", "close"), D("2001-01-21")).select(
             F.to_date("ts").alias("day"), "symbol", "signal_type", "strength", "entry_price"), 5, **P),
-        sql(f"""SELECT symbol, {day()} AS day, CASE WHEN m > 0 THEN 'BUY' ELSE 'SELL' END AS signal_type, {rq('least(abs(m) * 5000, 100)', 5)} AS strength,
+        sql(f"""SELECT symbol, '2001-01-21' AS day, CASE WHEN m > 0 THEN 'BUY' ELSE 'SELL' END AS signal_type, {rq('least(abs(m) * 5000, 100)', 5)} AS strength,
           {rq('close', 9)} AS entry_price FROM moved WHERE n >= 20 AND abs(m) > 0.005""",
             recent="SELECT symbol, day, close FROM bars WHERE day BETWEEN DATE '2001-01-21' - 30 AND DATE '2001-01-21'",
             returns="""SELECT symbol, day, close, close / lag(close) OVER (PARTITION BY symbol ORDER BY day) - 1 AS ret,
@@ -435,7 +466,11 @@ CASES = [
         sql(f"""SELECT {day('run')} AS run, count(*) FILTER (signal_type = 'BUY') AS long_count, count(*) FILTER (signal_type = 'SELL') AS short_count,
           {rq("sum(CASE WHEN signal_type IN ('BUY', 'SELL') THEN position_size ELSE 0 END)")} AS total_exposure,
           {rq("sum(CASE signal_type WHEN 'BUY' THEN position_size WHEN 'SELL' THEN -position_size ELSE 0 END)")} AS net_exposure,
-          {rq('max(position_size)')} AS max_single_position, count(*) AS signal_count FROM scaled GROUP BY scaled.run""", **_routed_views()),
+          {rq('max(position_size)')} AS max_single_position, count(*) AS signal_count, {rq('bought / sold')} AS long_short_ratio,
+          coalesce(bought / sold > 2, false) AS ratio_exceeded FROM (SELECT *,
+            sum(CASE WHEN signal_type = 'BUY' THEN position_size END) OVER (PARTITION BY run) AS bought,
+            sum(CASE WHEN signal_type = 'SELL' THEN position_size END) OVER (PARTITION BY run) AS sold FROM scaled)
+          GROUP BY run, bought, sold""", **_routed_views()),
     ),
     Case(
         "order_list", "K20, B9, H41",
@@ -458,12 +493,15 @@ CASES = [
     Case(
         "registry_union_of_bars", "J1, J2, J4, G2",
         lambda t: _registry().collect(_plug(t), D("2001-01-20")).groupBy("source", "signal_type").agg(F.count(F.lit(1)).alias("n")),
-        None,
+        sql("SELECT source, signal_type, count(*) AS n FROM bar_signals GROUP BY source, signal_type", **_bar_signals("2001-01-20")),
     ),
     Case(
         "combined_strategy", "J3",
         lambda t: rounded(ps.combined(_registry()).signals(_plug(t), D("2001-01-20")).select(
             "symbol", "signal_type", "source", "strength", "confidence", "position_size")),
-        None,
+        sql(f"""SELECT symbol, signal_type, 'combined' AS source, {rq('strength')} AS strength, {rq('confidence')} AS confidence,
+          {rq('position_size')} AS position_size FROM scaled""", **{**_bar_signals("2001-01-20"), **_routed_views(), "weighted":
+          """SELECT *, CASE source WHEN 'sentiment_arbitrage' THEN 0.6 WHEN 'momentum' THEN 1 / 2 ELSE 1 / 3 END::DOUBLE AS w
+            FROM bar_signals WHERE confidence >= 0.3 AND strength >= 30"""}),
     ),
 ]

@@ -257,3 +257,8 @@ def with_confirmation(
     for back in range(1, rows):
         same = same & F.coalesce(F.lag(signal_type, back).over(w) == F.col(signal_type), F.lit(False))
     return df.withColumn("confirmed", same)
+
+
+def with_enough_rows(df: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
+    """Keys that have at least ``least`` rows, with their number."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") >= least)

@@ -148,6 +148,7 @@ class RouterParams:
     require_agreement: bool = False
     max_size: float = 0.05
     max_exposure: float = 1.0
+    max_long_short_ratio: float = 2.0
     sizing: str = "signal_strength"
     base_size: float = 0.02
     max_signals: int = 50

@@ -148,8 +148,10 @@ def route(
 
 
 def portfolio_summary(signals: DataFrame, run: Sequence[str] = (), p: RouterParams = RouterParams()) -> DataFrame:
+    """Counts and exposures of a run; a ratio of long to short exposure past the limit is flagged."""
     long, short = F.col("signal_type") == "BUY", F.col("signal_type") == "SELL"
     size = or_zero(F.col("position_size"))
+    ratio = F.when(F.col("_sold") > 0, F.col("_bought") / F.col("_sold"))
     bought = or_zero(F.sum(F.when(long, size)))
     sold = or_zero(F.sum(F.when(short, size)))
     return signals.groupBy(*run).agg(
@@ -159,4 +161,8 @@ def portfolio_summary(signals: DataFrame, run: Sequence[str] = (), p: RouterPara
         (bought - sold).alias("net_exposure"),
         or_zero(F.max(size)).alias("max_single_position"),
         F.count(F.lit(1)).alias("signal_count"),
-    )
+        bought.alias("_bought"),
+        sold.alias("_sold"),
+    ).withColumns(
+        {"long_short_ratio": ratio, "ratio_exceeded": F.coalesce(ratio > p.max_long_short_ratio, F.lit(False))}
+    ).drop("_bought", "_sold")

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import trading as t
@@ -41,6 +41,11 @@ def _lookback(df: DataFrame, as_of, days: int) -> DataFrame:
     return df.filter(F.col("day").between(F.date_sub(end, days), end))
 
 
+def _stamp(as_of) -> Column:
+    """Time of a signal: that of the run, or without one the bar's day."""
+    return (F.col("day") if as_of is None else F.lit(as_of)).cast("timestamp_ntz")
+
+
 def _newest(df: DataFrame, as_of) -> DataFrame:
     """The newest row per symbol for a run at a date; every row without one."""
     return df if as_of is None else latest(df, ["symbol"], ["day"])
@@ -80,7 +85,7 @@ def dislocation_signals(
     text = F.format_string("Sentiment: %.2f, Z-score: %.2f, Dislocation: %.2f", F.col("score"), z, gap)
     out = rows.withColumn("signal_type", side).filter("signal_type is not null").withColumns(
         {
-            "ts": F.col("day").cast("timestamp_ntz"),
+            "ts": _stamp(as_of),
             "source": F.lit("sentiment_arbitrage"),
             "strength": strength,
             "confidence": F.lit(p.confidence),
@@ -138,7 +143,7 @@ def momentum_signals(bars: DataFrame, as_of=None, p: MomentumParams = MomentumPa
     up = F.col("signal_type") == "BUY"
     out = rows.withColumn("signal_type", side).filter("signal_type is not null").withColumns(
         {
-            "ts": F.col("day").cast("timestamp_ntz"),
+            "ts": _stamp(as_of),
             "source": F.lit("momentum"),
             "strength": F.least(F.abs(m) * p.strength_factor, F.lit(100.0)),
             "confidence": F.lit(p.confidence),
@@ -188,7 +193,7 @@ def breakout_signals(bars: DataFrame, as_of=None, p: BreakoutParams = BreakoutPa
     out = rows.filter(close > ma * p.margin).withColumns(
         {
             "signal_type": F.lit("BUY"),
-            "ts": F.col("day").cast("timestamp_ntz"),
+            "ts": _stamp(as_of),
             "source": F.lit("simple_momentum"),
             "strength": F.lit(p.strength),
             "confidence": F.lit(p.confidence),
@@ -212,12 +217,13 @@ class Strategy:
     build: Callable[[Tables, object], DataFrame]
     needs: Sequence[str] = ()
     horizon: str = "medium_term"
+    validate: Callable[[DataFrame], DataFrame] = lambda signals: signals
 
     def signals(self, tables: Tables, as_of) -> DataFrame:
         missing = [n for n in self.needs if n not in tables]
         if missing:
             raise ValueError(f"{self.name} needs tables {missing}")
-        out = conform(self.build(tables, as_of), SIGNALS)
+        out = conform(self.validate(self.build(tables, as_of)), SIGNALS)
         return out.withColumn("source", F.lit(self.name))
 
 
