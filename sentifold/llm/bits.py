@@ -3,18 +3,30 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# 64-bit words that reach the driver as one value.
+CHUNK = 4096
+
+
+def _chunk(rows: pd.DataFrame) -> pd.DataFrame:
+    words = np.zeros(CHUNK, np.int64)
+    words[rows["at"].to_numpy() % CHUNK] = rows["mark"].to_numpy()
+    return pd.DataFrame({"chunk": [int(rows["chunk"].iloc[0])], "words": [words.tobytes()]})
+
 
 def bit_table(numbers: DataFrame, column: str, bits: int) -> np.ndarray:
     """2 ** bits bits as 64-bit words, set where a number occurs; what reaches the driver is as large at most."""
     number = F.col(column)
     mark = F.call_function("shiftleft", F.lit(1).cast("long"), number.bitwiseAND(63).cast("int"))
     rows = numbers.select(F.shiftright(number, 6).alias("at"), mark.alias("mark"))
-    rows = rows.groupBy("at").agg(F.bit_or("mark").alias("mark")).toPandas()
-    table = np.zeros(1 << max(bits - 6, 0), np.uint64)
-    table[rows["at"].to_numpy(np.int64)] = rows["mark"].to_numpy(np.int64).view(np.uint64)
+    rows = rows.groupBy("at").agg(F.bit_or("mark").alias("mark")).withColumn("chunk", F.floor(F.col("at") / CHUNK))
+    chunks = rows.groupBy("chunk").applyInPandas(_chunk, "chunk long, words binary")
+    table = np.zeros(max(1 << max(bits - 6, 0), CHUNK), np.uint64)
+    for r in chunks.toLocalIterator():
+        table[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["words"], np.uint64)
     return table
 
 

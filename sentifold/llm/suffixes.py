@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import modest_batches, utf8, written
+from .bits import bit_table, is_set
+from .common import modest_batches, unused, utf8, written
 from .components import components
 
 MIN_WORDS = 50
@@ -87,10 +88,6 @@ def sparse_suffixes(words: list[bytes], min_words: int = MIN_WORDS) -> tuple[np.
     return places, keys[places]
 
 
-def _bit(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (keys >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def _repeated_keys(docs: DataFrame, min_words: int, bits: int) -> np.ndarray:
     """Bit table of the keys that occur twice or more."""
 
@@ -101,13 +98,8 @@ def _repeated_keys(docs: DataFrame, min_words: int, bits: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
 
     counts = docs.select("text").mapInArrow(keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    bit = F.shiftrightunsigned("key", 64 - bits)
-    mark = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int"))
-    marked = counts.filter("n > 1").select(F.shiftright(bit, 6).alias("at"), mark.alias("mark"))
-    marked = marked.groupBy("at").agg(F.bit_or("mark").alias("mark")).toPandas()  # at most 2 ** (bits - 6) rows
-    table = np.zeros(1 << (bits - 6), np.uint64)
-    table[marked["at"].to_numpy(np.int64)] = marked["mark"].to_numpy(np.int64).view(np.uint64)
-    return table
+    marked = counts.filter("n > 1").select(F.shiftrightunsigned("key", 64 - bits).alias("bit"))
+    return bit_table(marked, "bit", bits)
 
 
 def _contexts(docs: DataFrame, table: np.ndarray, min_words: int, bits: int) -> DataFrame:
@@ -121,8 +113,7 @@ def _contexts(docs: DataFrame, table: np.ndarray, min_words: int, bits: int) ->
             for i, t in enumerate(batch.column(1).to_pylist()):
                 words = words_of(t)
                 places, keys = sparse_suffixes(words, min_words)
-                bit = _bit(keys, bits)
-                hit = (marks[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
+                hit = is_set(marks, (keys >> np.uint64(64 - bits)).astype(np.int64))
                 for p, key in zip(places[hit].tolist(), keys[hit].view(np.int64).tolist(), strict=True):
                     docs_.append(i)
                     places_.append(p)
@@ -329,10 +320,12 @@ def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
 def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
     """The rows with every copy of a passage cut from its text; rows left without a word go."""
     modest_batches(docs.sparkSession)
-    numbered = written(docs.withColumn("row_", F.monotonically_increasing_id()), "numbered")
-    rows = numbered.select(F.col(doc_id).alias("doc_id"), utf8(F.col(text)).alias("text"), F.col("row_").alias("row"))
-    spans = repeated_spans(rows, **options).select(F.col("row").alias("cut_row_"), F.col("copies").alias("cut_"))
-    joined = numbered.join(spans.filter(F.size("cut_") > 0), F.col("row_") == F.col("cut_row_"), "left")
-    uncut = joined.filter("cut_row_ IS NULL").select(*docs.columns)
-    cut = joined.filter("cut_row_ IS NOT NULL").withColumn(text, _cut(utf8(F.col(text)), F.col("cut_")).cast("string"))
+    number, spans = unused(docs, "row_"), unused(docs, "cut_")
+    numbered = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    rows = numbered.select(F.col(doc_id).alias("doc_id"), utf8(F.col(text)).alias("text"), F.col(number).alias("row"))
+    cuts = repeated_spans(rows, **options).filter(F.size("copies") > 0)
+    joined = numbered.join(cuts.select(F.col("row").alias(number), F.col("copies").alias(spans)), number, "left")
+    joined = written(joined, "documents-with-cuts")
+    uncut = joined.filter(F.col(spans).isNull()).select(*docs.columns)
+    cut = joined.filter(F.col(spans).isNotNull()).withColumn(text, _cut(utf8(F.col(text)), F.col(spans)).cast("string"))
     return uncut.unionByName(cut.filter(F.col(text).rlike(r"[^ \t\n\r\x0b\f]")).select(*docs.columns))
