@@ -100,3 +100,24 @@ def test_replay_and_enrich(spark, tmp_path):
     held = spark.createDataFrame([("a", 5)], "symbol string, quantity long")
     got = live.drain(live.enrich_with_positions(bars, held), f"{tmp_path}/out", f"{tmp_path}/state")
     assert {(r.symbol, r.quantity) for r in got.collect()} == {("a", 5), ("b", None)}
+
+
+def test_rows_out_of_order_wait_and_later_ones_are_told(spark, tmp_path):
+    minute = lambda m: T0 + dt.timedelta(minutes=m)
+    rows = [("a", minute(m), m, float(m)) for m in (0, 30, 10, 60, 5, 200, 300)]
+    want = {r.tie: r.ema for r in with_ema(spark.createDataFrame(rows[:4] + rows[5:6], SCORES), ["symbol"], ["ts", "tie"], "total", 0.2).collect()}
+    stream = landed(spark, f"{tmp_path}/in", rows, SCORES, files=len(rows))
+    out = live.drain(live.live_mood(stream, hold_minutes=40), f"{tmp_path}/out", f"{tmp_path}/state").collect()
+    got = {r.tie: r.ema for r in out if not r.late}
+    assert got == {k: pytest.approx(want[k]) for k in (0, 10, 30, 60, 200)}
+    assert [(r.tie, r.ema) for r in out if r.late] == [(5, None)]
+    cooled = live.drain(live.live_cooldown(stream, 25, 40), f"{tmp_path}/out2", f"{tmp_path}/state2").collect()
+    assert {(r.tie, r.late) for r in cooled} == {(0, False), (30, False), (60, False), (200, False), (5, True)}
+
+
+def test_repeated_bars_however_late(spark, tmp_path):
+    day = lambda d: dt.datetime(2024, 1, d)
+    rows = [("a", day(1)), ("a", day(20)), ("a", day(2)), ("a", day(1))]
+    stream = landed(spark, f"{tmp_path}/in", rows, "symbol string, ts timestamp", files=4)
+    got = live.drain(live.unique_bars(stream), f"{tmp_path}/out", f"{tmp_path}/state").collect()
+    assert sorted(r.ts for r in got) == [day(1), day(2), day(20)]
