@@ -78,13 +78,13 @@ CASES = [
     ),
     Case(
         "valuation_batch", "K4, C5, H16, H17, H18",
-        lambda t: rounded(pv.value_companies(t.fundamentals, _fewer_sectors(t))[0].select(
+        lambda t: rounded(pv.value_companies(t.fundamentals, pv.sector_medians(t.fundamentals))[0].select(
             "symbol", "sector", "v", "label", "relative_pe", "relative_pb", "dividend_diff", "relative_peg",
             *(F.col("parts")[k].alias(f"part_{k.lower()}") for k in ("PE", "PB", "dividend", "PEG")))),
         sql(f"""SELECT symbol, sector, {rq('v')} AS v, {v_label('v')} AS label, {rq('relative_pe')} AS relative_pe, {rq('relative_pb')} AS relative_pb,
           {rq('dividend_diff')} AS dividend_diff, {rq('relative_peg')} AS relative_peg, {rq('-relative_pe * 0.40')} AS part_pe,
           {rq('-relative_pb * 0.25')} AS part_pb, {rq('dividend_diff * 0.15')} AS part_dividend, {rq('-relative_peg * 0.20')} AS part_peg
-          FROM scored WHERE sector <> 'Brand#3'""", **PEERED),
+          FROM scored""", **PEERED),
     ),
     Case(
         "valuation_rejects", "C5, K4", lambda t: pv.value_companies(t.fundamentals, _fewer_sectors(t))[1],

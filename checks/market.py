@@ -218,10 +218,9 @@ CASES = [
     Case(
         "bars_with_mood_as_of", "C17",
         lambda t: rounded(asof_join(
-            t.bars.filter(F.col("day") >= D("2000-12-25")).select("symbol", "day", "close"), t.brand_mood, ["symbol"], "day", "score")),
+            t.bars.select("symbol", "day", "close"), t.brand_mood, ["symbol"], "day", "score")),
         sql(f"""SELECT b.symbol, {day('b.day')} AS day, {rq('b.close')} AS close, {rq('m.score')} AS score
-          FROM bars b ASOF LEFT JOIN brand_mood m ON b.symbol = m.symbol AND b.day >= m.day
-          WHERE b.day >= DATE '2000-12-25'"""),
+          FROM bars b ASOF LEFT JOIN brand_mood m ON b.symbol = m.symbol AND b.day >= m.day"""),
     ),
     Case(
         "events_with_fill_as_of", "C17",

@@ -10,8 +10,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _composed(scale: np.ndarray, add: np.ndarray) -> np.ndarray:
+    """Values after each map of x -> scale * x + add, the first of which ignores x: maps compose in pairs, fours, ..."""
+    step = 1
+    while step < len(add):
+        new_add, new_scale = add.copy(), scale.copy()
+        new_add[step:] += scale[step:] * add[:-step]
+        new_scale[step:] *= scale[:-step]
+        scale, add, step = new_scale, new_add, 2 * step
+    return add
+
+
 def _walk(parts: list[str], a: str, b: str, out: str, start: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Walk sorted rows batch by batch; only the running value and its key outlive a batch."""
+    """Scan sorted rows batch by batch; only the running value and its key outlive a batch."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, x = None, 0.0
@@ -22,13 +33,12 @@ def _walk(parts: list[str], a: str, b: str, out: str, start: str) -> Callable[[I
             fresh = (names != names.shift()).any(axis=1).to_numpy()
             first = tuple(names.iloc[0])
             fresh[0] = first != key
-            values = np.empty(len(pdf))
-            starts = pdf[start].tolist()
-            for i, (p, q) in enumerate(zip(pdf[a].tolist(), pdf[b].tolist(), strict=True)):
-                if fresh[i]:
-                    x = starts[i]
-                values[i] = x
-                x = p * x + q
+            p, q = pdf[a].to_numpy(float), pdf[b].to_numpy(float)
+            # The map that leads from the value before the previous row to that before this one.
+            scale, add = np.append(0.0, p[:-1]), np.append(x, q[:-1])
+            scale[fresh], add[fresh] = 0.0, pdf[start].to_numpy(float)[fresh]
+            values = _composed(scale, add)
+            x = p[-1] * values[-1] + q[-1]
             key = tuple(names.iloc[-1])
             yield pdf.drop(columns=[start]).assign(**{out: values})
 

@@ -124,19 +124,22 @@ def with_return_zscore(
     """Z-score of the latest return among those inside a calendar lookback, current row included.
 
     The first close of the lookback has no return of its own, so its return against the close
-    before the lookback is taken out of the sums.  Rows with a short history get NULL.
+    before the lookback is taken out of the sums.  Rows with a short history get NULL.  Sums are of
+    departures from the key's first return, so that equal returns have a variance of exactly 0.
     """
     w = Window.partitionBy(*keys).orderBy("_dn").rangeBetween(-lookback_days, 0)
-    r, first = F.col("ret"), F.col("_first")
+    start = Window.partitionBy(*keys).orderBy("_dn").rowsBetween(Window.unboundedPreceding, 0)
+    r, first = F.col("_off"), F.col("_first")
     n = F.col("_n")
     return (
         with_return(df, keys, [day], value)
         .withColumn("_dn", _day_number(day))
+        .withColumn("_off", F.col("ret") - F.first("ret", ignorenulls=True).over(start))
         .withColumns(
             {
                 "_rows": F.count(F.lit(1)).over(w),
-                "_first": F.first("ret").over(w),
-                "_sum": F.sum("ret").over(w),
+                "_first": F.first("_off").over(w),
+                "_sum": F.sum("_off").over(w),
                 "_sq": F.sum(r * r).over(w),
             }
         )
@@ -151,7 +154,7 @@ def with_return_zscore(
             "z_score",
             F.when((n >= min_rows) & (F.col("_var") > 0), (r - F.col("_mean")) / F.sqrt(F.col("_var"))),
         )
-        .drop("_dn", "_rows", "_first", "_sum", "_sq", "_n", "_mean", "_var")
+        .drop("_dn", "_off", "_rows", "_first", "_sum", "_sq", "_n", "_mean", "_var")
     )
 
 
@@ -177,6 +180,7 @@ def with_momentum(
     return (
         with_return(df, keys, [day], value)
         .withColumn("_dn", _day_number(day))
+        .withColumn("_off", F.col("ret") - F.first("ret", ignorenulls=True).over(start))
         .withColumns(
             {
                 "_rows": F.count(F.lit(1)).over(in_range),
@@ -191,7 +195,7 @@ def with_momentum(
                 (rows == slow) & (rows >= min_rows), F.col("_fast") - F.col("_rest")
             ),
         )
-        .drop("_dn", "_rows", "_fast", "_slow", "_rest")
+        .drop("_dn", "_off", "_rows", "_fast", "_slow", "_rest")
     )
 
 

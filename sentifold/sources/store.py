@@ -114,8 +114,9 @@ def apply_retention(spark: SparkSession, path: str, as_of, days: int = 365) -> i
     limit = F.lit(as_of).cast("timestamp_ntz")
     stored = spark.read.parquet(path)
     old = expired(F.col("ts"), limit, days)
-    # One row per day on the driver: bounded by the calendar.
-    affected = stored.filter(old).groupBy("dt").agg(F.count(F.lit(1)).alias("n")).collect()
+    # Only days up to the limit are scanned; one row per day on the driver: bounded by the calendar.
+    before = F.col("dt") <= F.to_date(limit)
+    affected = stored.filter(before & old).groupBy("dt").agg(F.count(F.lit(1)).alias("n")).collect()
     if not affected:
         return 0
     edge = max(r["dt"] for r in affected)
@@ -153,15 +154,25 @@ def _replace_days(df: DataFrame, path: str) -> None:
 
 
 def upsert_composite(new: DataFrame, path: str, keys: Sequence[str] = ("symbol", "ts")) -> None:
-    """Insert or replace rows by key, rewriting only the days present in ``new``."""
+    """Insert or replace rows by key, reading and rewriting only the days present in ``new``.
+
+    ``new`` must have one row per key.
+    """
     spark = new.sparkSession
-    new = new.withColumn("dt", F.to_date("ts"))
+    new = durable(new.withColumn("dt", F.to_date("ts")))
+    if not new.groupBy(*keys).count().filter("count > 1").isEmpty():
+        raise ValueError(f"repeated keys {list(keys)} in an upsert")
     old = _read_or_none(spark, path)
     if old is None:
         _replace_days(new, path)
         return
-    touched = old.join(new.select("dt").distinct(), "dt", "left_semi").select(*old.columns)
-    _replace_days(durable(merge_newest(touched, new, keys)), path)
+    _replace_days(durable(merge_newest(touched_days(old, new), new, keys)), path)
+
+
+def touched_days(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows of the stored table on the days of ``new``: a partition filter, as the days are a bounded list."""
+    days = [r["dt"] for r in new.select("dt").distinct().collect()]
+    return old.filter(F.col("dt").isin(days))
 
 
 def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:

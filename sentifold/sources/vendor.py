@@ -23,22 +23,27 @@ def missing() -> Column:
 
 
 def read_landed(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None, **options) -> DataFrame:
-    """Landed files of one vendor table.  Text formats need the schema, so nothing is inferred."""
+    """Landed files of one vendor table, with their feed order as ``seq``.  Text formats need the schema, so nothing
+    is inferred."""
     if fmt in ("csv", "json") and schema is None:
         raise ValueError(f"{fmt} needs a declared schema")
     reader = spark.read.format(fmt).options(**options)
-    return (reader.schema(schema) if schema else reader).load(path)
+    rows = (reader.schema(schema) if schema else reader).load(path)
+    # Feed order: the file, then the place in it (row numbers grow within a block of a file).
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    return rows.withColumn("seq", place) if "seq" not in rows.columns else rows
 
 
 def _keyed(df: DataFrame, code: Column, **values: Column) -> DataFrame:
-    """One row per usable code.  Where a code repeats, the last row of the feed (``seq``) counts, or
-    without a feed order the greatest value, so that a rerun gives the same."""
+    """One row per usable code.  Where a code repeats, one whole row counts: the last of the feed (``seq``), or
+    without a feed order the greatest, so that a rerun gives the same."""
     fed = "seq" in df.columns
     shaped = df.select(
         code.cast("string").alias("symbol"), *(["seq"] if fed else []), *(c.alias(n) for n, c in values.items())
     ).filter(usable_symbol(F.col("symbol")))
-    pick = (lambda n: F.max_by(n, "seq")) if fed else F.max
-    return shaped.groupBy("symbol").agg(*(pick(n).alias(n) for n in values))
+    row = F.struct(*values)
+    picked = shaped.groupBy("symbol").agg((F.max_by(row, "seq") if fed else F.max(row)).alias("_row"))
+    return picked.select("symbol", *(F.col(f"_row.{n}").alias(n) for n in values))
 
 
 def spot_table(df: DataFrame) -> DataFrame:

@@ -89,6 +89,18 @@ def test_landed_formats(spark, tmp_path):
         vendor.read_landed(spark, f"{tmp_path}/c", "csv")
 
 
+def test_repeated_codes_give_a_whole_row(spark, tmp_path):
+    rows_ = [("1", -3.0, 9e6), ("1", 2.5, 1e6), ("2", 1.0, 5.0)]
+    df = spark.createDataFrame(rows_, "code string, change_pct double, volume double")
+    got = {r.symbol: (r.change_pct, r.volume) for r in vendor.spot_table(df).collect()}
+    assert got == {"1": (2.5, 1e6), "2": (1.0, 5.0)}
+    for n, r in enumerate([rows_[1], rows_[2], rows_[0]]):  # landed later, so it counts
+        spark.createDataFrame([r], df.schema).coalesce(1).write.parquet(f"{tmp_path}/feed/batch={n}")
+    fed = vendor.read_landed(spark, f"{tmp_path}/feed")
+    got = {r.symbol: (r.change_pct, r.volume) for r in vendor.spot_table(fed).collect()}
+    assert got == {"1": (-3.0, 9e6), "2": (1.0, 5.0)}
+
+
 # --- store ------------------------------------------------------------------
 
 
@@ -136,6 +148,12 @@ def test_composite_upsert(spark, tmp_path):
     assert got == {("a", day(1), 0.9), ("b", day(1), 0.1), ("a", day(2), 0.2), ("c", day(3), 0.3)}
     after = {f for d, _, fs in os.walk(f"{path}/dt=2024-01-02") for f in fs if f.endswith(".parquet")}
     assert before == after  # an untouched day is not rewritten
+    touched = store.touched_days(spark.read.parquet(path), batch(("a", day(2), 0.5)).withColumn("dt", F.to_date("ts")))
+    plan = touched._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters:") :].split("]")[0]
+    assert "dt#" in filters and "IN" in filters.upper() or "= 2024" in filters or "19724" in filters, filters
+    with pytest.raises(ValueError):
+        store.upsert_composite(batch(("a", day(9), 0.1), ("a", day(9), 0.2)), path)
 
 
 def test_collect_and_publish(spark, tmp_path):
