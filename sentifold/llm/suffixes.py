@@ -28,7 +28,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +39,7 @@ from .components import components
 
 MIN_WORDS = 50
 GRAM = 8
-WINDOW = 16
+WINDOW = 24
 # Log2 of the bits that mark repeated keys.
 FILTER_BITS = 27
 # Suffixes per range of the sorted order.
@@ -58,34 +57,51 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """Hash of every `size` consecutive words, by doubling."""
-    out, width, made, bits = None, 1, 0, words
-    while True:
-        if size & width:
-            n = len(words) - made - width + 1
-            part = bits[made : made + n]
-            out = part if out is None else _mixed(out[:n] * _ODD + part)
-            made += width
-        if made == size:
-            return out
-        bits = _mixed(bits[: len(bits) - width] * _ODD + bits[width:])
+def _gram_hashes(words: np.ndarray) -> np.ndarray:
+    """Hash of every GRAM consecutive words, by doubling (GRAM is a power of two)."""
+    width = 1
+    while width < GRAM:
+        words = _mixed(words[:-width] * _ODD + words[width:])
         width *= 2
+    return words
 
 
-def sparse_suffixes(words: list[bytes], min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the retained suffixes that have a whole key to their right, and the keys' hashes."""
+def _sliding(values: np.ndarray, pick: np.ufunc) -> np.ndarray:
+    """`pick` over every WINDOW consecutive values."""
+    width = 1
+    while width < WINDOW:
+        step = min(width, WINDOW - width)
+        values = pick(values[:-step], values[step:])
+        width += step
+    return values
+
+
+def sparse_suffixes(texts: list[list[bytes]], min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, key) of the retained suffixes of some texts that have a whole key to their right.
+
+    The texts are searched as one row of words.  Windows across their borders may retain a few suffixes more;
+    keys across them are left out.
+    """
     key_words = min_words - WINDOW + 1
-    if len(words) < min_words:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(w) for w in words), np.uint64, len(words))
-    grams = _gram_hashes(hashes, GRAM)
-    windows = sliding_window_view(grams, WINDOW)
-    places = np.unique(np.arange(len(windows)) + windows.argmin(axis=1))
-    keys = _gram_hashes(hashes, key_words)
-    places = places[places < len(keys)]
-    return places, keys[places]
+    sizes = np.array([len(t) for t in texts], np.int64)
+    total = int(sizes.sum())
+    if total < GRAM + WINDOW:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, (w for t in texts for w in t)), np.uint64, total)
+    grams = _gram_hashes(hashes)
+    least = _sliding(grams, np.minimum)
+    # A gram is the least of some window around it if the greatest of these windows' least is the gram itself.
+    edge = np.zeros(WINDOW - 1, np.uint64)
+    around = _sliding(np.concatenate([edge, least, edge]), np.maximum)
+    places = np.flatnonzero(around == grams)
+    ends = np.cumsum(sizes)
+    text = np.searchsorted(ends, places, side="right")
+    inside = places + key_words <= ends[text]
+    text, places = text[inside], places[inside]
+    keys = np.zeros(len(places), np.uint64)
+    for offset in (*range(0, key_words - GRAM, GRAM), key_words - GRAM):
+        keys = _mixed(keys * _ODD + grams[places + offset])
+    return text, places - (ends - sizes)[text], keys
 
 
 def _repeated_keys(docs: DataFrame, min_words: int, bits: int) -> np.ndarray:
@@ -93,8 +109,8 @@ def _repeated_keys(docs: DataFrame, min_words: int, bits: int) -> np.ndarray:
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sparse_suffixes(words_of(t), min_words)[1] for t in batch.column(0).to_pylist()]
-            key, n = np.unique(np.concatenate([*found, np.empty(0, np.uint64)]), return_counts=True)
+            found = sparse_suffixes([words_of(t) for t in batch.column(0).to_pylist()], min_words)[2]
+            key, n = np.unique(found, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
 
     counts = docs.select("text").mapInArrow(keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
@@ -109,23 +125,21 @@ def _contexts(docs: DataFrame, table: np.ndarray, min_words: int, bits: int) ->
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = shared.value
         for batch in batches:
-            docs_, places_, keys_, right, left = [], [], [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                words = words_of(t)
-                places, keys = sparse_suffixes(words, min_words)
-                hit = is_set(marks, (keys >> np.uint64(64 - bits)).astype(np.int64))
-                for p, key in zip(places[hit].tolist(), keys[hit].view(np.int64).tolist(), strict=True):
-                    docs_.append(i)
-                    places_.append(p)
-                    keys_.append(key)
-                    right.append(b" ".join(words[p : p + min_words]))
-                    left.append(b" ".join(words[max(0, p - WINDOW + 1) : p][::-1]))
+            texts = [words_of(t) for t in batch.column(1).to_pylist()]
+            text, places, keys = sparse_suffixes(texts, min_words)
+            hit = is_set(marks, (keys >> np.uint64(64 - bits)).astype(np.int64))
+            text, places, keys = text[hit], places[hit], keys[hit]
+            right, left = [], []
+            for i, p in zip(text.tolist(), places.tolist(), strict=True):
+                words = texts[i]
+                right.append(b" ".join(words[p : p + min_words]))
+                left.append(b" ".join(words[max(0, p - WINDOW + 1) : p][::-1]))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array(docs_, pa.int64())),
-                    batch.column(2).take(pa.array(docs_, pa.int64())),
-                    pa.array(places_, pa.int64()),
-                    pa.array(keys_, pa.int64()),
+                    batch.column(0).take(pa.array(text)),
+                    batch.column(2).take(pa.array(text)),
+                    pa.array(places),
+                    pa.array(keys.view(np.int64)),
                     pa.array(right, pa.binary()),
                     pa.array(left, pa.binary()),
                 ],
@@ -276,7 +290,7 @@ def repeated_spans(numbered: DataFrame, min_words: int = MIN_WORDS, bits: int =
     not the first occurrence.
     """
     table = _repeated_keys(numbered, min_words, bits)
-    contexts = written(_contexts(numbered, table, min_words, bits), "suffixes")
+    contexts = written(_contexts(numbered, table, min_words, bits), "suffixes", "zstd")
     found = written(_matches(contexts, min_words, rows_per_range), "spans")
     ids = contexts.select("row", "doc_id").distinct()
     found = written(found.join(ids, "row"), "spans-of-documents")
