@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.basic import clip, or_zero
+from ..functions.ordering import packed
 from ..params import MoodParams
 
 
@@ -20,14 +21,16 @@ def composite(
     aggregate and rows are reduced to one per key before they move.  Other sources are dropped.
     """
     known = raw.filter(F.col("source").isin(*weights))
-    firsts = [
-        F.min_by(
-            F.struct("score", "confidence"), F.when(F.col("source") == s, F.struct(*order))
-        ).alias(s)
-        for s in weights
-    ]
-    wide = known.groupBy(*keys).agg(*firsts)
-    present = {s: F.col(s).isNotNull() for s in weights}
+    first = packed(raw, order)
+    picks = []
+    for s in weights:
+        here = F.col("source") == s
+        picks += [F.min_by(c, F.when(here, first)).alias(f"{s}_{c}") for c in ("score", "confidence")]
+        picks.append(F.count_if(here).alias(f"{s}_n"))
+    wide = known.groupBy(*keys).agg(*picks)
+    wide = wide.select(*keys, *(F.struct(F.col(f"{s}_score").alias("score"), F.col(f"{s}_confidence").alias("confidence"),
+                                         F.col(f"{s}_n").alias("n")).alias(s) for s in weights))
+    present = {s: F.col(s)["n"] > 0 for s in weights}
     total = sum((F.when(present[s], w).otherwise(0.0) for s, w in weights.items()), F.lit(0.0))
     blended = sum((or_zero(F.col(s)["score"] * w) for s, w in weights.items()), F.lit(0.0))
     count = sum((present[s].cast("long") for s in weights), F.lit(0).cast("long"))
@@ -53,13 +56,11 @@ def total_score(
     An unknown source has weight 0 and still shows in the maps.  Rows are first reduced to one per
     (key, source), so the maps hold one entry per source and never one per raw row.
     """
-    last = raw.groupBy(*keys, "source").agg(
-        F.max_by(F.struct("score", "confidence"), F.struct(*order)).alias("_r")
-    )
+    last = raw.groupBy(*keys, "source").agg(*(F.max_by(c, packed(raw, order)).alias(c) for c in ("score", "confidence")))
     weight = F.lit(0.0)
     for s, w in p.weights.items():
         weight = F.when(F.col("source") == s, w).otherwise(weight)
-    rows = last.select(*keys, "source", "_r.score", "_r.confidence", weight.alias("w"))
+    rows = last.select(*keys, "source", "score", "confidence", weight.alias("w"))
     entry = lambda v: F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("source"), v))))
     return (
         rows.groupBy(*keys)

@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import micros
 from .segments import SEGMENT, ordered
 
 # Earlier than any time, in microseconds: nothing accepted yet.
@@ -79,14 +80,6 @@ def _walk(pause: int, order: list[str]):
     return of
 
 
-def _micros(df: DataFrame, ts: str) -> Column:
-    """Microseconds since 1970; a time without zone counts as it stands, whatever the session's zone."""
-    if dict(df.dtypes)[ts] != "timestamp_ntz":
-        return F.unix_micros(F.col(ts))
-    since = F.col(ts) - F.lit("1970-01-01").cast("timestamp_ntz")
-    return (since.cast("interval second").cast("decimal(24,6)") * 1_000_000).cast("bigint")
-
-
 def accept_after_cooldown(
     df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], minutes: int = 60, limit: int | None = None
 ) -> DataFrame:
@@ -99,8 +92,7 @@ def accept_after_cooldown(
     key (one row per stretch), and the stretches are marked in parallel.
     """
     pause = minutes * 60_000_000
-    micros = _micros(df, ts)
-    cut = ordered(df.withColumn("_us", micros), keys, [ts, *tie], limit)
+    cut = ordered(df.withColumn("_us", micros(F.col(ts), dict(df.dtypes)[ts])), keys, [ts, *tie], limit)
     rows = cut.df.withColumn("_before", F.lit(NEVER))
     if cut.split:
         kinds = dict(cut.df.dtypes)
