@@ -1,17 +1,4 @@
-"""Broadcasting behind a check of the size."""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .durable import durable
+"""What may be broadcast."""
 
 # Rows of a narrow dimension that every executor may hold (a few MB).
 BROADCAST_ROWS = 50_000
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A derived dimension, written once and counted: broadcast while short, else joined by shuffle."""
-    kept = durable(df)
-    return F.broadcast(kept) if kept.count() <= rows else kept

@@ -11,7 +11,6 @@ from ..functions import value as v
 from ..functions.basic import or_zero
 from ..operators.latest import earliest
 from ..operators.median import exact_medians
-from ..operators.sizes import broadcast_if_small
 from ..operators.series import with_trend
 from ..params import ValueParams
 
@@ -25,7 +24,7 @@ def sector_medians(fundamentals: DataFrame, columns: Sequence[str] = PEER_COLUMN
 def _peers(medians: DataFrame) -> DataFrame:
     """One row per sector (the first, by its values, where a sector is listed twice)."""
     one = earliest(medians.select("sector", *PEER_COLUMNS), ["sector"], list(PEER_COLUMNS))
-    return broadcast_if_small(one.select("sector", *(F.col(c).alias(f"peer_{c}") for c in PEER_COLUMNS)))
+    return one.select("sector", *(F.col(c).alias(f"peer_{c}") for c in PEER_COLUMNS))
 
 
 def relative_metrics(df: DataFrame) -> DataFrame:
@@ -45,8 +44,8 @@ def value_companies(
 ) -> tuple[DataFrame, DataFrame]:
     """Valuation rows, and the companies whose sector has no medians.
 
-    Sectors are few, so companies normally stay where they are and no large sector meets one task;
-    a list of sectors too long to broadcast joins by shuffle, with the adaptive skew join.
+    Sectors are few: adaptive execution sees the size of their table and broadcasts it, so companies stay
+    where they are; a list too long for that joins by shuffle, with the adaptive skew join.
     """
     peers = _peers(medians)
     rel = [F.col(c) for c in ("relative_pe", "relative_pb", "dividend_diff", "relative_peg")]
