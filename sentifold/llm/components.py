@@ -17,7 +17,8 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     """One contraction of links (a, b), a > b: neighbours of each node move to the smallest of them."""
     both = links if not large else links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("low"))
-    least = least.select(F.col("a").alias("node"), F.least("a", "low").alias("low"))
+    # Written, so that adaptive execution may split the join on a node with very many links.
+    least = written(least.select(F.col("a").alias("node"), F.least("a", "low").alias("low")), "least")
     met = both.join(least, both["a"] == least["node"])
     if large:
         moved = met.filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))

@@ -7,11 +7,11 @@ places agrees with a fair chance.  A key is the hash of a sample; `WALKS` walks
 recall (measured by a test: 0.95 or more at the threshold, 1 for exact copies).
 
 Windows have the size of the items: an item of n words belongs to the largest class c (a power of two) whose windows
-lie in it however a document's windows fall, which start at every `c // 4`-th word; the item gives the windows at
+lie in it however a document's windows fall, which start at every `stride(c)`-th word; the item gives the windows at
 all its offsets, so that both meet in step.
 
 1. Items give keys; the keys mark a bit table of fixed size.
-2. Documents' windows whose keys are marked (by two bits) go on, with the words around them.
+2. Documents' windows whose keys are marked (in two tables) go on, with the words around them.
 3. They are joined with the items on the key, once per (document, window, item).
 4. The edit distance in words of the item to the nearest part of these words is computed; at most `1 - SIMILARITY` of the
    item's words may be edited.
@@ -37,8 +37,11 @@ from .bits import bit_table, is_set
 from .common import modest_batches, unused, utf8, written
 
 SIMILARITY = 0.8
-WALKS, SAMPLES, PLACES = 3, 8, 4
-FILTER_BITS = 26
+WALKS, SAMPLES, PLACES = 4, 8, 4
+# Steps of a walk that are sampled, as a multiple of the window's words.
+SPAN = 1.5
+# Log2 of the bits that mark the items' keys, and of a smaller table looked at first, which stays in a core's cache.
+FILTER_BITS, FIRST_BITS = 26, 20
 # Windows that one step of the vectorised walk takes.
 AT_ONCE = 200_000
 _ODD = 0x9E3779B97F4A7C15
@@ -50,7 +53,7 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def stride(size: int) -> int:
-    return max(1, size // 4)
+    return max(1, size // 4 if size >= 32 else size // 2)
 
 
 def class_of(n_words: int) -> int:
@@ -67,11 +70,19 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _salt(*numbers: int) -> np.uint64:
+    out = 1
+    for n in numbers:
+        out = (out * 4096 + n + 1) * _ODD & (1 << 64) - 1
+    return np.uint64(out | 1)
+
+
 def _samples(size: int, walk: int) -> list[list[int]]:
-    """The steps whose outputs make up each key."""
-    steps = 2 * size
-    rng = random.Random(f"{size} {walk}")
-    return [sorted(rng.sample(range(steps), min(PLACES, steps))) for _ in range(SAMPLES)]
+    """The steps whose outputs make up each key: one from each stretch of the walk, so that few fall on one word."""
+    steps = max(1, int(SPAN * size))
+    rng, n = random.Random(f"{size} {walk}"), min(PLACES, steps)
+    cuts = [i * steps // n for i in range(n + 1)]
+    return [[rng.randrange(a, b) for a, b in zip(cuts, cuts[1:])] for _ in range(SAMPLES)]  # noqa: B905
 
 
 def _hashed(words: list[bytes]) -> np.ndarray:
@@ -81,32 +92,35 @@ def _hashed(words: list[bytes]) -> np.ndarray:
 def window_keys(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     """Keys (one row each) of the windows of `size` words that start at `starts` (one column each)."""
     out = np.empty((WALKS * SAMPLES, len(starts)), np.uint64)
-    padded = np.append(hashes, np.uint64(0))
+    padded = np.append(hashes, np.zeros(2 * size, np.uint64))
+    ends, move = starts + size, np.empty(len(starts), np.uint64)
     for walk in range(WALKS):
         samples = _samples(size, walk)
-        kept: dict[int, np.ndarray] = {j: None for s in samples for j in s}
-        at, end = starts.copy(), starts + size
-        for j in range(2 * size):
+        kept: dict[int, np.ndarray | None] = {j: None for s in samples for j in s}
+        at = starts.copy()
+        for j in range(max(kept) + 1):
             if j % 64 == 0:
-                salt = (walk * 4096 + j // 64 + 1) * _ODD & (1 << 64) - 1
-                bits = _mixed(padded ^ np.uint64(salt))
-            if j in kept:
-                kept[j] = np.where(at < end, padded[at], np.uint64(0))
-            at += ((bits[at] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)
-            np.minimum(at, end, out=at)
+                bits = _mixed(padded ^ _salt(walk, j // 64))
+            if j in kept:  # past its end a window outputs nothing
+                kept[j] = np.where(at < ends, padded[at], np.uint64(0)) * _salt(size, walk, j)
+            np.take(bits, at, out=move)
+            np.right_shift(move, np.uint64(j % 64), out=move)
+            np.bitwise_and(move, np.uint64(1), out=move)
+            np.add(at, move.view(np.int64), out=at)
         for n, sample in enumerate(samples):
-            salt = (size * 4096 + walk * SAMPLES + n + 1) * _ODD & (1 << 64) - 1
-            key = np.full(len(starts), salt, np.uint64)
+            key = np.full(len(starts), _salt(size, walk, n, 7))
             for j in sample:
-                key = (key ^ kept[j]) * np.uint64(_ODD)
-                key ^= key >> np.uint64(29)
+                key += kept[j]
             out[walk * SAMPLES + n] = _mixed(key)
     return out
 
 
-def _marks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two bits of the table for each key."""
-    return (keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64), (keys & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+def _marks(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _first_marks(keys: np.ndarray) -> np.ndarray:
+    return (keys & np.uint64((1 << FIRST_BITS) - 1)).astype(np.int64)
 
 
 def _item_keys(items: DataFrame) -> DataFrame:
@@ -126,9 +140,9 @@ def _item_keys(items: DataFrame) -> DataFrame:
     return items.select("item", "text").mapInArrow(make, "item long, key long, size long")
 
 
-def _windows(docs: DataFrame, table: np.ndarray, sizes: list[int]) -> DataFrame:
+def _windows(docs: DataFrame, tables: tuple[np.ndarray, np.ndarray], sizes: list[int]) -> DataFrame:
     """(row, doc_id, at, keys, near, near_from): the documents' windows with marked keys and the words around them."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)  # 2 ** FILTER_BITS bits
+    shared = docs.sparkSession.sparkContext.broadcast(tables)  # 2 ** FILTER_BITS and 2 ** FIRST_BITS bits
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = shared.value
@@ -142,7 +156,7 @@ def _windows(docs: DataFrame, table: np.ndarray, sizes: list[int]) -> DataFrame:
                 while last < len(words) and (last == first or n + len(words[last]) <= 1_000_000):
                     n += len(words[last])
                     last += 1
-                rows += found(words[first:last], first, marks)
+                rows += found(words[first:last], first, *marks)
                 first = last
             columns = list(zip(*rows, strict=True)) or [()] * 5
             docs_ = pa.array(columns[0], pa.int64())
@@ -158,7 +172,7 @@ def _windows(docs: DataFrame, table: np.ndarray, sizes: list[int]) -> DataFrame:
                 ["row", "doc_id", "at", "keys", "near", "near_from"],
             )
 
-    def found(some: list[list[bytes]], first: int, marks: np.ndarray) -> list[tuple]:
+    def found(some: list[list[bytes]], first: int, all_marks: np.ndarray, first_marks: np.ndarray) -> list[tuple]:
         counts = np.array([len(w) for w in some])
         bases = np.cumsum(counts) - counts
         hashes = _hashed([w for ws in some for w in ws])
@@ -171,10 +185,8 @@ def _windows(docs: DataFrame, table: np.ndarray, sizes: list[int]) -> DataFrame:
                 keys = window_keys(hashes, part, size)
                 hit = np.zeros(keys.shape, bool)
                 for k, row in enumerate(keys):
-                    one, two = _marks(row)
-                    hit[k] = is_set(marks, one)
-                    some_hit = np.flatnonzero(hit[k])
-                    hit[k, some_hit] = is_set(marks, two[some_hit])
+                    some_hit = np.flatnonzero(is_set(first_marks, _first_marks(row)))
+                    hit[k, some_hit] = is_set(all_marks, _marks(row[some_hit]))
                 for w in np.flatnonzero(hit.any(axis=0)).tolist():
                     doc = int(np.searchsorted(bases, part[w], side="right")) - 1
                     while counts[doc] == 0:  # an empty document has the same base
@@ -233,11 +245,11 @@ def _leaks(numbered: DataFrame, items: DataFrame, similarity: float) -> DataFram
     """(row, doc_id, item, item_id, n_words, distance, end) from rows (row, doc_id, text) and (item, item_id, text)."""
     items = written(items, "items")
     keys = written(_item_keys(items), "item-keys")
-    mask = (1 << FILTER_BITS) - 1
-    bits = F.array(F.shiftrightunsigned("key", 64 - FILTER_BITS), F.col("key").bitwiseAND(F.lit(mask).cast("long")))
-    table = bit_table(keys.select(F.explode(bits).alias("bit")), "bit", FILTER_BITS)
+    marks = keys.select(F.shiftrightunsigned("key", 64 - FILTER_BITS).alias("bit"))
+    first = keys.select(F.col("key").bitwiseAND(F.lit((1 << FIRST_BITS) - 1).cast("long")).alias("bit"))
+    tables = bit_table(marks, "bit", FILTER_BITS), bit_table(first, "bit", FIRST_BITS)
     sizes = sorted(r["size"] for r in keys.select("size").distinct().collect())  # one per power of two
-    near = written(_windows(numbered, table, sizes), "windows")
+    near = written(_windows(numbered, tables, sizes), "windows")
     met = near.select("row", "at", F.explode("keys").alias("key")).join(keys.select("item", "key"), "key")
     met = met.select("row", "at", "item").distinct()
     met = met.join(near.drop("keys"), ["row", "at"]).join(items.select("item", "item_id", F.col("text").alias("item_text")), "item")

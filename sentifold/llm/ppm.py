@@ -39,7 +39,7 @@ END, BEFORE = 0xFE, 0xFF
 # Symbols that may be coded: all bytes but BEFORE.
 ALPHABET = 255
 # Bytes of text per block, and per step of the work on a block.
-BLOCK, STEP = 24_000_000, 2_000_000
+BLOCK, STEP = 16_000_000, 2_000_000
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:

@@ -190,9 +190,12 @@ def fit(voted: DataFrame) -> Voting:
     return estimate(np.array([r[:-1] for r in rows]), np.array([r["count"] for r in rows]))
 
 
-def judged(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows with their features, votes, posterior, `base_failed` and `kept`."""
-    voted = written(with_features(docs, text), "votes")
+def judged(docs: DataFrame, text: str = "text", threshold: float = 0.5, carry: list[str] | None = None) -> DataFrame:
+    """The rows (or their columns `carry`) with features, votes, posterior, `base_failed` and `kept`."""
+    voted = with_features(docs, text)
+    if carry is not None:
+        voted = voted.drop(*[c for c in docs.columns if c not in carry])
+    voted = written(voted, "votes")
     n = F.col("n_words")
     failed = (n < 50) | (100 * F.col("n_repeat_words") > 50 * n)
     return (

@@ -39,7 +39,7 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     from . import quality
 
     docs = _table(spark, folder, "documents").select("doc_id", "text")
-    return quality.judged(docs).select("doc_id", *quality.BASE, "base_failed", "kept", "posterior")
+    return quality.judged(docs, carry=["doc_id"]).select("doc_id", *quality.BASE, "base_failed", "kept", "posterior")
 
 
 def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:

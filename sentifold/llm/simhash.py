@@ -155,7 +155,8 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that connect all distinct `fp` at RADIUS or fewer differing bits."""
     cells = _cells(fps)
-    sizes = cells.groupBy("grid", "cell").count().filter("count > 1")
+    # Written, so that adaptive execution may split the join on a full cell.
+    sizes = written(cells.groupBy("grid", "cell").count().filter("count > 1"), "cells")
     met = cells.join(sizes, ["grid", "cell"])
     n_blocks = F.ceil(F.col("count") / block).cast("long")
     met = met.withColumn("n_blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n_blocks")))
@@ -173,7 +174,7 @@ def grouped(rows: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     roots = components(links(fps))
     rooted = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least_", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "rooted")
-    names = rooted.groupBy("root").agg(F.min("least_").alias("component_id"))
+    names = written(rooted.groupBy("root").agg(F.min("least_").alias("component_id")), "component-names")
     named = rooted.join(names, "root").select("fp", "component_id", "root")
     clash = [c for c in ("component_id", "root") if c in rows.columns]
     return rows.drop(*clash).join(named, "fp")

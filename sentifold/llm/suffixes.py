@@ -295,7 +295,7 @@ def repeated_spans(numbered: DataFrame, min_words: int = MIN_WORDS, bits: int =
     ids = contexts.select("row", "doc_id").distinct()
     found = written(found.join(ids, "row"), "spans-of-documents")
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "place")
-    firsts = found.groupBy("run").agg(F.min(place).alias("first"))
+    firsts = written(found.groupBy("run").agg(F.min(place).alias("first")), "first-suffixes")
     is_first = (F.col("first.row") == F.col("row")) & (F.col("first.place") == F.col("place"))
     found = found.join(firsts, "run").withColumn("copy", ~is_first)
     span = F.struct("low", "high")

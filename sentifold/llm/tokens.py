@@ -11,8 +11,8 @@ from functools import cache
 
 import numpy as np
 
-# Chunks kept per generation and process: some tens of megabytes.
-KEPT = 250_000
+# Chunks kept per generation (of two) and process: some two hundred bytes each.
+KEPT = 600_000
 
 _CHUNKS = re.compile(r"\s*\S+|\s+")
 # Where a cut before a single space would fall inside white space.

@@ -126,7 +126,8 @@ def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: st
     )
     # As equal digests mean equal lengths, only long payloads find a partner.
     long_ones = rows.filter(F.octet_length("payload") >= MIN_PAYLOAD).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    shared = long_ones.filter("n > 1").select("digest", "first")
+    # Written, so that adaptive execution may split the join on a payload that very many pages have.
+    shared = written(long_ones.filter("n > 1").select("digest", "first"), "shared-payloads")
     refers_to = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))
     rows = rows.join(shared, "digest", "left").select("page_id", "url", "payload", "digest", refers_to.alias("refers_to"))
     index = written(rows.mapInArrow(save, INDEX), "archive-index")
