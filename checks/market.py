@@ -94,7 +94,7 @@ CASES = [
         sql("SELECT symbol, name FROM names WHERE symbol IN (SELECT symbol FROM sentiment_raw)"),
     ),
     Case(
-        "names_all", "A9", lambda t: t.names.select("symbol", "name"), sql("SELECT symbol, name FROM names"),
+        "names_all", "A9", lambda t: store.all_names(t.names), sql("SELECT symbol, name FROM names"),
     ),
     Case(
         "names_missing", "C10", lambda t: store.without_name(t.sentiment_raw, t.names),
@@ -173,16 +173,16 @@ CASES = [
         sql("SELECT source, count(*) AS n_rows, count(DISTINCT symbol) AS n_symbols FROM sentiment_raw GROUP BY source"),
     ),
     Case(
-        "trading_dates", "D18", lambda t: rounded(t.bars.select("day").distinct()),
+        "trading_dates", "D18", lambda t: rounded(market.trading_dates(t.bars)),
         sql(f"SELECT DISTINCT {day()} AS day FROM bars"),
     ),
     Case(
-        "sentiment_symbols", "D18", lambda t: t.sentiment_raw.select("symbol").distinct(),
+        "sentiment_symbols", "D18", lambda t: market.symbols_of(t.sentiment_raw),
         sql("SELECT DISTINCT symbol FROM sentiment_raw"),
     ),
     Case(
         "latest_time", "D6",
-        lambda t: rounded(t.sentiment_raw.groupBy("symbol").agg(F.max("ts").alias("ts"))),
+        lambda t: rounded(market.latest_time(t.sentiment_raw)),
         sql(f"SELECT symbol, {stamp('max(ts)')} AS ts FROM sentiment_raw GROUP BY symbol"),
     ),
     Case(

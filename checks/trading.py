@@ -414,7 +414,7 @@ CASES = [
           ON l_orderkey = o_orderkey)"""),
     ),
     Case(
-        "requests_of_symbol", "B6", lambda t: t.requests.filter(F.col("symbol") == "7").select("request_id", "side", "quantity"),
+        "requests_of_symbol", "B6", lambda t: po.requests_of(t.requests, "7").select("request_id", "side", "quantity"),
         sql("SELECT request_id, side, quantity FROM requests WHERE symbol = '7'"),
     ),
 ]

@@ -26,6 +26,11 @@ def order_list(portfolio: DataFrame, dry_run: bool = True) -> DataFrame:
     )
 
 
+def requests_of(requests: DataFrame, symbol: str | None = None) -> DataFrame:
+    """Order requests, of one symbol if given."""
+    return requests if symbol is None else requests.filter(F.col("symbol") == symbol)
+
+
 def exposure(positions: DataFrame, prices: DataFrame) -> DataFrame:
     """Number of open positions and their value at market, as one row; unpriced ones count as 0."""
     priced = positions.join(prices.select("symbol", "price"), "symbol", "left")

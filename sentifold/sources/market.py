@@ -44,6 +44,19 @@ def daily_closes(bars: DataFrame, ts: str = "ts") -> DataFrame:
     return bars.groupBy("symbol", F.to_date(ts).alias("day")).agg(F.max_by("close", ts).alias("close"))
 
 
+def trading_dates(bars: DataFrame, day: str = "day") -> DataFrame:
+    return bars.select(day).distinct()
+
+
+def symbols_of(rows: DataFrame) -> DataFrame:
+    return rows.select("symbol").distinct()
+
+
+def latest_time(rows: DataFrame, ts: str = "ts") -> DataFrame:
+    """Time of the newest row per symbol."""
+    return rows.groupBy("symbol").agg(F.max(ts).alias(ts))
+
+
 def fundamentals_as_of(fundamentals: DataFrame, symbols=None, as_of=None, ts: str = "ts") -> DataFrame:
     """Latest snapshot per symbol, no later than ``as_of`` where one is given."""
     rows = fundamentals if symbols is None else in_universe(fundamentals, symbols)

@@ -223,6 +223,10 @@ def upsert_names(new: DataFrame, path: str, number: int, as_of) -> None:
     write_snapshot(fresh, path, number)
 
 
+def all_names(names: DataFrame) -> DataFrame:
+    return names.select("symbol", "name")
+
+
 def names_of(names: DataFrame, symbols: DataFrame) -> DataFrame:
     return names.join(symbols.select("symbol"), "symbol", "left_semi").select("symbol", "name")
 
