@@ -180,7 +180,6 @@ def with_momentum(
     return (
         with_return(df, keys, [day], value)
         .withColumn("_dn", _day_number(day))
-        .withColumn("_off", F.col("ret") - F.first("ret", ignorenulls=True).over(start))
         .withColumns(
             {
                 "_rows": F.count(F.lit(1)).over(in_range),

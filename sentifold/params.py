@@ -181,3 +181,36 @@ class RiskParams:
     max_daily_loss: float = 5000.0
     stop_percent: float = 5.0
     max_order_value: float = 100000.0
+
+
+# The published reason texts, with their decimals.
+REASONS = {
+    "buy_strong": "Sentiment bearish: %.2f",
+    "buy_fast": "Sentiment rapidly deteriorating: ROC %.2f",
+    "buy_cheap": "Undervalued: V=%.3f (%s)",
+    "buy_nearing": "Approaching undervaluation: V=%.3f, trend=%.3f",
+    "sell_strong": "Sentiment bullish: %.2f",
+    "sell_fast": "Sentiment rapidly improving: ROC %.2f",
+    "sell_cheap": "Overvalued: V=%.3f (%s)",
+    "sell_nearing": "Approaching overvaluation: V=%.3f, trend=%.3f",
+    "extreme": "Sentiment extreme: %.2f std devs from mean",
+    "stop_long": "Stop-loss hit: %.2f <= %.2f",
+    "stop_short": "Stop-loss hit: %.2f >= %.2f",
+    "target_long": "Take-profit hit: %.2f >= %.2f",
+    "target_short": "Take-profit hit: %.2f <= %.2f",
+    "mood_long": "Sentiment reversal: %.2f > %s",
+    "mood_short": "Sentiment reversal: %.2f < -%s",
+    "value_long": "Valuation reversal: %.3f < %s",
+    "value_short": "Valuation reversal: %.3f > %s",
+    "disagreement": "Conflicting signals dropped due to require_agreement",
+    "dislocation": "Sentiment: %.2f, Z-score: %.2f, Dislocation: %.2f",
+    "points_buy_mood": "Bearish sentiment: %.2f",
+    "points_sell_mood": "Bullish sentiment: %.2f",
+    "points_buy_value": "Undervalued: %.2f",
+    "points_sell_value": "Overvalued: %.2f",
+    "momentum_up": "Positive momentum: %.4f",
+    "momentum_down": "Negative momentum: %.4f",
+    "mean_mood_up": "Bullish sentiment: %.2f",
+    "mean_mood_down": "Bearish sentiment: %.2f",
+    "breakout": "Price %.2f > MA20 %.2f",
+}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import trading as t
 from ..operators.latest import newest_rows, top_rows
-from ..params import ContrarianParams
+from ..params import REASONS, ContrarianParams
 from ..sources.schemas import SIGNALS, conform
 
 SOURCE = "sentiment_strategy"
@@ -36,34 +36,28 @@ def _case(mood: Column, roc: Column, v: Column, trend: Column, p: ContrarianPara
 
 def _reasons(side: str, cond, mood: Column, roc: Column, v: Column, trend: Column, label: Column, ext: Column) -> Column:
     strong, fast, cheap, nearing = cond
-    tone, pace = ("bearish", "deteriorating") if side == "BUY" else ("bullish", "improving")
-    value, near = ("Undervalued", "undervaluation") if side == "BUY" else ("Overvalued", "overvaluation")
+    text = lambda name, *values: F.format_string(REASONS[f"{side.lower()}_{name}"], *values)
     return F.array_compact(
         F.array(
-            F.when(strong, F.format_string(f"Sentiment {tone}: %.2f", mood)),
-            F.when(fast, F.format_string(f"Sentiment rapidly {pace}: ROC %.2f", roc)),
-            F.when(cheap, F.format_string(f"{value}: V=%.3f (%s)", v, label)),
-            F.when(nearing, F.format_string(f"Approaching {near}: V=%.3f, trend=%.3f", v, trend)),
-            F.format_string("Sentiment extreme: %.2f std devs from mean", ext),
+            F.when(strong, text("strong", mood)),
+            F.when(fast, text("fast", roc)),
+            F.when(cheap, text("cheap", v, label)),
+            F.when(nearing, text("nearing", v, trend)),
+            F.format_string(REASONS["extreme"], ext),
         )
     )
 
 
 def _exit_text(reason: Column, long: Column, price: Column, stop: Column, target: Column, mood: Column, v: Column, p) -> Column:
-    def compare(prefix: str, long_op: str, short_op: str, right: Column, left: Column, digits: int = 2) -> Column:
-        op = F.when(long, long_op).otherwise(short_op)
-        return F.concat(F.format_string(f"{prefix}: %.{digits}f ", left), op, F.lit(" "), right)
+    def text(name: str, left: Column, right: Column) -> Column:
+        sides = [F.format_string(REASONS[f"{name}_{side}"], left, right) for side in ("long", "short")]
+        return F.when(long, sides[0]).otherwise(sides[1])
 
-    two = lambda c: F.format_string("%.2f", c)
-    mood_limit = F.when(long, str(p.mood_reversal)).otherwise(f"-{p.mood_reversal}")
     return (
-        F.when(reason == "stop_loss", compare("Stop-loss hit", "<=", ">=", two(stop), price))
-        .when(reason == "take_profit", compare("Take-profit hit", ">=", "<=", two(target), price))
-        .when(reason == "sentiment_reversal", compare("Sentiment reversal", ">", "<", mood_limit, mood))
-        .when(
-            reason == "valuation_reversal",
-            compare("Valuation reversal", "<", ">", F.lit(str(p.value_reversal)), v, 3),
-        )
+        F.when(reason == "stop_loss", text("stop", price, stop))
+        .when(reason == "take_profit", text("target", price, target))
+        .when(reason == "sentiment_reversal", text("mood", mood, F.lit(str(p.mood_reversal))))
+        .when(reason == "valuation_reversal", text("value", v, F.lit(str(p.value_reversal))))
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import trading as t
 from ..functions.basic import or_zero
-from ..params import ENTRY_TYPES, EXIT_TYPES, RouterParams
+from ..params import ENTRY_TYPES, EXIT_TYPES, REASONS, RouterParams
 
 # The six attributes a merge averages.
 AVERAGED = ("strength", "entry_price", "stop_loss", "take_profit", "sentiment_score", "valuation_score")
@@ -90,7 +90,7 @@ def resolve(
     dropped = {
         "signal_type": F.lit("HOLD"), "ts": F.col("first_ts"), "source": F.lit("router"), "strength": F.lit(0.0),
         "confidence": F.lit(0.0),
-        "reasons": F.array(F.lit("Conflicting signals dropped due to require_agreement")),
+        "reasons": F.array(F.lit(REASONS["disagreement"])),
     }
     hold = F.struct(*(dropped.get(n, null(n)).cast(types[n]).alias(n) for n in CARRIED))
     mixed = (F.col("BUY_n") > 0) & (F.col("SELL_n") > 0)

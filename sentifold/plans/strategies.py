@@ -21,6 +21,7 @@ from ..operators.asof import asof_join
 from ..operators.latest import latest
 from ..operators.series import with_momentum, with_moving_average, with_return_zscore
 from ..params import (
+    REASONS,
     BreakoutParams,
     ContrarianParams,
     DislocationParams,
@@ -46,6 +47,11 @@ def _stamp(as_of) -> Column:
     return (F.col("day") if as_of is None else F.lit(as_of)).cast("timestamp_ntz")
 
 
+def _either(condition: Column, yes: str, no: str, value: Column) -> Column:
+    """One of two reason texts."""
+    return F.when(condition, F.format_string(REASONS[yes], value)).otherwise(F.format_string(REASONS[no], value))
+
+
 def _newest(df: DataFrame, as_of) -> DataFrame:
     """The newest row per symbol for a run at a date; every row without one."""
     return df if as_of is None else latest(df, ["symbol"], ["day"])
@@ -82,7 +88,7 @@ def dislocation_signals(
         (F.col("score") > p.long_mood) & (z < p.long_z) & (gap > p.long_gap), "BUY"
     ).when((F.col("score") < p.short_mood) & (z > p.short_z) & (gap < p.short_gap), "SELL")
     strength = F.least((F.abs("score") + F.abs(z) + F.abs(gap)) / 10 * 100, F.lit(100.0))
-    text = F.format_string("Sentiment: %.2f, Z-score: %.2f, Dislocation: %.2f", F.col("score"), z, gap)
+    text = F.format_string(REASONS["dislocation"], F.col("score"), z, gap)
     out = rows.withColumn("signal_type", side).filter("signal_type is not null").withColumns(
         {
             "ts": _stamp(as_of),
@@ -123,10 +129,8 @@ def points_signals(
             "sentiment_score": s,
             "valuation_score": v,
             "reasons": F.array(
-                F.concat(
-                    F.when(long, "Bearish").otherwise("Bullish"), F.format_string(" sentiment: %.2f", s)
-                ),
-                F.concat(F.when(long, "Undervalued").otherwise("Overvalued"), F.format_string(": %.2f", v)),
+                _either(long, "points_buy_mood", "points_sell_mood", s),
+                _either(long, "points_buy_value", "points_sell_value", v),
             ),
         }
     )
@@ -149,7 +153,7 @@ def momentum_signals(bars: DataFrame, as_of=None, p: MomentumParams = MomentumPa
             "confidence": F.lit(p.confidence),
             "entry_price": F.col("close"),
             "reasons": F.array(
-                F.concat(F.when(up, "Positive").otherwise("Negative"), F.format_string(" momentum: %.4f", m))
+                _either(up, "momentum_up", "momentum_down", m)
             ),
         }
     )
@@ -179,7 +183,7 @@ def mean_mood_signals(raw: DataFrame, prices: DataFrame, as_of, p: MeanMoodParam
             "entry_price": F.col("price"),
             "sentiment_score": m,
             "reasons": F.array(
-                F.concat(F.when(up, "Bullish").otherwise("Bearish"), F.format_string(" sentiment: %.2f", m))
+                _either(up, "mean_mood_up", "mean_mood_down", m)
             ),
         }
     )
@@ -198,7 +202,7 @@ def breakout_signals(bars: DataFrame, as_of=None, p: BreakoutParams = BreakoutPa
             "strength": F.lit(p.strength),
             "confidence": F.lit(p.confidence),
             "entry_price": close,
-            "reasons": F.array(F.format_string("Price %.2f > MA20 %.2f", close, ma)),
+            "reasons": F.array(F.format_string(REASONS["breakout"], close, ma)),
         }
     )
     return conform(out, SIGNALS)

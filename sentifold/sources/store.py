@@ -185,10 +185,11 @@ def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
 # --- snapshots: name dimension and positions --------------------------------
 
 
-def write_snapshot(df: DataFrame, path: str, number: int) -> None:
+def write_snapshot(df: DataFrame, path: str, number: int, keep: int | None = None) -> None:
     """Write one numbered snapshot beside the earlier ones; repeating a number replaces it.
 
     A marker row makes an empty snapshot exist, so that a reader does not fall back to an older one.
+    With ``keep`` only so many snapshots remain: readers of older ones must be done.
     """
     marker = df.sparkSession.range(1).select(
         *(F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema), F.lit(False).alias("present")
@@ -202,6 +203,14 @@ def write_snapshot(df: DataFrame, path: str, number: int) -> None:
         .partitionBy("snapshot")
         .parquet(path)
     )
+    if keep is not None:
+        jvm = df.sparkSession._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        fs = folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+        for status in fs.listStatus(folder):
+            name, _, n = status.getPath().getName().partition("=")
+            if name == "snapshot" and int(n) <= number - keep:
+                fs.delete(status.getPath(), True)
 
 
 def read_snapshot(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:

@@ -159,10 +159,11 @@ def enrich_with_positions(scores: DataFrame, positions: DataFrame) -> DataFrame:
     return scores.join(positions, "symbol", "left")
 
 
-def position_writer(path: str, order: Sequence[str] = ("ts",)) -> Callable[[DataFrame, int], None]:
+def position_writer(path: str, order: Sequence[str] = ("ts",), keep: int = 3) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that folds position changes (symbol, ..., closed) into snapshots.
 
     Batch n reads the newest snapshot before n and writes n, so running a batch again gives the same.
+    The last ``keep`` snapshots remain.
     A row with ``closed`` set takes its symbol out.
     """
 
@@ -171,7 +172,7 @@ def position_writer(path: str, order: Sequence[str] = ("ts",)) -> Callable[[Data
         if number > 0:
             before = read_snapshot(batch.sparkSession, path, number)
             changes = merge_newest(before.withColumn("closed", F.lit(False)), changes.select(*before.columns, "closed"), ["symbol"])
-        write_snapshot(changes.filter(~F.col("closed")).drop("closed"), path, number)
+        write_snapshot(changes.filter(~F.col("closed")).drop("closed"), path, number, keep)
 
     return write
 
