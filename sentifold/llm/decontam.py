@@ -278,7 +278,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     """The documents, with all their columns, in which no benchmark item is found."""
     modest_batches(docs.sparkSession)
     number = unused(docs, "row_")
-    numbered = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    numbered = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered", "zstd")
     rows = numbered.select(F.col(number).alias("row"), F.col(doc_id).alias("doc_id"), utf8(F.col(text)).alias("text"))
     found = _leaks(rows, _numbered(benchmark, "item_id", "text", "item", "item_id"), similarity)
     return numbered.join(found.select(F.col("row").alias(number)).distinct(), number, "left_anti").select(*docs.columns)

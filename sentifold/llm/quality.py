@@ -191,11 +191,14 @@ def fit(voted: DataFrame) -> Voting:
 
 
 def judged(docs: DataFrame, text: str = "text", threshold: float = 0.5, carry: list[str] | None = None) -> DataFrame:
-    """The rows (or their columns `carry`) with features, votes, posterior, `base_failed` and `kept`."""
+    """The rows (or their columns `carry`) with features, votes, posterior, `base_failed` and `kept`.
+
+    The votes are needed twice.  With `carry`, narrow rows are written in between; whole rows are counted and voted on
+    twice instead, as a copy of all texts costs more than that.
+    """
     voted = with_features(docs, text)
     if carry is not None:
-        voted = voted.drop(*[c for c in docs.columns if c not in carry])
-    voted = written(voted, "votes")
+        voted = written(voted.drop(*[c for c in docs.columns if c not in carry]), "votes")
     n = F.col("n_words")
     failed = (n < 50) | (100 * F.col("n_repeat_words") > 50 * n)
     return (

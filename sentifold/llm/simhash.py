@@ -183,7 +183,7 @@ def grouped(rows: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows, with all their columns, that come first in their group: smallest id, null ids last."""
     number = unused(docs, "row_")
-    numbered = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    numbered = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered", "zstd")
     rows = numbered.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(number).alias("row"))
     rows = written(with_fingerprint(rows).drop("text"), "doc-fingerprints")
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")

@@ -328,18 +328,20 @@ def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 @F.pandas_udf(T.BinaryType())
 def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    return pd.Series([_without(bytes(t), [(x["low"], x["high"]) for x in s]) for t, s in zip(texts, spans, strict=True)], dtype=object)
+    cut = [None if t is None else _without(bytes(t), [(x["low"], x["high"]) for x in s]) for t, s in zip(texts, spans, strict=True)]
+    return pd.Series(cut, dtype=object)
 
 
 def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
     """The rows with every copy of a passage cut from its text; rows left without a word go."""
     modest_batches(docs.sparkSession)
     number, spans = unused(docs, "row_"), unused(docs, "cut_")
-    numbered = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    numbered = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered", "zstd")
     rows = numbered.select(F.col(doc_id).alias("doc_id"), utf8(F.col(text)).alias("text"), F.col(number).alias("row"))
     cuts = repeated_spans(rows, **options).filter(F.size("copies") > 0)
     joined = numbered.join(cuts.select(F.col("row").alias(number), F.col("copies").alias(spans)), number, "left")
-    joined = written(joined, "documents-with-cuts")
-    uncut = joined.filter(F.col(spans).isNull()).select(*docs.columns)
-    cut = joined.filter(F.col(spans).isNotNull()).withColumn(text, _cut(utf8(F.col(text)), F.col(spans)).cast("string"))
-    return uncut.unionByName(cut.filter(F.col(text).rlike(r"[^ \t\n\r\x0b\f]")).select(*docs.columns))
+    # Texts without a cut do not go to Python.
+    is_cut = F.col(spans).isNotNull()
+    short = _cut(F.when(is_cut, utf8(F.col(text))), F.col(spans)).cast("string")
+    joined = joined.withColumn(text, F.when(is_cut, short).otherwise(F.col(text)))
+    return joined.filter(~is_cut | F.col(text).rlike(r"[^ \t\n\r\x0b\f]")).select(*docs.columns)
