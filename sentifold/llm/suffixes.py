@@ -1,4 +1,4 @@
-"""Repeated passages by a sparse suffix array.
+"""Repeated passages by windows of words at sparse suffixes.
 
 Words are runs of characters other than ASCII white space, compared in lower-case A-Z.  Of the suffixes that start
 at a word, those at minimisers are retained: in every run of `WINDOW` consecutive `GRAM`-word grams, the place of the
@@ -7,13 +7,15 @@ first `WINDOW` places, with `min_words - WINDOW + 1` words or more to its right.
 a suffix are its key.
 
 1. Count the keys (map tasks combine first).  Keys seen twice are marked in a bit table of fixed size.
-2. Suffixes whose key's bit is set are written with the words around them, enough to decide a match of `min_words`.
-3. They are sorted by key and the words to the right, dealt out by range, so that a common passage is spread over
-   tasks.  Each is compared with its neighbours, also in the order of the words to the left; a match is extended left and right and
-   counts from `min_words` words.  The last and first rows of adjoining ranges are compared afterwards.
-4. Suffixes connected by matches form a run; its smallest (document, place) is its first, the others are copies.
+2. Every window of `min_words` words has its smallest gram at one of the retained suffixes, and equal windows at the same
+   place in them.  Windows whose suffix has a marked key are written with a hash of their words of 128 bits.
+3. They are sorted by hash, document and place and dealt out by range, so that a common passage is spread over tasks.  A
+   window equal to its neighbour is repeated, one equal to the row before it a copy; the first and last rows of the ranges are
+   compared by hash afterwards.
 
-Matches of neighbouring suffixes overlap, so their union per document gives whole passages.
+All windows that occur twice are found, without a row per pair.  A word is a copy only if a window over it has an
+earlier equal, so each word that is cut stays where that window came first, or, if cut there too, still earlier.  The
+windows of a document make whole passages.
 
 Defined cases: a null text has no words; a null id is kept, and copies of it count as later than others; repeated rows are copies
 of each other; an empty table gives no rows; other columns are carried along by `without_copies` and ignored elsewhere.
@@ -28,24 +30,23 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bits import bit_table, is_set
 from .common import modest_batches, unused, utf8, written
-from .components import components
 
 MIN_WORDS = 50
 GRAM = 8
 WINDOW = 24
 # Log2 of the bits that mark repeated keys.
 FILTER_BITS = 27
-# Suffixes per range of the sorted order.
+# Windows per range of the sorted order.
 ROWS_PER_RANGE = 100_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_OTHER = np.uint64(0xD6E8FEB86659FD93)
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -76,32 +77,54 @@ def _sliding(values: np.ndarray, pick: np.ufunc) -> np.ndarray:
     return values
 
 
-def sparse_suffixes(texts: list[list[bytes]], min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place, key) of the retained suffixes of some texts that have a whole key to their right.
+class Suffixes:
+    """The retained suffixes of some texts that have a whole key to their right: number of the text, place, key.
 
     The texts are searched as one row of words.  Windows across their borders may retain a few suffixes more;
     keys across them are left out.
     """
-    key_words = min_words - WINDOW + 1
-    sizes = np.array([len(t) for t in texts], np.int64)
-    total = int(sizes.sum())
-    if total < GRAM + WINDOW:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, (w for t in texts for w in t)), np.uint64, total)
-    grams = _gram_hashes(hashes)
-    least = _sliding(grams, np.minimum)
-    # A gram is the least of some window around it if the greatest of these windows' least is the gram itself.
-    edge = np.zeros(WINDOW - 1, np.uint64)
-    around = _sliding(np.concatenate([edge, least, edge]), np.maximum)
-    places = np.flatnonzero(around == grams)
-    ends = np.cumsum(sizes)
-    text = np.searchsorted(ends, places, side="right")
-    inside = places + key_words <= ends[text]
-    text, places = text[inside], places[inside]
-    keys = np.zeros(len(places), np.uint64)
-    for offset in (*range(0, key_words - GRAM, GRAM), key_words - GRAM):
-        keys = _mixed(keys * _ODD + grams[places + offset])
-    return text, places - (ends - sizes)[text], keys
+
+    def __init__(self, texts: list[list[bytes]], min_words: int = MIN_WORDS) -> None:
+        self.key_words = min_words - WINDOW + 1
+        self.min_words = min_words
+        sizes = np.array([len(t) for t in texts], np.int64)
+        total = int(sizes.sum())
+        self.ends = np.cumsum(sizes)
+        self.begins = self.ends - sizes
+        self.places = self.text = np.empty(0, np.int64)
+        self.keys = np.empty(0, np.uint64)
+        if total < GRAM + WINDOW:
+            return
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, (w for t in texts for w in t)), np.uint64, total)
+        self.grams = _gram_hashes(hashes)
+        self.least = _sliding(self.grams, np.minimum)
+        # A gram is the least of some window around it if the greatest of these windows' least is the gram itself.
+        edge = np.zeros(WINDOW - 1, np.uint64)
+        around = _sliding(np.concatenate([edge, self.least, edge]), np.maximum)
+        places = np.flatnonzero(around == self.grams)
+        text = np.searchsorted(self.ends, places, side="right")
+        inside = places + self.key_words <= self.ends[text]
+        self.text, self.places = text[inside], places[inside]
+        self.keys = self._hashed(self.places, self.key_words, _ODD)
+
+    def _hashed(self, places: np.ndarray, n_words: int, factor: np.uint64) -> np.ndarray:
+        """Hash of the words that start at some places."""
+        out = np.zeros(len(places), np.uint64)
+        for offset in (*range(0, n_words - GRAM, GRAM), n_words - GRAM):
+            out = _mixed(out * factor + self.grams[places + offset])
+        return out
+
+    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, place, hash, other hash) of the windows of `min_words` words whose smallest gram is at a chosen suffix."""
+        at, text = self.places[chosen], self.text[chosen]
+        found = [np.empty(0, np.int64)]
+        for left in range(WINDOW):
+            start = at - left
+            start = start[(start >= self.begins[text]) & (start + self.min_words <= self.ends[text])]
+            found.append(start[self.least[start] == self.grams[start + left]])
+        starts = np.unique(np.concatenate(found))
+        text = np.searchsorted(self.ends, starts, side="right")
+        return text, starts - self.begins[text], *(self._hashed(starts, self.min_words, f) for f in (_ODD, _OTHER))
 
 
 def _repeated_keys(docs: DataFrame, min_words: int, bits: int) -> np.ndarray:
@@ -109,7 +132,7 @@ def _repeated_keys(docs: DataFrame, min_words: int, bits: int) -> np.ndarray:
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = sparse_suffixes([words_of(t) for t in batch.column(0).to_pylist()], min_words)[2]
+            found = Suffixes([words_of(t) for t in batch.column(0).to_pylist()], min_words).keys
             key, n = np.unique(found, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
 
@@ -118,169 +141,91 @@ def _repeated_keys(docs: DataFrame, min_words: int, bits: int) -> np.ndarray:
     return bit_table(marked, "bit", bits)
 
 
-def _contexts(docs: DataFrame, table: np.ndarray, min_words: int, bits: int) -> DataFrame:
-    """Suffixes with a marked key: numbered document, place, words to the right and (in reverse) to the left."""
+def _windows(docs: DataFrame, table: np.ndarray, min_words: int, bits: int) -> DataFrame:
+    """Windows at suffixes with a marked key: numbered document, place and the two hashes of their words."""
     shared = docs.sparkSession.sparkContext.broadcast(table)  # 2 ** bits bits
 
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = shared.value
         for batch in batches:
-            texts = [words_of(t) for t in batch.column(1).to_pylist()]
-            text, places, keys = sparse_suffixes(texts, min_words)
-            hit = is_set(marks, (keys >> np.uint64(64 - bits)).astype(np.int64))
-            text, places, keys = text[hit], places[hit], keys[hit]
-            right, left = [], []
-            for i, p in zip(text.tolist(), places.tolist(), strict=True):
-                words = texts[i]
-                right.append(b" ".join(words[p : p + min_words]))
-                left.append(b" ".join(words[max(0, p - WINDOW + 1) : p][::-1]))
+            suffixes = Suffixes([words_of(t) for t in batch.column(1).to_pylist()], min_words)
+            hit = is_set(marks, (suffixes.keys >> np.uint64(64 - bits)).astype(np.int64))
+            if not hit.any():
+                continue
+            text, places, one, other = suffixes.windows(hit)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(text)),
                     batch.column(2).take(pa.array(text)),
                     pa.array(places),
-                    pa.array(keys.view(np.int64)),
-                    pa.array(right, pa.binary()),
-                    pa.array(left, pa.binary()),
+                    pa.array(one.view(np.int64)),
+                    pa.array(other.view(np.int64)),
                 ],
-                ["doc_id", "row", "place", "key", "right", "left"],
+                ["doc_id", "row", "place", "one", "other"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", "row").mapInArrow(
-        suffixes, f"doc_id {kind}, row long, place long, key long, right binary, left binary"
-    )
-
-
-def _common(a: bytes, b: bytes) -> int:
-    """Words at the start that two texts share."""
-    if a == b:
-        return a.count(b" ") + 1 if a else 0
-    n = 0
-    for x, y in zip(a.split(b" "), b.split(b" ")):  # noqa: B905
-        if x != y:
-            break
-        n += 1
-    return n if a and b else 0
-
-
-def _match(right_a: bytes, left_a: bytes, right_b: bytes, left_b: bytes, min_words: int) -> tuple[int, int]:
-    """Words that two suffixes share to the left and to the right; (0, 0) if together too few."""
-    right, left = _common(right_a, right_b), _common(left_a, left_b)
-    return (left, right) if left + right >= min_words else (0, 0)
-
-
-_FIELDS = "kind int, row long, place long, low long, high long, run long, key long, right binary, left binary, range long"
-FOUND, FIRST, LAST = 0, 1, 2
-
-
-def _compared(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[list[tuple]]:
-    """Sorted suffixes of one range to matches (FOUND), and its first and last suffix as they are."""
-    task = TaskContext.get().partitionId()
-
-    def group(rows: list[tuple], key: int, base: int, last: bool) -> list[tuple]:
-        n = len(rows)
-        parent, low, high = list(range(n)), [0] * n, [0] * n
-
-        def find(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = i = parent[parent[i]]
-            return i
-
-        orders = [range(n)]
-        if n > 2:
-            orders.append(sorted(range(n), key=lambda i: (rows[i][3], rows[i][2])))
-        for order in orders:
-            for i, j in zip(order[:-1], order[1:], strict=True):
-                left, right = _match(*rows[i][2:], *rows[j][2:], min_words)
-                if right:
-                    for k in (i, j):
-                        low[k], high[k] = max(low[k], left), max(high[k], right)
-                    a, b = find(i), find(j)
-                    parent[max(a, b)] = min(a, b)
-        run = [task << 32 | (base + find(k)) for k in range(n)]
-        out = [(FOUND, r[0], r[1], r[1] - low[k], r[1] + high[k], run[k], None, None, None, task) for k, r in enumerate(rows) if high[k]]
-        for kind, k, wanted in ((FIRST, 0, not base), (LAST, n - 1, last)):
-            if wanted:
-                out.append((kind, *rows[k][:2], None, None, run[k], key, *rows[k][2:], task))
-        return out
-
-    rows, key, base, out = [], None, 0, []
+    return docs.select("doc_id", "text", "row").mapInArrow(windows, f"doc_id {kind}, row long, place long, one long, other long")
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted windows of one range to the repeated ones and, whatever they are, its first and last (`edge`)."""
+
+    def told(batch: pa.RecordBatch, before: tuple | None, after: tuple | None) -> pa.RecordBatch:
+        one, other = (batch.column(n).to_numpy() for n in ("one", "other"))
+        same = (one[1:] == one[:-1]) & (other[1:] == other[:-1])
+        copy = np.concatenate([[before == (one[0], other[0])], same])
+        repeated = copy | np.concatenate([same, [after == (one[-1], other[-1])]])
+        edge = np.zeros(len(one), bool)
+        edge[0] |= before is None
+        edge[-1] |= after is None
+        keep = pa.array(repeated | edge)
+        names = ["doc_id", "row", "place", "one", "other", "copy", "repeated", "edge"]
+        columns = [*(batch.column(n) for n in names[:3]), *(pa.array(x, mask=~edge) for x in (one, other)), *map(pa.array, (copy, repeated, edge))]
+        return pa.RecordBatch.from_arrays(columns, names).filter(keep)
+
+    held, before = None, None
     for batch in batches:
-        for r in zip(*[batch.column(c).to_pylist() for c in ("row", "place", "right", "left", "key")], strict=True):
-            if r[4] != key:
-                if rows:
-                    out += group(rows, key, base, False)
-                    base += len(rows)
-                rows, key = [], r[4]
-            rows.append(r[:4])
-        if len(out) > 10_000:
-            yield out
-            out = []
-    if rows:
-        out += group(rows, key, base, True)
-    yield out
-
-
-def _matches(contexts: DataFrame, min_words: int, rows_per_range: int) -> DataFrame:
-    """(row, place, low, high, run): what each suffix shares with another one, and the run of connected ones."""
-    names = [x.split()[0] for x in _FIELDS.split(", ")]
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    kinds = [kinds[x.split()[1]] for x in _FIELDS.split(", ")]
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _compared(batches, min_words):
-            columns = list(zip(*rows, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-    n_ranges = max(1, contexts.count() // rows_per_range)
-    order = ["key", "right", "left", "row", "place"]
-    ranges = contexts.select(*order).repartitionByRange(n_ranges, *order).sortWithinPartitions(*order)
-    made = written(ranges.mapInArrow(compared, _FIELDS), "suffix-matches")
-
-    columns = ("row", "place", "run", "key", "right", "left", "range")
-    ends = made.filter(F.col("kind") == LAST).select(*[F.col(c).alias(f"{c}_a") for c in columns])
-    starts = made.filter(F.col("kind") == FIRST).select(*[F.col(c).alias(f"{c}_b") for c in columns])
-    met = ends.join(starts, (F.col("range_a") + 1 == F.col("range_b")) & (F.col("key_a") == F.col("key_b")))
-
-    @F.pandas_udf("struct<left: long, right: long>")
-    def shared(ra: pd.Series, la: pd.Series, rb: pd.Series, lb: pd.Series) -> pd.DataFrame:
-        pairs = [_match(*map(bytes, x), min_words) for x in zip(ra, la, rb, lb, strict=True)]
-        return pd.DataFrame(pairs, columns=["left", "right"], dtype="int64")
-
-    met = met.withColumn("shared", shared("right_a", "left_a", "right_b", "left_b")).filter("shared.right > 0")
-    met = written(met, "suffix-edges")
-    found = made.filter(F.col("kind") == FOUND).select("row", "place", "low", "high", "run")
-    for side in "ab":
-        place = F.col(f"place_{side}")
-        found = found.unionByName(
-            met.select(
-                F.col(f"row_{side}").alias("row"),
-                place.alias("place"),
-                (place - F.col("shared.left")).alias("low"),
-                (place + F.col("shared.right")).alias("high"),
-                F.col(f"run_{side}").alias("run"),
-            )
-        )
-    roots = components(met, "run_a", "run_b")
-    return found.join(roots, found["run"] == roots["node"], "left").select("row", "place", "low", "high", F.coalesce("root", "run").alias("run"))
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            yield told(held, before, (batch.column("one")[0].as_py(), batch.column("other")[0].as_py()))
+            before = held.column("one")[-1].as_py(), held.column("other")[-1].as_py()
+        held = batch
+    if held is not None:
+        yield told(held, before, None)
+
+
+def _repeated_windows(windows: DataFrame, rows_per_range: int) -> DataFrame:
+    """(row, doc_id, place, copy) of every window that occurs twice or more; `copy` if not the first."""
+    n_ranges = max(1, windows.count() // rows_per_range)
+    order = [F.col("one"), F.col("other"), F.col("doc_id").asc_nulls_last(), F.col("row"), F.col("place")]
+    ranges = windows.repartitionByRange(n_ranges, *order).sortWithinPartitions(*order)
+    kind = windows.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, row long, place long, one long, other long, copy boolean, repeated boolean, edge boolean"
+    made = written(ranges.mapInArrow(_compared, schema), "repeated-windows")
+    columns = ["row", "doc_id", "place", "copy"]
+    # The rows between two ranges of one window are the last of the one and the first of the other.
+    edges = made.filter("edge")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "place")
+    met = written(edges.groupBy("one", "other").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "range-edges")
+    edges = edges.join(met, ["one", "other"], "left").filter("repeated OR first IS NOT NULL")
+    is_first = (F.col("first.row") == F.col("row")) & (F.col("first.place") == F.col("place"))
+    edges = edges.withColumn("copy", F.col("copy") | F.coalesce(~is_first, F.lit(False)))
+    return made.filter("repeated AND NOT edge").select(*columns).unionByName(edges.select(*columns))
 
 
-def _merged(spans: pd.Series) -> pd.Series:
-    """Overlapping and touching (low, high) become one."""
-    out = []
-    for some in spans:
-        merged: list[list[int]] = []
-        for low, high in sorted((x["low"], x["high"]) for x in some):
-            if merged and low <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], high)
-            else:
-                merged.append([low, high])
-        out.append([{"low": a, "high": b} for a, b in merged])
-    return pd.Series(out, dtype=object)
+_SPANS = T.ArrayType(T.StructType([T.StructField("low", T.LongType()), T.StructField("high", T.LongType())]))
+_BOTH = T.StructType([T.StructField("repeated", _SPANS), T.StructField("copies", _SPANS)])
 
 
-SPANS = T.ArrayType(T.StructType([T.StructField("low", T.LongType()), T.StructField("high", T.LongType())]))
+def _merged(places: np.ndarray, min_words: int) -> list[dict[str, int]]:
+    """Overlapping and touching windows become one span."""
+    if not len(places):
+        return []
+    cuts = np.flatnonzero(np.diff(places) > min_words)
+    low, high = places[np.concatenate([[0], cuts + 1])], places[np.concatenate([cuts, [-1]])] + min_words
+    return [{"low": a, "high": b} for a, b in zip(low.tolist(), high.tolist(), strict=True)]
 
 
 def repeated_spans(numbered: DataFrame, min_words: int = MIN_WORDS, bits: int = FILTER_BITS, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
@@ -290,22 +235,18 @@ def repeated_spans(numbered: DataFrame, min_words: int = MIN_WORDS, bits: int =
     not the first occurrence.
     """
     table = _repeated_keys(numbered, min_words, bits)
-    contexts = written(_contexts(numbered, table, min_words, bits), "suffixes", "zstd")
-    found = written(_matches(contexts, min_words, rows_per_range), "spans")
-    ids = contexts.select("row", "doc_id").distinct()
-    found = written(found.join(ids, "row"), "spans-of-documents")
-    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "place")
-    firsts = written(found.groupBy("run").agg(F.min(place).alias("first")), "first-suffixes")
-    is_first = (F.col("first.row") == F.col("row")) & (F.col("first.place") == F.col("place"))
-    found = found.join(firsts, "run").withColumn("copy", ~is_first)
-    span = F.struct("low", "high")
-    merge = F.pandas_udf(_merged, SPANS)
-    per_doc = found.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.collect_set(span).alias("all_"),
-        F.collect_set(F.when(F.col("copy"), span)).alias("copies_"),
-    )
-    return per_doc.select("row", "doc_id", merge("all_").alias("repeated"), merge("copies_").alias("copies"))
+    windows = written(_windows(numbered, table, min_words, bits), "windows")
+    found = _repeated_windows(windows, rows_per_range)
+
+    @F.pandas_udf(_BOTH)
+    def spans(marks: pd.Series) -> pd.DataFrame:
+        marks = [np.sort(m) for m in marks]
+        every = [_merged(m >> 1, min_words) for m in marks]
+        return pd.DataFrame({"repeated": every, "copies": [_merged(m[m & 1 == 1] >> 1, min_words) for m in marks]})
+
+    marks = F.collect_list(F.col("place") * 2 + F.col("copy").cast("long"))
+    per_doc = found.groupBy("row", "doc_id").agg(marks.alias("marks"))
+    return per_doc.select("row", "doc_id", spans("marks").alias("spans")).select("row", "doc_id", "spans.repeated", "spans.copies")
 
 
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:

@@ -102,3 +102,12 @@ def test_cut_keeps_first_and_everything_else(spark):
 
 def test_empty_table(spark):
     assert suffixes.repeated(spark.createDataFrame([], SCHEMA), bits=20).collect() == []
+
+
+def test_templated_texts(spark):
+    rng = random.Random(9)
+    new = lambda k: rng.choices(["t%d" % i for i in range(3000)], k=k)
+    headers, body, footers = [new(20) for _ in range(8)], new(30), [new(20) for _ in range(8)]
+    rows = [(i, " ".join(rng.choice(headers) + body + rng.choice(footers))) for i in range(300)]
+    check(spark, rows)
+    check(spark, rows, rows_per_range=50)
