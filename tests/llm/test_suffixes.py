@@ -111,3 +111,14 @@ def test_templated_texts(spark):
     rows = [(i, " ".join(rng.choice(headers) + body + rng.choice(footers))) for i in range(300)]
     check(spark, rows)
     check(spark, rows, rows_per_range=50)
+
+
+def test_nothing_unique_is_cut(spark):
+    rng = random.Random(10)
+    new = lambda k: rng.choices(["t%d" % i for i in range(3000)], k=k)
+    rows = []
+    for _ in range(30):
+        p, q, thrice = new(53), new(20), new(60)
+        rows += [(len(rows), " ".join(p)), (len(rows) + 1, " ".join(p + q)), (len(rows) + 2, " ".join(p + q)), (len(rows) + 3, " ".join(thrice * 3))]
+    check(spark, rows)
+    check(spark, rows, rows_per_range=50)
