@@ -4,15 +4,17 @@ Words are runs of ASCII letters and digits and of all other non-ASCII characters
 embedded by a random walk: step j outputs the word it stands on and moves on if bit j of that word's hash says so.
 Windows a few edits apart fall into step again soon, so their walks differ in few places, and a sample of
 places agrees with a fair chance.  A key is the hash of a sample; `WALKS` walks with `SAMPLES` samples each give the target
-recall (measured by a test: 0.95 or more at the threshold, 1 for exact copies).
+recall (measured by a test for items of each size: 0.95 or more at the threshold, 1 for exact copies); the shortest windows
+have `SHORT_SAMPLES` samples.
 
-Windows have the size of the items: an item of n words belongs to the largest class c (a power of two) whose windows
-lie in it however a document's windows fall, which start at every `stride(c)`-th word; the item gives the windows at
-all its offsets, so that both meet in step.
+Windows are of `LARGEST` words at most, so that a long item offers many independent ones: an item of n words belongs to the
+largest class c (a power of two up to that) with n >= 1.5 c - 1.  A document's windows start at every `stride(c)`-th
+word; the item gives the windows at all its offsets, so that both meet in step.
 
 1. Items give keys; the keys mark a bit table of fixed size.
-2. Documents' windows whose keys are marked (in two tables) go on, with the words around them.
-3. They are joined with the items on the key, once per (document, window, item).
+2. The places of documents' windows whose keys are marked (in two tables) go on.
+3. They are joined with the items on the key, gathered by document, and the words around them are taken as far as the item
+   can reach.
 4. The edit distance in words of the item to the nearest part of these words is computed; at most `1 - SIMILARITY` of the
    item's words may be edited.
 
@@ -38,6 +40,10 @@ from .common import modest_batches, unused, utf8, written
 
 SIMILARITY = 0.8
 WALKS, SAMPLES, PLACES = 4, 8, 4
+# Samples for windows of four words or less, most of whose places an edit touches.
+SHORT_SAMPLES = 24
+# Words of the largest windows.
+LARGEST = 16
 # Steps of a walk that are sampled, as a multiple of the window's words.
 SPAN = 1.5
 # Log2 of the bits that mark the items' keys, and of a smaller table looked at first, which stays in a core's cache.
@@ -53,13 +59,13 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def stride(size: int) -> int:
-    return max(1, size // 4 if size >= 32 else size // 2)
+    return max(1, size // 4)
 
 
 def class_of(n_words: int) -> int:
-    """The largest class with a window of the documents' grid inside any n consecutive words."""
+    """The largest class with more than one window of the documents' grid (of four words or more) inside any n consecutive words."""
     size = 1
-    while 2 * size + stride(2 * size) - 1 <= n_words:
+    while 2 * size <= LARGEST and 3 * size - 1 <= n_words:
         size *= 2
     return size
 
@@ -77,12 +83,16 @@ def _salt(*numbers: int) -> np.uint64:
     return np.uint64(out | 1)
 
 
+def _n_samples(size: int) -> int:
+    return SHORT_SAMPLES if size <= 4 else SAMPLES
+
+
 def _samples(size: int, walk: int) -> list[list[int]]:
     """The steps whose outputs make up each key: one from each stretch of the walk, so that few fall on one word."""
     steps = max(1, int(SPAN * size))
     rng, n = random.Random(f"{size} {walk}"), min(PLACES, steps)
     cuts = [i * steps // n for i in range(n + 1)]
-    return [[rng.randrange(a, b) for a, b in zip(cuts, cuts[1:])] for _ in range(SAMPLES)]  # noqa: B905
+    return [[rng.randrange(a, b) for a, b in zip(cuts, cuts[1:])] for _ in range(_n_samples(size))]  # noqa: B905
 
 
 def _hashed(words: list[bytes]) -> np.ndarray:
@@ -91,7 +101,7 @@ def _hashed(words: list[bytes]) -> np.ndarray:
 
 def window_keys(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     """Keys (one row each) of the windows of `size` words that start at `starts` (one column each)."""
-    out = np.empty((WALKS * SAMPLES, len(starts)), np.uint64)
+    out = np.empty((WALKS * _n_samples(size), len(starts)), np.uint64)
     padded = np.append(hashes, np.zeros(2 * size, np.uint64))
     ends, move = starts + size, np.empty(len(starts), np.uint64)
     for walk in range(WALKS):
@@ -111,7 +121,7 @@ def window_keys(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray
             key = np.full(len(starts), _salt(size, walk, n, 7))
             for j in sample:
                 key += kept[j]
-            out[walk * SAMPLES + n] = _mixed(key)
+            out[walk * len(samples) + n] = _mixed(key)
     return out
 
 
@@ -124,7 +134,7 @@ def _first_marks(keys: np.ndarray) -> np.ndarray:
 
 
 def _item_keys(items: DataFrame) -> DataFrame:
-    """(item, key) of every window of every item."""
+    """(item, key, size, n_words) of every window of every item; n_words are the item's."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,22 +144,22 @@ def _item_keys(items: DataFrame) -> DataFrame:
                     size = class_of(len(words))
                     keys = np.unique(window_keys(_hashed(words), np.arange(len(words) - size + 1), size))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(keys), item)), pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), size))], ["item", "key", "size"]
+                        [pa.array(np.full(len(keys), item)), pa.array(keys.view(np.int64)), *(pa.array(np.full(len(keys), x)) for x in (size, len(words)))],
+                        ["item", "key", "size", "n_words"],
                     )
 
-    return items.select("item", "text").mapInArrow(make, "item long, key long, size long")
+    return items.select("item", "text").mapInArrow(make, "item long, key long, size long, n_words long")
 
 
 def _windows(docs: DataFrame, tables: tuple[np.ndarray, np.ndarray], sizes: list[int]) -> DataFrame:
-    """(row, doc_id, at, keys, near, near_from): the documents' windows with marked keys and the words around them."""
+    """(row, at, keys): the documents' windows with marked keys."""
     shared = docs.sparkSession.sparkContext.broadcast(tables)  # 2 ** FILTER_BITS and 2 ** FIRST_BITS bits
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = shared.value
         for batch in batches:
             rows: list[tuple] = []
-            texts = batch.column(2).to_pylist()
-            words = [words_of(t) for t in texts]
+            words = [words_of(t) for t in batch.column(1).to_pylist()]
             first = 0
             while first < len(words):  # some documents at a time
                 last, n = first, 0
@@ -158,18 +168,10 @@ def _windows(docs: DataFrame, tables: tuple[np.ndarray, np.ndarray], sizes: list
                     last += 1
                 rows += found(words[first:last], first, *marks)
                 first = last
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            docs_ = pa.array(columns[0], pa.int64())
+            columns = list(zip(*rows, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(docs_),
-                    batch.column(1).take(docs_),
-                    pa.array(columns[1], pa.int64()),
-                    pa.array(columns[2], pa.list_(pa.int64())),
-                    pa.array(columns[3], pa.binary()),
-                    pa.array(columns[4], pa.int64()),
-                ],
-                ["row", "doc_id", "at", "keys", "near", "near_from"],
+                [batch.column(0).take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int64()))],
+                ["row", "at", "keys"],
             )
 
     def found(some: list[list[bytes]], first: int, all_marks: np.ndarray, first_marks: np.ndarray) -> list[tuple]:
@@ -192,13 +194,33 @@ def _windows(docs: DataFrame, tables: tuple[np.ndarray, np.ndarray], sizes: list
                     while counts[doc] == 0:  # an empty document has the same base
                         doc -= 1
                     at = int(part[w] - bases[doc])
-                    low = max(0, at - 2 * size)
-                    near = b" ".join(some[doc][low : at + 4 * size])
-                    out.append((first + doc, at, keys[hit[:, w], w].view(np.int64).tolist(), near, low))
+                    out.append((first + doc, at, keys[hit[:, w], w].view(np.int64).tolist()))
         return out
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("row", "doc_id", "text").mapInArrow(make, f"row long, doc_id {kind}, at long, keys array<long>, near binary, near_from long")
+    return docs.select("row", "text").mapInArrow(make, "row long, at long, keys array<long>")
+
+
+def _near(hits: DataFrame) -> DataFrame:
+    """(row, doc_id, item, near, near_from): the words of a document around its windows that met an item, as far as it can reach."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, (text, met) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                words, out, last = words_of(text), [], None
+                for item, n_words, at in sorted((x["item"], x["n_words"], x["at"]) for x in met):
+                    low, high = max(0, at - 2 * n_words), at + 2 * n_words + LARGEST
+                    if last and last[0] == item and low <= last[2]:
+                        last[2] = high
+                    else:
+                        last = [item, low, high]
+                        out.append(last)
+                same = pa.array([n] * len(out), pa.int64())
+                items, lows = (pa.array([x[k] for x in out], pa.int64()) for k in (0, 1))
+                near = pa.array([b" ".join(words[low:high]) for _, low, high in out], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(same), batch.column(1).take(same), items, near, lows], ["row", "doc_id", "item", "near", "near_from"])
+
+    kind = hits.schema["doc_id"].dataType.simpleString()
+    return hits.select("row", "doc_id", "text", "met").mapInArrow(make, f"row long, doc_id {kind}, item long, near binary, near_from long")
 
 
 def nearest(item: list[bytes], words: list[bytes]) -> tuple[int, int]:
@@ -250,9 +272,10 @@ def _leaks(numbered: DataFrame, items: DataFrame, similarity: float) -> DataFram
     tables = bit_table(marks, "bit", FILTER_BITS), bit_table(first, "bit", FIRST_BITS)
     sizes = sorted(r["size"] for r in keys.select("size").distinct().collect())  # one per power of two
     near = written(_windows(numbered, tables, sizes), "windows")
-    met = near.select("row", "at", F.explode("keys").alias("key")).join(keys.select("item", "key"), "key")
-    met = met.select("row", "at", "item").distinct()
-    met = met.join(near.drop("keys"), ["row", "at"]).join(items.select("item", "item_id", F.col("text").alias("item_text")), "item")
+    met = near.select("row", "at", F.explode("keys").alias("key")).join(keys.select("item", "key", "n_words"), "key")
+    met = written(met.groupBy("row").agg(F.collect_set(F.struct("item", "n_words", "at")).alias("met")), "met")
+    met = written(_near(met.join(numbered, "row")), "near", "zstd")
+    met = met.join(items.select("item", "item_id", F.col("text").alias("item_text")), "item")
     met = met.withColumn("match", _nearest("near", "item_text")).select(
         "row", "doc_id", "item", "item_id", "match.n_words", "match.distance", (F.col("near_from") + F.col("match.end")).alias("end")
     )

@@ -94,3 +94,19 @@ def test_clean_keeps_columns(spark):
     d = spark.createDataFrame([(1, "has the very item here", "x"), (2, "nothing", "y"), (None, None, None)], DOCS)
     b = spark.createDataFrame([(1, "the very item", 0)], ITEMS)
     assert sorted(map(tuple, decontam.clean(d, b).collect()), key=str) == [(2, "nothing", "y"), (None, None, None)]
+
+
+def test_recall_at_the_threshold_for_each_size(spark):
+    rng = random.Random(4)
+    vocabulary = [f"v{i}" for i in range(20_000)]
+    new = lambda k: rng.choices(vocabulary, k=k)
+    sizes, each = (5, 6, 9, 10, 11, 15, 20, 23, 24, 30, 39, 40, 79, 159, 319), 100
+    docs, items = [], []
+    for n in sizes:
+        for _ in range(each):
+            item = new(n)
+            docs.append((len(docs), " ".join(new(rng.randrange(60)) + edited(rng, item, n // 5) + new(rng.randrange(60))).replace(".", "")))
+            items.append((len(items), " ".join(item)))
+    hits = {r["item_id"] for r in found(spark, docs, items) if r["doc_id"] == r["item_id"]}
+    recall = {n: sum(k * each + i in hits for i in range(each)) / each for k, n in enumerate(sizes)}
+    assert min(recall.values()) >= 0.95, recall
