@@ -78,6 +78,12 @@ def op10_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.repeated(_table(spark, folder, "documents"))
 
 
+def op11_hard_negative_mining(spark: SparkSession, folder: str) -> DataFrame:
+    from . import negatives
+
+    return negatives.mined(_table(spark, folder, "embeddings"))
+
+
 def op12_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from . import minhash
 
@@ -95,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_warc": op9_warc,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_hard_negative_mining": op11_hard_negative_mining,
     "op12_minhash_near_dedup": op12_minhash_near_dedup,
 }
 
@@ -110,4 +117,26 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
         FROM p LEFT JOIN f USING (payload_digest)
     """,
+    "op11_hard_negative_mining": """
+        WITH v AS (
+            SELECT vec_id AS id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+                list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.id AS anchor_id, b.id, a.label = b.label AS same,
+                CAST(list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v AS a JOIN v AS b ON a.id % 50 = 0 AND a.id <> b.id
+        ), p AS (
+            SELECT anchor_id, id, score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+        )
+        SELECT p.anchor_id, p.id AS positive_id,
+            CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank,
+            s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+        FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same
+            AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+        QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) <= 3
+    """,
 }
