@@ -90,6 +90,12 @@ def op12_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.grouped(_table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op13_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    from . import phrases
+
+    return phrases.mined(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -103,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op11_hard_negative_mining": op11_hard_negative_mining,
     "op12_minhash_near_dedup": op12_minhash_near_dedup,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -139,4 +146,38 @@ ORACLE_SQL: dict[str, str] = {
             AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
         QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) <= 3
     """,
+    "op13_phrase_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS piece, regexp_extract_all(p, '[^\x20\x09]+') AS w
+            FROM (
+                SELECT lang, unnest(regexp_split_to_array(
+                    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+                FROM documents
+            )
+        ), totals AS (
+            SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM pieces GROUP BY lang
+        ), grams AS (
+            SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, CAST(count(*) AS HUGEINT) AS f
+            FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, range(1, 6) AS t(k))
+            GROUP BY ALL HAVING count(*) >= 100
+        ), cuts AS (
+            SELECT g.lang, g.phrase, g.k, g.f AS a, j, l.f AS l, r.f AS r, n, (1000 * g.f * n) // (l.f * r.f) AS score
+            FROM grams AS g JOIN totals USING (lang), range(1, 5) AS t(j)
+            JOIN grams AS l ON l.lang = g.lang AND l.phrase = array_to_string(string_split(g.phrase, ' ')[: j], ' ')
+            JOIN grams AS r ON r.lang = g.lang AND r.phrase = array_to_string(string_split(g.phrase, ' ')[j + 1 :], ' ')
+            WHERE g.k > j
+        ), scored AS (
+            SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+        ), inside AS (
+            SELECT DISTINCT lang, f, array_to_string(string_split(phrase, ' ')[i : i + m - 1], ' ') AS phrase
+            FROM (
+                SELECT lang, f, phrase, m, unnest(range(1, k - m + 2)) AS i FROM grams, range(2, 5) AS t(m) WHERE m < k
+            )
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+            CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM scored AS s
+        WHERE NOT EXISTS (SELECT 1 FROM inside AS i WHERE i.lang = s.lang AND i.phrase = s.phrase AND 100 * i.f >= 100 * s.a)
+        QUALIFY rank <= 2000
+    """,
 }
