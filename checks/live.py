@@ -24,20 +24,32 @@ def _folder(t) -> str:
     return f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
-def _stream(t, table: str, order: str | None = None):
-    """A table as a stream of one file per micro-batch: landed in time order, or in any order."""
+# Rows of a landed file; the number of files, and so of micro-batches, follows the table.
+FILE_ROWS = 250_000
+
+
+def _stream(t, table: str, order=None, files: int = 4):
+    """A table as a stream of one file per micro-batch: landed in the order of a column, or in any order."""
     folder, df = f"{_folder(t)}/landed", t.read(table)
-    parts = df.repartitionByRange(4, order) if order else df.repartition(4)
-    parts.write.parquet(folder)
-    files = sorted(f for f in t.spark.read.parquet(folder).inputFiles())
+    n = max(files, -(-df.count() // FILE_ROWS))
+    (df.repartition(n) if order is None else df.repartitionByRange(n, order)).write.parquet(folder)
     # File times decide the order of a file stream; the numbered names follow the ranges.
-    for f in files:
-        t.spark.read.parquet(f).coalesce(1).write.mode("append").parquet(f"{folder}-ordered")
-    return t.spark.readStream.schema(SCHEMAS[table]).option("maxFilesPerTrigger", 1).parquet(f"{folder}-ordered")
+    jvm = t.spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(t.spark._jsc.hadoopConfiguration())
+    names = sorted(f.getPath().getName() for f in fs.listStatus(path))
+    for k, name in enumerate(x for x in names if x.startswith("part-")):
+        fs.setTimes(jvm.org.apache.hadoop.fs.Path(folder, name), 1_700_000_000_000 + 1000 * k, -1)
+    return t.spark.readStream.schema(SCHEMAS[table]).option("maxFilesPerTrigger", 1).parquet(folder)
+
 
+# Events that land up to a day after their time, by a rule of their number.
+DELAYED = F.expr("ts + make_interval(0, 0, 0, 0, 0, event_id * 7919 % 1440, 0)")
+HOLD = 1440
 
-def _events(t):
-    return _stream(t, "events", "ts").select(
+
+def _events(t, order=None, files: int = 4):
+    return _stream(t, "events", F.col("ts") if order is None else order, files).select(
         F.col("user_id").cast("string").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_id").alias("tie"), "event_type", "value",
     )
@@ -48,10 +60,42 @@ def _drain(t, stream):
     return live.drain(stream, f"{folder}/rows", f"{folder}/state")
 
 
-def _mood(t):
+def _mood(t, events=None, hold: int = 0):
     # Two steps: a quotient and a difference in the order the SQL side has them.
     score = F.greatest(F.least(1 - F.col("value") / 50, F.lit(1.0)), F.lit(-1.0))
-    return _drain(t, live.live_mood(_events(t).select("symbol", "ts", "tie", (score * 5).alias("total")))).filter("not late")
+    scores = (_events(t) if events is None else events).select("symbol", "ts", "tie", (score * 5).alias("total"))
+    rows = _drain(t, live.live_mood(scores, hold_minutes=hold)).filter("not late")
+    return rounded(rows.select(F.col("tie").alias("event_id"), "symbol", "total", "ema", "roc", "rows_seen", "is_extreme"), 5)
+
+
+def _cooled(t, events=None, hold: int = 0):
+    signals = (_events(t) if events is None else events).select("symbol", "ts", "tie")
+    return _drain(t, live.live_cooldown(signals, 1440, hold)).filter("not late").select("symbol", F.col("tie").alias("event_id"))
+
+
+def _mood_sql(due: str = "true") -> str:
+    return sql(
+        f"""SELECT event_id, symbol, {rq('total', 5)} AS total, {rq('ema', 5)} AS ema, {rq('ema - coalesce(before, ema)', 5)} AS roc, n AS rows_seen,
+          CASE WHEN n < 10 THEN abs(ema) >= 2 ELSE coalesce(abs((ema - m) / CASE WHEN s >= 0.01 THEN s END), 0) >= 1.5 END AS is_extreme FROM (
+          SELECT *, lag(ema) OVER w AS before, avg(ema) OVER p AS m, stddev_pop(ema) OVER p AS s FROM walk
+          WINDOW w AS (PARTITION BY symbol ORDER BY n), p AS (PARTITION BY symbol ORDER BY n ROWS BETWEEN 29 PRECEDING AND 1 PRECEDING)) WHERE {due}""",
+        numbered="SELECT symbol, event_id, ts, score * 5 AS total, row_number() OVER (PARTITION BY symbol ORDER BY ts, event_id) AS n FROM sentiment_raw",
+        walk="""SELECT symbol, n, event_id, ts, total, total AS ema FROM numbered WHERE n = 1 UNION ALL
+            SELECT o.symbol, o.n, o.event_id, o.ts, o.total, 0.2 * o.total + 0.8 * w.ema FROM walk w JOIN numbered o ON o.symbol = w.symbol AND o.n = w.n + 1""",
+    )
+
+
+def _cooled_sql(due: str = "true") -> str:
+    return sql(
+        f"SELECT symbol, event_id FROM walk WHERE accepted AND {due}", ordered=EVENT_TIMES,
+        walk="""SELECT symbol, n, event_id, ts, ts AS last_ts, true AS accepted FROM ordered WHERE n = 1 UNION ALL
+              SELECT o.symbol, o.n, o.event_id, o.ts, CASE WHEN o.ts >= w.last_ts + INTERVAL 1440 MINUTES THEN o.ts ELSE w.last_ts END,
+              o.ts >= w.last_ts + INTERVAL 1440 MINUTES FROM walk w JOIN ordered o ON o.symbol = w.symbol AND o.n = w.n + 1""",
+    )
+
+
+# What the watermark has passed when the stream ends; it counts in milliseconds.
+DUE = f"date_trunc('milliseconds', ts) <= (SELECT date_trunc('milliseconds', max(ts)) FROM sentiment_raw) - INTERVAL {HOLD} MINUTES"
 
 
 def _position_changes(t):
@@ -86,17 +130,8 @@ def _routed(t):
 ENTRY = "signal_type IN ('BUY', 'SELL')"
 
 CASES = [
-    Case(
-        "stream_mood", "I1",
-        lambda t: rounded(_mood(t).select(F.col("tie").alias("event_id"), "symbol", "total", "ema", "roc", "rows_seen", "is_extreme"), 5),
-        sql(f"""SELECT event_id, symbol, {rq('total', 5)} AS total, {rq('ema', 5)} AS ema, {rq('ema - coalesce(before, ema)', 5)} AS roc, n AS rows_seen,
-          CASE WHEN n < 10 THEN abs(ema) >= 2 ELSE coalesce(abs((ema - m) / CASE WHEN s >= 0.01 THEN s END), 0) >= 1.5 END AS is_extreme FROM (
-          SELECT *, lag(ema) OVER w AS before, avg(ema) OVER p AS m, stddev_pop(ema) OVER p AS s FROM walk
-          WINDOW w AS (PARTITION BY symbol ORDER BY n), p AS (PARTITION BY symbol ORDER BY n ROWS BETWEEN 29 PRECEDING AND 1 PRECEDING))""",
-          numbered="SELECT symbol, event_id, score * 5 AS total, row_number() OVER (PARTITION BY symbol ORDER BY ts, event_id) AS n FROM sentiment_raw",
-          walk="""SELECT symbol, n, event_id, total, total AS ema FROM numbered WHERE n = 1 UNION ALL
-            SELECT o.symbol, o.n, o.event_id, o.total, 0.2 * o.total + 0.8 * w.ema FROM walk w JOIN numbered o ON o.symbol = w.symbol AND o.n = w.n + 1"""),
-    ),
+    Case("stream_mood", "I1", _mood, _mood_sql()),
+    Case("stream_mood_held", "I1", lambda t: _mood(t, _events(t, DELAYED, 8), HOLD), _mood_sql(DUE)),
     Case(
         "stream_positions", "I2, A15", lambda t: rounded(_position_changes(t)),
         f"""SELECT CAST(user_id AS VARCHAR) AS symbol, event_id % 100 AS quantity, {rq('value')} AS entry_price FROM (
@@ -121,14 +156,8 @@ CASES = [
         sql(f"""SELECT symbol, l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, {rq('price', 9)} AS price FROM fills JOIN positions p USING (symbol)
           WHERE p.quantity <> 0 AND CASE WHEN p.quantity > 0 THEN (price - avg_cost) / avg_cost * 100 ELSE (avg_cost - price) / avg_cost * 100 END <= -5"""),
     ),
-    Case(
-        "stream_cooldown", "I5",
-        lambda t: _drain(t, live.live_cooldown(_events(t).select("symbol", "ts", "tie"), 1440)).filter("not late").select("symbol", F.col("tie").alias("event_id")),
-        sql("SELECT symbol, event_id FROM walk WHERE accepted", ordered=EVENT_TIMES,
-            walk="""SELECT symbol, n, event_id, ts AS last_ts, true AS accepted FROM ordered WHERE n = 1 UNION ALL
-              SELECT o.symbol, o.n, o.event_id, CASE WHEN o.ts >= w.last_ts + INTERVAL 1440 MINUTES THEN o.ts ELSE w.last_ts END,
-              o.ts >= w.last_ts + INTERVAL 1440 MINUTES FROM walk w JOIN ordered o ON o.symbol = w.symbol AND o.n = w.n + 1"""),
-    ),
+    Case("stream_cooldown", "I5", _cooled, _cooled_sql()),
+    Case("stream_cooldown_held", "I5", lambda t: _cooled(t, _events(t, DELAYED, 8), HOLD), _cooled_sql(DUE)),
     # --- rules --------------------------------------------------------------
     Case(
         "sector_capped", "S1",

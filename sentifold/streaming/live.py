@@ -2,130 +2,47 @@
 
 State lives per symbol in Spark's state store and survives a lost executor through the query's
 checkpoint, which belongs in the shared folder.  A micro-batch is bounded by the rate limits of the
-source (``maxFilesPerTrigger``, ``maxBytesPerTrigger``); rows touch the state in the order
-(ts, tie-break), whichever batch brings them.
+source (``maxFilesPerTrigger``, ``maxBytesPerTrigger``); rows that a series depends on touch it in the order
+(ts, tie-break), whichever batch brings them (``held``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.trading import stop_loss_hit
 from ..operators.latest import latest
 from ..params import MoodParams, RiskParams
 from ..sources.store import merge_newest, read_snapshot, write_snapshot
+from .held import cooled, in_turn, moods
 
 MOOD_OUT = (
     "symbol string, ts timestamp, tie bigint, total double, ema double, roc double, rows_seen bigint, "
     "z_score double, extreme_value double, is_extreme boolean, late boolean"
 )
 
-# Rows that wait for their turn, the newest time seen, and the place of the last row taken.
-_WAITING = "held_us array<bigint>, held_tie array<bigint>, held_total array<double>, newest bigint, last_us bigint, last_tie bigint"
-_NOTHING = ([], [], [], None, None, None)
-
-
-def _in_turn(frames: Iterator[pd.DataFrame], waiting: tuple, hold: int) -> tuple[pd.DataFrame, pd.DataFrame, tuple]:
-    """Rows (us, tie, total) to take now, rows that come after their turn, and what waits on.
-
-    A row is taken once the newest time of its symbol is ``hold`` microseconds past it, in the order (ts, tie);
-    so the result does not depend on how the input was cut into batches while rows are late by less.
-    """
-    held_us, held_tie, held_total, newest, last_us, last_tie = waiting
-    new = pd.concat(list(frames), ignore_index=True)
-    new = pd.DataFrame(
-        {
-            "us": new["ts"].to_numpy().astype("datetime64[us]").astype("int64"),
-            "tie": new["tie"].to_numpy(),
-            "total": new["total"].to_numpy() if "total" in new else 0.0,
-        }
-    )
-    passed = np.zeros(len(new), bool)
-    if last_us is not None:
-        passed = ((new["us"] < last_us) | ((new["us"] == last_us) & (new["tie"] <= last_tie))).to_numpy()
-    old = pd.DataFrame({"us": list(held_us), "tie": list(held_tie), "total": list(held_total)}).astype(new.dtypes)
-    rows = pd.concat([old, new[~passed]], ignore_index=True).sort_values(["us", "tie"], kind="stable", ignore_index=True)
-    newest = max([int(new["us"].max()), *([] if newest is None else [newest])])
-    due = (rows["us"] <= newest - hold).to_numpy()
-    now, rest = rows[due].reset_index(drop=True), rows[~due]
-    if len(now):
-        last_us, last_tie = int(now["us"].iloc[-1]), int(now["tie"].iloc[-1])
-    return now, new[passed], (rest["us"].tolist(), rest["tie"].tolist(), rest["total"].tolist(), newest, last_us, last_tie)
-
-
-def _times(us: pd.Series) -> pd.Series:
-    return pd.to_datetime(us, unit="us")
-
-
 def live_mood(scores: DataFrame, p: MoodParams = MoodParams(), hold_minutes: int = 0) -> DataFrame:
     """Average, change, z-score and extreme test of each new score (symbol, ts, tie, total).
 
-    The state per symbol is its last average, the number of rows seen and the last averages that the
-    statistics look back on.  Scores wait ``hold_minutes`` of event time for older ones; what comes later still
-    is returned with ``late`` set and leaves the series alone.
+    The state per symbol is the number of rows seen and the last averages that the statistics look back on.
+    Scores wait until the watermark, ``hold_minutes`` behind the newest time of all symbols, has passed them, and are taken in
+    the order (ts, tie); what comes behind a score already taken is returned with ``late`` set and leaves the series alone.
     """
-    hold = hold_minutes * 60_000_000
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, tail, *waiting = state.get if state.exists else (0, [], *_NOTHING)
-        rows, passed, waiting = _in_turn(frames, tuple(waiting), hold)
-        tail = list(tail)
-        out = []
-        for total in rows["total"]:
-            before = tail[-1] if tail else None
-            ema = total if before is None else p.alpha * total + (1 - p.alpha) * before
-            past = np.array(tail[-(p.stats_rows - 1) :])
-            std = past.std() if len(past) else 0.0
-            z = (ema - past.mean()) / std if std >= p.min_std else 0.0
-            seen += 1
-            warm = seen < p.warmup_rows
-            size = abs(ema) if warm else abs(z)
-            out.append(
-                (ema, 0.0 if before is None else ema - before, seen, z, size, bool(size >= (p.warmup_limit if warm else p.extreme_std)))
-            )
-            tail = (tail + [ema])[-p.stats_rows :]
-        state.update((seen, tail, *waiting))
-        both = pd.concat([rows, passed], ignore_index=True)
-        made = pd.DataFrame(out + [(None,) * 6] * len(passed), columns=["ema", "roc", "rows_seen", "z_score", "extreme_value", "is_extreme"])
-        made = made.astype({"rows_seen": "Int64", "is_extreme": "boolean"})
-        first = pd.DataFrame({"symbol": key[0], "ts": _times(both["us"]), "tie": both["tie"], "total": both["total"]})
-        late = pd.Series([False] * len(rows) + [True] * len(passed), name="late", dtype=bool)
-        yield pd.concat([first, made, late], axis=1)
-
-    return scores.groupBy("symbol").applyInPandasWithState(
-        step, MOOD_OUT, "seen bigint, tail array<double>, " + _WAITING, "append", GroupStateTimeout.NoTimeout
-    )
+    work = moods(p.alpha, p.stats_rows, p.min_std, p.warmup_rows, p.warmup_limit, p.extreme_std)
+    kinds = {"ema": "Float64", "roc": "Float64", "rows_seen": "Int64", "z_score": "Float64", "extreme_value": "Float64", "is_extreme": "boolean"}
+    return in_turn(scores, hold_minutes, work, "seen bigint, tail array<double>", (0, []), MOOD_OUT, kinds)
 
 
 def live_cooldown(signals: DataFrame, minutes: int = 60, hold_minutes: int = 0) -> DataFrame:
     """Signals (symbol, ts, tie) that come at least ``minutes`` after the last accepted one.
 
-    Signals wait ``hold_minutes`` of event time for older ones; later ones are returned with ``late`` set.
+    Signals wait as scores do in ``live_mood``; those behind a signal already taken are returned with ``late`` set.
     """
-    pause, hold = minutes * 60_000_000, hold_minutes * 60_000_000
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, *waiting = state.get if state.exists else (None, *_NOTHING)
-        rows, passed, waiting = _in_turn(frames, tuple(waiting), hold)
-        keep = []
-        for us in rows["us"]:
-            accept = last is None or us >= last + pause
-            keep.append(accept)
-            last = int(us) if accept else last
-        state.update((last, *waiting))
-        both = pd.concat([rows[np.array(keep, bool)], passed], ignore_index=True)
-        late = [False] * sum(keep) + [True] * len(passed)
-        yield pd.DataFrame({"symbol": key[0], "ts": _times(both["us"]), "tie": both["tie"], "late": late})
-
-    return signals.groupBy("symbol").applyInPandasWithState(
-        step, "symbol string, ts timestamp, tie bigint, late boolean", "last bigint, " + _WAITING, "append", GroupStateTimeout.NoTimeout
-    )
+    out = "symbol string, ts timestamp, tie bigint, late boolean"
+    return in_turn(signals.withColumn("total", F.lit(0.0)), hold_minutes, cooled(minutes * 60_000_000), "last bigint", (None,), out, {})
 
 
 def replay_bars(

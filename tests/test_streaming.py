@@ -121,3 +121,40 @@ def test_repeated_bars_however_late(spark, tmp_path):
     stream = landed(spark, f"{tmp_path}/in", rows, "symbol string, ts timestamp", files=4)
     got = live.drain(live.unique_bars(stream), f"{tmp_path}/out", f"{tmp_path}/state").collect()
     assert sorted(r.ts for r in got) == [day(1), day(2), day(20)]
+
+
+def test_rows_of_a_silent_symbol_come_out(spark, tmp_path):
+    minute = lambda m: T0 + dt.timedelta(minutes=m)
+    rows = [("a", minute(5), 1, 1.0), ("b", minute(3), 2, 2.0), ("a", minute(0), 3, 3.0), ("b", minute(60), 4, 4.0), ("b", minute(61), 5, 5.0), ("a", minute(2), 6, 6.0)]
+    stream = landed(spark, f"{tmp_path}/in", rows, SCORES, files=len(rows))
+    out = live.drain(live.live_mood(stream, hold_minutes=30), f"{tmp_path}/out", f"{tmp_path}/state").collect()
+    assert [(r.tie, r.rows_seen) for r in sorted(out, key=lambda r: r.ts) if r.symbol == "a" and not r.late] == [(3, 1), (1, 2)]
+    assert {(r.tie, r.late) for r in out} == {(3, False), (1, False), (2, False), (6, True)}
+    cooled = live.drain(live.live_cooldown(stream, 10, 30), f"{tmp_path}/out2", f"{tmp_path}/state2").collect()
+    assert {(r.tie, r.late) for r in cooled} == {(3, False), (2, False), (6, True)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_shuffled_within_the_hold_equals_batch(spark, tmp_path, seed):
+    rnd = random.Random(seed)
+    rows = [(rnd.choice("abcd"), T0 + dt.timedelta(minutes=i, microseconds=rnd.randrange(10**6)), i, rnd.uniform(-5, 5)) for i in range(300)]
+    landing = sorted(rows, key=lambda r: r[1] + dt.timedelta(minutes=rnd.uniform(0, 50)))
+    stream = landed(spark, f"{tmp_path}/in", landing, SCORES, files=6)
+    got = {r.tie: r for r in live.drain(live.live_mood(stream, hold_minutes=55), f"{tmp_path}/out", f"{tmp_path}/state").collect()}
+    due = [r for r in rows if r[1] <= max(x[1] for x in rows).replace(microsecond=0) - dt.timedelta(minutes=55)]
+    batch = with_ema(spark.createDataFrame(rows, SCORES), ["symbol"], ["ts", "tie"], "total", 0.2).collect()
+    want = {r.tie: r.ema for r in batch}
+    assert not any(r.late for r in got.values())
+    assert {r[2] for r in due} <= set(got)
+    assert {k: r.ema for k, r in got.items()} == {k: pytest.approx(want[k]) for k in got}
+
+
+def test_shuffled_within_the_hold_cooldown(spark, tmp_path):
+    rnd = random.Random(9)
+    rows = [(rnd.choice("ab"), T0 + dt.timedelta(minutes=rnd.randrange(600)), i, 0.0) for i in range(200)]
+    landing = sorted(rows, key=lambda r: r[1] + dt.timedelta(minutes=rnd.uniform(0, 50)))
+    landing += [("z", T0 + dt.timedelta(days=2), 1000, 0.0)]  # time goes on
+    stream = landed(spark, f"{tmp_path}/in", landing, SCORES, files=5)
+    got = live.drain(live.live_cooldown(stream, 45, 55), f"{tmp_path}/out", f"{tmp_path}/state").collect()
+    want = accept_after_cooldown(spark.createDataFrame(rows, SCORES), ["symbol"], "ts", ["tie"], 45).filter("accepted")
+    assert {r.tie for r in got} == {r.tie for r in want.collect()}
