@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import micros
+from .durable import durable
 from .segments import SEGMENT, ordered
 
 # Earlier than any time, in microseconds: nothing accepted yet.
@@ -44,28 +45,92 @@ def _summary(pause: int):
         starts, ends = times[:head], ends[:head]
         keep = np.append(ends[1:] != ends[:-1], True)
         row = pdf.iloc[[0]].drop(columns=["_us"]).copy()
-        row["starts"], row["ends"] = [starts[keep].tolist()], [ends[keep].tolist()]
+        row["first"], row["starts"], row["ends"] = int(times[0]), [starts[keep].tolist()], [ends[keep].tolist()]
         return row
 
     return of
 
 
-def _entries(pause: int):
-    """Per key, in order: the time of the last acceptance before each stretch."""
+def after(starts: np.ndarray, ends: np.ndarray, last: np.ndarray, pause: int) -> np.ndarray:
+    """The last acceptance behind a summarised stretch, given that before it."""
+    at = np.searchsorted(starts, last + pause, side="left")
+    return np.where(at < len(starts), np.append(ends, NEVER)[at], last)
+
+
+def composed(first: int, left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], pause: int) -> tuple[np.ndarray, np.ndarray]:
+    """The summary of two neighbours: one step function after the other; ``first`` is the first time of the left one.
+
+    Starts of the right one count only where all rows of the left one lie within a pause of its first.
+    """
+    more = right[0] > left[0][-1]
+    starts = np.concatenate([left[0], right[0][more]])
+    ends = np.concatenate([after(*right, left[1], pause), right[1][more]])
+    head = int(np.searchsorted(starts, first + pause, side="left")) + 1
+    starts, ends = starts[:head], ends[:head]
+    keep = np.append(ends[1:] != ends[:-1], True)
+    return starts[keep], ends[keep]
+
+
+def _sides(pdf: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(np.asarray(s, np.int64), np.asarray(e, np.int64)) for s, e in zip(pdf["starts"], pdf["ends"], strict=True)]
+
+
+def _joined(pause: int):
+    """Two neighbours become their parent."""
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(SEGMENT)
-        last, before = NEVER, []
-        for starts, ends in zip(pdf["starts"], pdf["ends"], strict=True):
-            before.append(last)
-            i = int(np.searchsorted(starts, last + pause, side="left"))
-            if i < len(starts):
-                last = int(ends[i])
-        return pdf.drop(columns=["starts", "ends"]).assign(_before=before)
+        pdf = pdf.sort_values("node")
+        first = int(pdf["first"].iloc[0])
+        starts, ends = composed(first, *_sides(pdf), pause)
+        row = pdf.iloc[[0]].drop(columns=["node"]).rename(columns={"parent": "node"}).copy()
+        row["starts"], row["ends"] = [starts.tolist()], [ends.tolist()]
+        return row
 
     return of
 
 
+def _handed_down(pause: int):
+    """The entry of a parent becomes that of its left child, and what the left child makes of it that of the right one."""
+
+    def of(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        before = pdf["_before"].to_numpy().copy()
+        before[1:] = after(*_sides(pdf.iloc[[0]])[0], before[:1], pause)
+        return pdf.drop(columns=["parent", "first", "starts", "ends"]).assign(_before=before)
+
+    return of
+
+
+def _entries(summary: DataFrame, keys: Sequence[str], pause: int) -> DataFrame:
+    """Per key and segment the time of the last acceptance before it.
+
+    Summaries (keys, segment, first, starts, ends) of neighbours are composed pairwise, level by level, up to one per key;
+    the entry of a key is NEVER, and entries come down the same tree.  No group holds more than two summaries; one has at most as many
+    steps as there are rows within a pause of its first.
+    """
+    kinds = dict(summary.dtypes)
+    head = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    levels = [durable(summary.withColumnRenamed(SEGMENT, "node").withColumn("node", F.col("node").cast("bigint")))]
+    spans = levels[0].groupBy(*keys).agg(F.min("node").alias("a"), F.max("node").alias("b"))
+    apart = spans.agg(F.max(F.col("a").bitwiseXOR(F.col("b")))).first()[0] or 0
+    pair = Window.partitionBy(*keys, "parent")
+    paired = lambda df: df.withColumn("parent", F.shiftright("node", 1)).withColumn("two", F.count("*").over(pair) > 1)
+    kept = [*keys, F.col("parent").alias("node"), "first", "starts", "ends"]
+    for _ in range(int(apart).bit_length()):
+        children = paired(levels[-1])
+        both = children.filter("two").drop("two").groupBy(*keys, "parent")
+        joined = both.applyInPandas(_joined(pause), head + ", node bigint, first bigint, starts array<bigint>, ends array<bigint>")
+        levels.append(durable(children.filter("not two").select(*kept).unionByName(joined)))
+    entries = levels.pop().select(*keys, "node", F.lit(NEVER).alias("_before"))
+    for level in reversed(levels):
+        above = entries.withColumnRenamed("node", "parent")
+        children = paired(level).join(above, [*keys, "parent"])
+        both = children.filter("two").drop("two").groupBy(*keys, "parent")
+        handed = both.applyInPandas(_handed_down(pause), head + ", node bigint, _before bigint")
+        entries = durable(children.filter("not two").select(*keys, "node", "_before").unionByName(handed))
+    return entries.withColumnRenamed("node", SEGMENT)
+
+
 def _walk(pause: int, order: list[str]):
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
@@ -88,8 +153,8 @@ def accept_after_cooldown(
 
     Where a key is too large for one task, its rows are cut into stretches.  The outcome of a
     stretch depends on the rows before it only through the last accepted time, and that dependence
-    is a short step function.  So stretches are summarised in parallel, the summaries are walked per
-    key (one row per stretch), and the stretches are marked in parallel.
+    is a step function.  So stretches are summarised in parallel, the summaries of neighbours are composed
+    in a tree that hands the entries back down, and the stretches are marked in parallel.
     """
     pause = minutes * 60_000_000
     cut = ordered(df.withColumn("_us", micros(F.col(ts), dict(df.dtypes)[ts])), keys, [ts, *tie], limit)
@@ -100,10 +165,9 @@ def accept_after_cooldown(
         summary = (
             cut.df.select(*cut.parts, "_us")
             .groupBy(*cut.parts)
-            .applyInPandas(_summary(pause), f"{head}, starts array<bigint>, ends array<bigint>")
+            .applyInPandas(_summary(pause), f"{head}, first bigint, starts array<bigint>, ends array<bigint>")
         )
-        entries = summary.groupBy(*keys).applyInPandas(_entries(pause), f"{head}, _before bigint")
-        rows = cut.df.join(entries, cut.parts)
+        rows = cut.df.join(_entries(summary, keys, pause), cut.parts)
     out = ", ".join(f"`{n}` {k}" for n, k in rows.dtypes if n != "_before") + ", accepted boolean"
     marked = rows.groupBy(*cut.parts).applyInPandas(_walk(pause, ["_us", *tie]), out)
     return marked.drop("_us", SEGMENT)

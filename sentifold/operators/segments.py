@@ -25,8 +25,6 @@ SEGMENT = "segment"
 
 # Rows of one key that a single task may sort and scan.
 ROWS_PER_TASK = 1_000_000
-# Range partitions at most; beyond it partitions grow instead, and sorts spill.
-MAX_PARTITIONS = 50_000
 
 _MERGE = {
     "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + b),
@@ -74,8 +72,7 @@ def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int
     largest, total = group_sizes(df, keys)
     if largest <= limit:
         return Ordered(df, keys, order, largest, total, False)
-    wanted = min(-(-total // limit), MAX_PARTITIONS)
-    parts = max(wanted, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(-(-total // limit), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     spread = df.repartitionByRange(parts, *keys, *order).withColumn(SEGMENT, F.spark_partition_id())
     return Ordered(durable(spread), keys, order, largest, total, True)
 

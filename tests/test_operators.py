@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sentifold.operators import ledger, segments
 from sentifold.operators.asof import asof_join
 from sentifold.operators.blend import composite, total_score
-from sentifold.operators.cooldown import _chain_ends, _entries, _summary, _walk, accept_after_cooldown
+from sentifold.operators.cooldown import NEVER, _chain_ends, _handed_down, _joined, _summary, _walk, accept_after_cooldown
 from sentifold.operators.latest import newest_rows
 from sentifold.operators.median import exact_medians
 from sentifold.operators.series import (
@@ -212,10 +212,24 @@ def test_cooldown(spark, limit):
     assert {(r.k, r.id) for r in got} == want
 
 
+def test_cooldown_with_a_pause_over_several_segments(spark):
+    """A pause of 60 minutes holds hundreds of rows, a segment 20."""
+    rnd = random.Random(6)
+    rows = [("hot", rnd.randrange(240 * 60), i) for i in range(1500)] + [("a", 5, 0), ("a", 7, 1)]
+    df = spark.createDataFrame(rows, "k string, s int, id int").withColumn("ts", F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, s)"))
+    got = accept_after_cooldown(df, ["k"], "ts", ["id"], 60, 20).filter("accepted").collect()
+    want, last = set(), {}
+    for k, t, i in sorted(rows):
+        if k not in last or t >= last[k] + 3600:
+            want.add((k, i))
+            last[k] = t
+    assert {(r.k, r.id) for r in got} == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 300), min_size=1, max_size=60), st.integers(1, 40), st.integers(1, 9))
 def test_cooldown_stretches_agree_with_walk(times, pause, cuts):
-    """Summaries of any cut, walked in order, mark the same rows as one plain walk."""
+    """Summaries of any cut, composed in a tree and entries handed down, mark the same rows as one plain walk."""
     import pandas as pd
 
     times = sorted(times)
@@ -227,9 +241,18 @@ def test_cooldown_stretches_agree_with_walk(times, pause, cuts):
     size = -(-len(times) // cuts)
     parts = [times[i : i + size] for i in range(0, len(times), size)]
     frames = [pd.DataFrame({"k": "a", "segment": i, "_us": p}) for i, p in enumerate(parts)]
-    entries = _entries(pause)(pd.concat([_summary(pause)(f) for f in frames]))
+    levels = [[_summary(pause)(f).rename(columns={"segment": "node"}) for f in frames]]
+    family = lambda level, i: pd.concat(level[i : i + 2]).assign(parent=i // 2)
+    while len(levels[-1]) > 1:
+        level = levels[-1]
+        pairs = [family(level, i) for i in range(0, len(level), 2)]
+        levels.append([_joined(pause)(p) if len(p) == 2 else p.drop(columns="node").rename(columns={"parent": "node"}) for p in pairs])
+    entries = [NEVER]
+    for level in reversed(levels[:-1]):
+        pairs = [family(level, i).assign(_before=entries[i // 2]) for i in range(0, len(level), 2)]
+        entries = [e for p in pairs for e in (_handed_down(pause)(p)["_before"] if len(p) == 2 else p["_before"])]
     got = []
-    for f, before in zip(frames, entries["_before"], strict=True):
+    for f, before in zip(frames, entries, strict=True):
         got += _walk(pause, ["_us"])(f.assign(_before=before))["accepted"].tolist()
     assert got == want
     assert len(_chain_ends(frames[0]["_us"].to_numpy(), pause)) == len(parts[0])
