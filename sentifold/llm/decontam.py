@@ -14,8 +14,8 @@ word; the item gives the windows at all its offsets, so that both meet in step.
 1. Items give keys; the keys mark a bit table of fixed size.
 2. The places of documents' windows whose keys are marked (in two tables) go on.
 3. They are joined with the items on the key, gathered by document, and the words around them are taken as far as the item
-   can reach.
-4. The edit distance in words of the item to the nearest part of these words is computed; at most `1 - SIMILARITY` of the
+   can reach: its offset at that key says where it would begin.
+4. Where enough of the item's words are among them, the edit distance in words of the item to the nearest part of these words is computed; at most `1 - SIMILARITY` of the
    item's words may be edited.
 
 Defined cases: null and empty texts and items match nothing; an item of fewer than five words must occur as it is;
@@ -25,7 +25,7 @@ repeated rows give their own results; an empty table gives no rows; other column
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -133,8 +133,11 @@ def _first_marks(keys: np.ndarray) -> np.ndarray:
     return (keys & np.uint64((1 << FIRST_BITS) - 1)).astype(np.int64)
 
 
+_ITEM_KEY = ["item", "key", "size", "n_words", "first", "last"]
+
+
 def _item_keys(items: DataFrame) -> DataFrame:
-    """(item, key, size, n_words) of every window of every item; n_words are the item's."""
+    """(item, key, size, n_words, first, last) of every window of every item: the item's words, the least and greatest offset of the key in it."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,13 +145,17 @@ def _item_keys(items: DataFrame) -> DataFrame:
                 words = words_of(text)
                 if words:
                     size = class_of(len(words))
-                    keys = np.unique(window_keys(_hashed(words), np.arange(len(words) - size + 1), size))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(keys), item)), pa.array(keys.view(np.int64)), *(pa.array(np.full(len(keys), x)) for x in (size, len(words)))],
-                        ["item", "key", "size", "n_words"],
-                    )
+                    every = window_keys(_hashed(words), np.arange(len(words) - size + 1), size)
+                    at = np.tile(np.arange(every.shape[1]), len(every))
+                    order = np.lexsort((at, every.ravel()))
+                    keys, at = every.ravel()[order], at[order]
+                    new = np.append(True, keys[1:] != keys[:-1])
+                    first, last = at[new], at[np.append(new[1:], True)]
+                    keys = keys[new]
+                    same = [np.full(len(keys), x) for x in (size, len(words))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(len(keys), item), keys.view(np.int64), *same, first, last)], _ITEM_KEY)
 
-    return items.select("item", "text").mapInArrow(make, "item long, key long, size long, n_words long")
+    return items.select("item", "text").mapInArrow(make, ", ".join(f"{c} long" for c in _ITEM_KEY))
 
 
 def _windows(docs: DataFrame, tables: tuple[np.ndarray, np.ndarray], sizes: list[int]) -> DataFrame:
@@ -207,10 +214,9 @@ def _near(hits: DataFrame) -> DataFrame:
         for batch in batches:
             for n, (text, met) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 words, out, last = words_of(text), [], None
-                for item, n_words, at in sorted((x["item"], x["n_words"], x["at"]) for x in met):
-                    low, high = max(0, at - 2 * n_words), at + 2 * n_words + LARGEST
+                for item, low, high in sorted((x["item"], max(0, x["low"]), x["high"]) for x in met):
                     if last and last[0] == item and low <= last[2]:
-                        last[2] = high
+                        last[2] = max(last[2], high)
                     else:
                         last = [item, low, high]
                         out.append(last)
@@ -250,17 +256,29 @@ def nearest(item: list[bytes], words: list[bytes]) -> tuple[int, int]:
 _NEAREST = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "distance", "end")])
 
 
-@F.pandas_udf(_NEAREST)
-def _nearest(near: pd.Series, item: pd.Series) -> pd.DataFrame:
-    out = []
-    for a, b in zip(near, item, strict=True):
-        words = words_of(bytes(b))
-        out.append((len(words), *nearest(words, bytes(a).split())))
-    return pd.DataFrame(out, columns=["n_words", "distance", "end"], dtype="int64")
+def _nearest(similarity: float) -> Callable:
+    """Figures of the nearest part; where more of the item's words are missing than may be edited, the distance is its length."""
+
+    @F.pandas_udf(_NEAREST)
+    def found(near: pd.Series, item: pd.Series) -> pd.DataFrame:
+        out, known = [], {}
+        for a, b in zip(near, item, strict=True):
+            words = known.get(b)
+            if words is None:
+                words = known.setdefault(b, words_of(bytes(b)))
+            around = bytes(a).split()
+            there = sum(map(set(around).__contains__, words))
+            if len(words) - there > int((1 - similarity) * len(words) + 1e-9):
+                out.append((len(words), len(words), 0))
+            else:
+                out.append((len(words), *nearest(words, around)))
+        return pd.DataFrame(out, columns=["n_words", "distance", "end"], dtype="int64")
+
+    return found
 
 
 def _allowed(similarity: float) -> Column:
-    return F.floor((1 - F.lit(similarity)) * F.col("n_words") + 1e-9)
+    return F.floor((1 - F.lit(similarity)) * F.col("n_words") + 1e-9).cast("long")
 
 
 def _leaks(numbered: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
@@ -272,11 +290,15 @@ def _leaks(numbered: DataFrame, items: DataFrame, similarity: float) -> DataFram
     tables = bit_table(marks, "bit", FILTER_BITS), bit_table(first, "bit", FIRST_BITS)
     sizes = sorted(r["size"] for r in keys.select("size").distinct().collect())  # one per power of two
     near = written(_windows(numbered, tables, sizes), "windows")
-    met = near.select("row", "at", F.explode("keys").alias("key")).join(keys.select("item", "key", "n_words"), "key")
-    met = written(met.groupBy("row").agg(F.collect_set(F.struct("item", "n_words", "at")).alias("met")), "met")
+    met = near.select("row", "at", F.explode("keys").alias("key")).join(keys, "key")
+    # The item begins where the window does less its offset, edits and the walk's slack aside, and ends an item's length later.
+    slack = _allowed(similarity) + F.col("size")
+    low, high = F.col("at") - F.col("last") - slack, F.col("at") - F.col("first") + F.col("n_words") + slack + _allowed(similarity)
+    met = met.select("row", F.struct("item", low.alias("low"), high.alias("high")).alias("met"))
+    met = written(met.groupBy("row").agg(F.collect_set("met").alias("met")), "met")
     met = written(_near(met.join(numbered, "row")), "near", "zstd")
     met = met.join(items.select("item", "item_id", F.col("text").alias("item_text")), "item")
-    met = met.withColumn("match", _nearest("near", "item_text")).select(
+    met = met.withColumn("match", _nearest(similarity)("near", "item_text")).select(
         "row", "doc_id", "item", "item_id", "match.n_words", "match.distance", (F.col("near_from") + F.col("match.end")).alias("end")
     )
     met = met.filter(F.col("distance") <= _allowed(similarity))
@@ -304,4 +326,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     numbered = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered", "zstd")
     rows = numbered.select(F.col(number).alias("row"), F.col(doc_id).alias("doc_id"), utf8(F.col(text)).alias("text"))
     found = _leaks(rows, _numbered(benchmark, "item_id", "text", "item", "item_id"), similarity)
-    return numbered.join(found.select(F.col("row").alias(number)).distinct(), number, "left_anti").select(*docs.columns)
+    # Written first: where few rows go, as is usual, the join sees so and does not shuffle the texts.
+    gone = written(found.select(F.col("row").alias(number)).distinct(), "leaked-rows")
+    return numbered.join(gone, number, "left_anti").select(*docs.columns)
