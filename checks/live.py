@@ -43,11 +43,15 @@ def _stream(t, table: str, order=None, files: int = 4):
     return t.spark.readStream.schema(SCHEMAS[table]).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-# Events that land up to a day after their time, by a rule of their number.
-DELAYED = F.expr("ts + make_interval(0, 0, 0, 0, 0, event_id * 7919 % 1440, 0)")
+# Minutes that scores and signals wait for older ones.
 HOLD = 1440
 
 
+def _delayed(t):
+    """Events that land up to a day after their time, by a rule of their number."""
+    return _events(t, F.expr(f"ts + make_interval(0, 0, 0, 0, 0, event_id * 7919 % {HOLD}, 0)"), 8)
+
+
 def _events(t, order=None, files: int = 4):
     return _stream(t, "events", F.col("ts") if order is None else order, files).select(
         F.col("user_id").cast("string").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"),
@@ -131,7 +135,7 @@ ENTRY = "signal_type IN ('BUY', 'SELL')"
 
 CASES = [
     Case("stream_mood", "I1", _mood, _mood_sql()),
-    Case("stream_mood_held", "I1", lambda t: _mood(t, _events(t, DELAYED, 8), HOLD), _mood_sql(DUE)),
+    Case("stream_mood_held", "I1", lambda t: _mood(t, _delayed(t), HOLD), _mood_sql(DUE)),
     Case(
         "stream_positions", "I2, A15", lambda t: rounded(_position_changes(t)),
         f"""SELECT CAST(user_id AS VARCHAR) AS symbol, event_id % 100 AS quantity, {rq('value')} AS entry_price FROM (
@@ -157,7 +161,7 @@ CASES = [
           WHERE p.quantity <> 0 AND CASE WHEN p.quantity > 0 THEN (price - avg_cost) / avg_cost * 100 ELSE (avg_cost - price) / avg_cost * 100 END <= -5"""),
     ),
     Case("stream_cooldown", "I5", _cooled, _cooled_sql()),
-    Case("stream_cooldown_held", "I5", lambda t: _cooled(t, _events(t, DELAYED, 8), HOLD), _cooled_sql(DUE)),
+    Case("stream_cooldown_held", "I5", lambda t: _cooled(t, _delayed(t), HOLD), _cooled_sql(DUE)),
     # --- rules --------------------------------------------------------------
     Case(
         "sector_capped", "S1",
