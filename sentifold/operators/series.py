@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.mood import extreme_flag, extreme_value
@@ -118,43 +118,54 @@ def _day_number(day: str) -> Column:
     return F.unix_date(F.col(day).cast("date"))
 
 
+def _moments(column: Column, over: WindowSpec) -> Column:
+    """Count, mean and sum of squared departures from the mean, which Spark merges row by row as the frame grows."""
+    n = F.count(column).over(over)
+    return F.struct(
+        n.alias("n"), F.coalesce(F.avg(column).over(over), F.lit(0.0)).alias("mean"), F.coalesce(F.var_pop(column).over(over) * n, F.lit(0.0)).alias("m2")
+    )
+
+
+def _merged(a: str, b: str) -> Column:
+    """The moments of two sets of values from those of each."""
+    n, apart = F.col(f"{a}.n") + F.col(f"{b}.n"), F.col(f"{b}.mean") - F.col(f"{a}.mean")
+    part = F.col(f"{b}.n") / F.greatest(n, F.lit(1))
+    return F.struct(
+        n.alias("n"), (F.col(f"{a}.mean") + apart * part).alias("mean"), (F.col(f"{a}.m2") + F.col(f"{b}.m2") + apart * apart * F.col(f"{a}.n") * part).alias("m2")
+    )
+
+
 def with_return_zscore(
     df: DataFrame, keys: Sequence[str], day: str = "day", value: str = "close", lookback_days: int = 252, min_rows: int = 20
 ) -> DataFrame:
-    """Z-score of the latest return among those inside a calendar lookback, current row included.
+    """Z-score of the latest return among those inside a calendar lookback, current row included; one row per key and day.
 
     The first close of the lookback has no return of its own, so its return against the close
-    before the lookback is taken out of the sums.  Rows with a short history get NULL.  Sums are of
-    departures from the key's first return, so that equal returns have a variance of exactly 0.
+    before the lookback does not count.  Rows with a short history get NULL.
+
+    Days are cut into blocks as long as the lookback, which then reaches into the block before at most: its moments are those of the
+    rows of that block behind its first row, merged with those of the own block so far.  Both grow row by row, so a row costs the
+    same whatever the lookback, no sums are subtracted, and equal returns have a variance of exactly 0.
     """
-    w = Window.partitionBy(*keys).orderBy("_dn").rangeBetween(-lookback_days, 0)
-    start = Window.partitionBy(*keys).orderBy("_dn").rowsBetween(Window.unboundedPreceding, 0)
-    r, first = F.col("_off"), F.col("_first")
-    n = F.col("_n")
+    in_range = Window.partitionBy(*keys).orderBy("_dn").rangeBetween(-lookback_days, 0)
+    ahead = Window.partitionBy(*keys, "_block").orderBy("_dn")
+    so_far = ahead.rowsBetween(Window.unboundedPreceding, 0)
+    behind = Window.partitionBy(*keys, "_block").orderBy(F.col("_dn").desc()).rowsBetween(Window.unboundedPreceding, -1)
     return (
         with_return(df, keys, [day], value)
         .withColumn("_dn", _day_number(day))
-        .withColumn("_off", F.col("ret") - F.first("ret", ignorenulls=True).over(start))
-        .withColumns(
-            {
-                "_rows": F.count(F.lit(1)).over(w),
-                "_first": F.first("_off").over(w),
-                "_sum": F.sum("_off").over(w),
-                "_sq": F.sum(r * r).over(w),
-            }
-        )
-        .withColumn("_n", F.col("_rows") - 1)
-        .withColumn("_mean", (F.col("_sum") - F.coalesce(first, F.lit(0.0))) / F.when(n > 0, n))
-        .withColumn(
-            "_var",
-            (F.col("_sq") - F.coalesce(first * first, F.lit(0.0)) - n * F.col("_mean") * F.col("_mean"))
-            / F.when(n > 1, n - 1),
-        )
+        .withColumn("_block", F.floor(F.col("_dn") / (lookback_days + 1)))
+        .withColumn("_later", F.when(F.row_number().over(ahead) > 1, F.col("ret")))
+        .withColumns({"_own": _moments(F.col("ret"), so_far), "_own_later": _moments(F.col("_later"), so_far), "_rest": _moments(F.col("ret"), behind)})
+        .withColumn("_first", F.first(F.struct("_block", "_rest")).over(in_range))
+        .withColumn("_before", F.col("_first._rest"))
+        .withColumn("_all", F.when(F.col("_first._block") == F.col("_block"), F.col("_own_later")).otherwise(_merged("_before", "_own")))
+        .withColumn("_var", F.when(F.col("_all.n") > 1, F.col("_all.m2") / (F.col("_all.n") - 1)))
         .withColumn(
             "z_score",
-            F.when((n >= min_rows) & (F.col("_var") > 0), (r - F.col("_mean")) / F.sqrt(F.col("_var"))),
+            F.when((F.col("_all.n") >= min_rows) & (F.col("_var") > 0), (F.col("ret") - F.col("_all.mean")) / F.sqrt("_var")),
         )
-        .drop("_dn", "_off", "_rows", "_first", "_sum", "_sq", "_n", "_mean", "_var")
+        .drop("_dn", "_block", "_later", "_own", "_own_later", "_rest", "_first", "_before", "_all", "_var")
     )
 
 
@@ -194,7 +205,7 @@ def with_momentum(
                 (rows == slow) & (rows >= min_rows), F.col("_fast") - F.col("_rest")
             ),
         )
-        .drop("_dn", "_off", "_rows", "_fast", "_slow", "_rest")
+        .drop("_dn", "_rows", "_fast", "_slow", "_rest")
     )
 
 

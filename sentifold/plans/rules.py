@@ -86,13 +86,15 @@ def zscore_modes(df: DataFrame, value: str, mode: str = "rolling", window: int =
     keys = list(keys)
     if mode == "ewma":
         alpha = 2.0 / (window + 1)
-        # Departures from the first value, so that equal values have a deviation of exactly 0.
-        start = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-        df = df.withColumn("_off", F.col(value) - F.first(value).over(start))
-        df = with_ema(df, keys, ["day"], "_off", alpha, "_m")
-        df = with_ema(df.withColumn("_sq", F.col("_off") * F.col("_off")), keys, ["day"], "_sq", alpha, "_m2")
-        mean, std = F.col("_m"), F.sqrt(F.greatest(F.col("_m2") - F.col("_m") * F.col("_m"), F.lit(0.0)))
-        return df.withColumn("z_score", F.when(std > 0, (F.col("_off") - mean) / std)).drop("_off", "_m", "_sq", "_m2")
+        # Departures from the first value keep their digits; their variance is an average too, of the squared steps away
+        # from the mean before, so no squares are subtracted.
+        steps = Window.partitionBy(*keys).orderBy("day")
+        start = steps.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        df = with_ema(df.withColumn("_off", F.col(value) - F.first(value).over(start)), keys, ["day"], "_off", alpha, "_m")
+        step = F.coalesce(F.col("_off") - F.lag("_m").over(steps), F.lit(0.0))
+        df = with_ema(df.withColumn("_sq", (1 - alpha) * step * step), keys, ["day"], "_sq", alpha, "_var")
+        std = F.sqrt("_var")
+        return df.withColumn("z_score", F.when(std > 0, (F.col("_off") - F.col("_m")) / std)).drop("_off", "_m", "_sq", "_var")
     first = Window.unboundedPreceding if mode == "expanding" else -(window - 1)
     w = Window.partitionBy(*keys).orderBy("day").rowsBetween(first, 0)
     std = F.stddev_samp(value).over(w)

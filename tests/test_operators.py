@@ -20,6 +20,7 @@ from sentifold.operators.series import (
     with_ema,
     with_extreme,
     with_prior_zscore,
+    with_return_zscore,
     with_trend,
 )
 from sentifold.params import SOURCE_WEIGHTS
@@ -343,3 +344,45 @@ def test_trend_and_confirmation(spark):
 def test_newest_rows(spark):
     df = spark.createDataFrame([(k, i) for k in "ab" for i in range(9)], "k string, n int")
     assert {(r.k, r.n) for r in newest_rows(df, ["k"], ["n"], 2).collect()} == {("a", 7), ("a", 8), ("b", 7), ("b", 8)}
+
+
+@pytest.mark.parametrize("lookback", [5, 30, 252])
+def test_return_zscores_of_tiny_returns(spark, lookback):
+    """Closes near 1e9 with gaps between days, equal closes, a short key and a missing close, against two passes."""
+    import numpy as np
+
+    rnd, rows = random.Random(lookback), []
+    for k, n in (("a", 400), ("b", 3), ("flat", 60)):
+        day = 18_000
+        for _ in range(n):
+            day += rnd.choice([1, 1, 1, 3, 40 if rnd.random() < 0.05 else 1])
+            rows.append((k, day, 5.0 if k == "flat" else 1e9 + rnd.uniform(-1, 1)))
+    rows += [("gap", 18_000 + i, None if i == 30 else 100.0 + rnd.random()) for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, d int, close double").withColumn("day", F.expr("date_add(date'1970-01-01', d)"))
+    got = {(r.k, r.d): r.z_score for r in with_return_zscore(df, ["k"], lookback_days=lookback, min_rows=4).collect()}
+    for k in ("a", "b", "flat", "gap"):
+        own = [(d, c) for q, d, c in rows if q == k]
+        returns = [None] + [None if x is None or y is None else y / x - 1 for (_, x), (_, y) in zip(own[:-1], own[1:])]
+        for i, (d, _) in enumerate(own):
+            frame = [r for (e, _), r in zip(own, returns) if d - lookback <= e <= d]
+            used = np.array([r for r in frame[1:] if r is not None])
+            want = None
+            if len(used) >= 4 and np.ptp(used) > 0 and returns[i] is not None:
+                want = (returns[i] - used.mean()) / used.std(ddof=1)
+            assert got[k, d] == (None if want is None else pytest.approx(want, rel=1e-6, abs=1e-6))
+
+
+def test_weighted_zscores_far_from_zero(spark):
+    from sentifold.plans.rules import zscore_modes
+
+    rnd, alpha = random.Random(3), 2 / 21
+    values = [1e9 + rnd.uniform(-1e-3, 1e-3) for _ in range(300)]
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate(values)], "symbol string, day int, v double")
+    got = [r.z_score for r in zscore_modes(df, "v", "ewma").orderBy("day").collect()]
+    weight, seen = [1.0], [0.0]
+    for i, v in enumerate(values[1:], 1):
+        weight = [w * (1 - alpha) for w in weight] + [alpha]
+        seen.append(v - values[0])
+        mean = sum(w * x for w, x in zip(weight, seen))
+        var = sum(w * (x - mean) ** 2 for w, x in zip(weight, seen))
+        assert got[i] == pytest.approx((seen[-1] - mean) / var**0.5, rel=1e-3)
