@@ -435,6 +435,12 @@ CASES = [
         sql(f"""SELECT {day('run')} AS run, symbol, source, signal_type, signal_type = 'EXIT_LONG' AS is_exit, CASE WHEN strength >= 70 THEN 'STRONG'
           WHEN strength >= 40 THEN 'MODERATE' ELSE 'WEAK' END AS level FROM signals WHERE signal_type IN ('BUY', 'SELL') OR symbol = '7'"""),
     ),
+    Case(
+        "signals_of_type_and_symbol", "B5",
+        lambda t: rounded(pr.signals_of(t.signals, ["BUY", "EXIT_LONG"], [str(i) for i in range(40)]).select("run", "symbol", "source", "signal_type", "strength")),
+        sql(f"""SELECT {day('run')} AS run, symbol, source, signal_type, {rq('strength')} AS strength FROM signals
+          WHERE signal_type IN ('BUY', 'EXIT_LONG') AND CAST(symbol AS BIGINT) < 40"""),
+    ),
     # --- routing ------------------------------------------------------------
     Case(
         "passing_signals", "B3", lambda t: rounded(pr.passing(t.signals).select("run", "symbol", "source", "strength", "confidence")),

@@ -33,6 +33,14 @@ def passing(signals: DataFrame, p: RouterParams = RouterParams()) -> DataFrame:
     return signals.filter((F.col("confidence") >= p.min_confidence) & (F.col("strength") >= p.min_strength))
 
 
+def signals_of(signals: DataFrame, types: Sequence[str] = (), symbols: Sequence[str] = ()) -> DataFrame:
+    """Signals of some types and some symbols; an empty list lets all pass.  Both reach the scan as filters."""
+    for column, wanted in (("signal_type", types), ("symbol", symbols)):
+        if wanted:
+            signals = signals.filter(F.col(column).isin(*wanted))
+    return signals
+
+
 def resolve(
     signals: DataFrame, weights: dict[str, float], p: RouterParams = RouterParams(), run: Sequence[str] = ()
 ) -> DataFrame:
