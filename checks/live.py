@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from sentifold.operators.durable import shared_folder
 from sentifold.operators.series import with_return
 from sentifold.params import RouterParams
+from sentifold.plans import correlation, rules
 from sentifold.plans import routing as pr
-from sentifold.plans import rules
 from sentifold.sources.store import read_snapshot
 from sentifold.streaming import live
 
@@ -20,6 +20,23 @@ from .tables import SCHEMAS
 from .views import sql
 
 
+# Pairs of symbols whose returns of the latest days correlate; a day without a return counts as unchanged.
+PAIR_DAYS, PAIR_LIMIT = 250, 0.05
+PAIRED = {
+    **RETURNS,
+    "latest_days": f"SELECT DISTINCT day FROM bars ORDER BY day DESC LIMIT {PAIR_DAYS}",
+    "inside": "SELECT symbol, day, ret FROM returns JOIN latest_days USING (day) WHERE ret IS NOT NULL",
+    "filled": """SELECT e.symbol, e.day, coalesce(i.ret, 0) AS ret FROM (SELECT symbol, day FROM latest_days,
+      (SELECT symbol FROM inside GROUP BY symbol HAVING count(*) >= 20)) e LEFT JOIN inside i ON i.symbol = e.symbol AND i.day = e.day""",
+    "paired": f"""SELECT a.symbol AS symbol_a, b.symbol AS symbol_b, corr(a.ret, b.ret) AS c FROM filled a JOIN filled b
+      ON a.day = b.day AND a.symbol < b.symbol GROUP BY a.symbol, b.symbol HAVING corr(a.ret, b.ret) > {PAIR_LIMIT}""",
+}
+
+
+def _pairs(t):
+    return correlation.correlated_pairs(t.bars.select("symbol", "day", "close"), t.bars.select("symbol").distinct(), PAIR_LIMIT, PAIR_DAYS)
+
+
 def _folder(t) -> str:
     return f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
 
@@ -187,6 +204,22 @@ CASES = [
           SELECT symbol, ret, (sum(ret) OVER (PARTITION BY day) - ret) / nullif(count(*) OVER (PARTITION BY day) - 1, 0) AS others
           FROM returns WHERE ret IS NOT NULL) WHERE others IS NOT NULL GROUP BY symbol) WHERE n_days >= 20 AND c > -0.02""", **RETURNS),
     ),
+    Case(
+        "correlated_pairs", "S2", lambda t: rounded(_pairs(t), 5),
+        sql(f"SELECT symbol_a, symbol_b, {rq('c', 5)} AS correlation FROM paired", **PAIRED),
+    ),
+    Case(
+        "uncorrelated_symbols", "S2",
+        lambda t: rounded(correlation.uncorrelated(t.bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_bars")), _pairs(t), "n_bars")),
+        sql("""SELECT symbol, n_bars FROM candidates JOIN (WITH RECURSIVE walk AS (
+            SELECT 0 AS i, CAST([] AS VARCHAR[]) AS stay
+            UNION ALL SELECT i + 1, CASE WHEN list_has_any(stay, partners) THEN stay ELSE list_append(stay, symbol) END
+            FROM walk JOIN candidates ON place = i + 1)
+          SELECT unnest(stay) AS symbol FROM (SELECT stay FROM walk ORDER BY i DESC LIMIT 1)) USING (symbol)""", **PAIRED,
+            candidates="""SELECT symbol, n_bars, row_number() OVER (ORDER BY n_bars DESC, symbol) AS place, coalesce(partners, CAST([] AS VARCHAR[])) AS partners
+              FROM (SELECT symbol, count(*) AS n_bars FROM bars GROUP BY symbol) LEFT JOIN (SELECT symbol, list(other) AS partners FROM (
+                SELECT symbol_a AS symbol, symbol_b AS other FROM paired UNION ALL SELECT symbol_b, symbol_a FROM paired) GROUP BY symbol) USING (symbol)"""),
+    ),
     Case(
         "liquid_bars", "S3",
         lambda t: rounded(rules.liquid(t.bars, 60000.0).select("symbol", "day", "turnover"), 4),
