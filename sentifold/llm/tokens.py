@@ -13,10 +13,14 @@ import numpy as np
 
 # Chunks kept per generation (of two) and process: some two hundred bytes each.
 KEPT = 600_000
+# Unknown chunks encoded as one text.
+TOGETHER = 200
 
 _CHUNKS = re.compile(r"\s*\S+|\s+")
 # Where a cut before a single space would fall inside white space.
 _SPACES = re.compile(r"\s ")
+# What may not be told from the line end between chunks.
+_LINE_ENDS = re.compile(r"[\r\n]")
 # White space to Python but not to the tokenizer.
 _CONTROLS = re.compile("[\x1c-\x1f]")
 
@@ -30,6 +34,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = literal
+        line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_end = line_end[0] if len(line_end) == 1 else None
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -37,13 +43,38 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
+    def _encoded_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Chunks without line ends are encoded many at a time, a line end between them; its id parts them again.
+
+        A group that has not one such id per gap (a tokenizer may join it with what stands before) is encoded chunk by chunk.
+        """
+        out: dict[str, bytes] = {}
+        alone = [c for c in chunks if not c or _LINE_ENDS.search(c)] if self.line_end is not None else chunks
+        if len(alone) < len(chunks):
+            apart = set(alone)
+            together = [c for c in chunks if c not in apart]
+            groups = [together[i : i + TOGETHER] for i in range(0, len(together), TOGETHER)]
+            found = self.tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False)
+            for group, x in zip(groups, found, strict=True):
+                ids = np.array(x.ids, dtype="<u4")
+                gaps = np.flatnonzero(ids == self.line_end)
+                if len(gaps) != len(group) - 1:
+                    alone += group
+                    continue
+                raw = ids.tobytes()
+                begins = [0, *(4 * gaps + 4).tolist()]
+                ends = [*(4 * gaps).tolist(), len(raw)]
+                out.update(zip(group, [raw[a:b] for a, b in zip(begins, ends, strict=True)], strict=True))
+        out.update(zip(alone, self._encoded(alone), strict=True))
+        return [out[c] for c in chunks]
+
     def _learn(self, chunks: set[str]) -> None:
         if len(self.new) + len(chunks) > KEPT:
             self.old, self.new = self.new, {}
         again = {c: self.old[c] for c in chunks if c in self.old}
         self.new.update(again)
         rest = [c for c in chunks if c not in again]
-        self.new.update(zip(rest, self._encoded(rest), strict=True))
+        self.new.update(zip(rest, self._encoded_chunks(rest), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = []
