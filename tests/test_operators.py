@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sentifold.operators import ledger, segments
+from sentifold.operators import ledger, median, segments
 from sentifold.operators.asof import asof_join
 from sentifold.operators.blend import composite, total_score
 from sentifold.operators.cooldown import NEVER, _chain_ends, _handed_down, _joined, _summary, _walk, accept_after_cooldown
@@ -182,6 +182,25 @@ def test_exact_medians(spark, limit):
     assert got == {k: (median(r[1] for r in rows if r[0] == k), median(r[2] for r in rows if r[0] == k)) for k in "ab"}
 
 
+@pytest.mark.parametrize("accuracy, margin", [(10_000, 5), (200, 4), (3, 0)], ids=["fine", "coarse", "missing"])
+def test_bracketed_medians(spark, accuracy, margin):
+    """A hot group, ties, a NULL key, NaN, an empty column; the last bracket holds hardly any middle and is proved wrong."""
+    rnd = random.Random(9)
+    rows = [("hot", rnd.gauss(0, 1e3), 4.0) for _ in range(6001)] + [("even", float(i), float(i % 3)) for i in range(800)]
+    rows += [(None, float(i * i), None) for i in range(501)] + [("nan", x, None) for x in (1.0, float("nan"), 2.0)] + [("none", None, None)]
+    df = spark.createDataFrame(rows, "k string, x double, y double").repartition(7)
+    got = {r.k: (r.x, r.y) for r in exact_medians(df, "k", ["x", "y"], 400, accuracy, margin).collect()}
+    hot = sorted(r[1] for r in rows if r[0] == "hot")
+    assert got == {"hot": (hot[3000], 4.0), "even": (399.5, 1.0), None: (62500.0, None), "nan": (2.0, None)}
+
+
+def test_medians_order_the_bracket_only(spark):
+    df = spark.range(50_000).select(F.lit("hot").alias("k"), F.rand(3).alias("x"))
+    inside = median._bracketed(df.select("k", F.lit("x").alias("_name"), F.col("x").alias("_v")), ["k", "_name"], 10_000, 5)
+    sizes = {r["_side"]: r["n"] for r in median._counted(inside, ["k", "_name"]).groupBy("_side").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert sizes[-1] == sizes[1] == 1 and 1 < sizes[0] < 200
+
+
 @LIMITS
 def test_asof(spark, limit):
     left = [("a", i * 10, i) for i in range(1, 40)] + [("b", 5, 0)]
