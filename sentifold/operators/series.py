@@ -23,7 +23,13 @@ def _rows(keys: Sequence[str], order: Sequence[str], first: int, last: int):
 
 
 def with_ema(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, alpha: float, out: str = "ema"
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: str,
+    alpha: float,
+    out: str = "ema",
+    position: str | None = None,
 ) -> DataFrame:
     """Exponential moving average seeded by the first value.
 
@@ -31,27 +37,38 @@ def with_ema(
     (b = 1 - alpha), so each row costs one addition.  The block length makes b^block = e^-300:
     the scaled terms stay far from overflow, and what a block inherits from two blocks back is
     below any double's precision, hence the carry is just the end of the block before.
+
+    With ``position``, a column that numbers the rows of a key from 0, no window spans more than a block (300 / alpha rows):
+    a block's end meets the next block by a join, so a key may have any size.  Both ways add the same terms in the same order.
     """
     if alpha >= 1:
         return df.withColumn(out, F.col(value))
     b = 1.0 - alpha
     block = max(1, int(300 / -math.log(b)))
-    w = Window.partitionBy(*keys).orderBy(*order)
-    numbered = df.withColumn("_pos", (F.row_number().over(w) - 1).cast("long"))
+    row = F.col(position) if position else F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    numbered = df.withColumn("_pos", row.cast("long"))
     i = F.col("_pos") % block
+    at = F.floor(F.col("_pos") / block)
     weight = F.when(F.col("_pos") == 0, 1.0).otherwise(alpha)
-    inside = (
-        Window.partitionBy(*keys, "_block").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    before = Window.partitionBy(*keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
-    ends = F.when(i == block - 1, F.col("_local"))
-    return (
-        numbered.withColumn("_block", F.floor(F.col("_pos") / block))
-        .withColumn("_local", F.pow(F.lit(b), i) * F.sum(F.col(value) * weight * F.pow(F.lit(b), -i)).over(inside))
-        .withColumn("_carry", F.last(ends, ignorenulls=True).over(before))
-        .withColumn(out, F.col("_local") + F.coalesce(F.col("_carry") * F.pow(F.lit(b), i + 1), F.lit(0.0)))
-        .drop("_pos", "_block", "_local", "_carry")
-    )
+    term = F.col(value) * weight * F.pow(F.lit(b), -i)
+    running = Window.orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if position:
+        # A struct is never NULL, so a NULL key joins like any other.
+        blocks = numbered.withColumn("_block", F.struct(*keys, at.alias("_at")))
+        local = blocks.withColumn("_local", F.pow(F.lit(b), i) * F.sum(term).over(running.partitionBy("_block")))
+        following = F.struct(*(F.col(f"_block.{k}") for k in keys), (F.col("_block._at") + 1).alias("_at"))
+        ends = local.filter(i == block - 1).select(following.alias("_block"), F.col("_local").alias("_carry"))
+        carried = local.join(ends, "_block", "left")
+    else:
+        before = Window.partitionBy(*keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+        ends = F.when(i == block - 1, F.col("_local"))
+        carried = (
+            numbered.withColumn("_block", at)
+            .withColumn("_local", F.pow(F.lit(b), i) * F.sum(term).over(running.partitionBy(*keys, "_block")))
+            .withColumn("_carry", F.last(ends, ignorenulls=True).over(before))
+        )
+    inherited = F.coalesce(F.col("_carry") * F.pow(F.lit(b), i + 1), F.lit(0.0))
+    return carried.withColumn(out, F.col("_local") + inherited).drop("_pos", "_block", "_local", "_carry")
 
 
 def with_change(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str = "roc") -> DataFrame:

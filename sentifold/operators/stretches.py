@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
@@ -14,11 +13,6 @@ POSITION = "position"
 _STRETCH, _HOME = "_stretch", "_home"
 
 
-def ema_look_back(alpha: float) -> int:
-    """Rows after which an exponential average has forgotten its start (weight below e^-40)."""
-    return 1 if alpha >= 1 else math.ceil(40 / -math.log(1 - alpha))
-
-
 def in_stretches(
     df: DataFrame,
     keys: Sequence[str],
@@ -26,6 +20,7 @@ def in_stretches(
     back: int,
     work: Callable[[DataFrame, list[str]], DataFrame],
     limit: int | None = None,
+    first: Callable[[DataFrame, list[str]], DataFrame] | None = None,
 ) -> DataFrame:
     """Apply ``work(rows, keys)``, whose results look at most ``back`` rows behind each row.
 
@@ -33,9 +28,14 @@ def in_stretches(
     equal length by the exact position of its rows, the last ``back`` rows of a stretch are handed
     to the next one as well, ``work`` runs per stretch, and those extra rows are dropped again.
     ``work`` sees the position of a row within its key as ``position``.
+
+    ``first(rows, keys)`` comes before the cut, for columns that look back on a whole key; it is given the positions and must
+    itself hold no whole key in a task.
     """
     rows = ordered(df, keys, order, limit)
     placed = positions(rows, POSITION).rows()
+    if first is not None:
+        placed = first(placed, list(keys))
     if not rows.split:
         return work(placed, list(keys)).drop(POSITION)
     size = max(ROWS_PER_TASK if limit is None else limit, 4 * back)

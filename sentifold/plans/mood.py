@@ -11,7 +11,7 @@ from ..functions.mood import mood_flags, mood_label
 from ..operators.blend import composite, total_score
 from ..operators.latest import latest
 from ..operators.series import with_change, with_ema, with_extreme, with_prior_zscore, with_rolling_stats
-from ..operators.stretches import POSITION, ema_look_back, in_stretches
+from ..operators.stretches import POSITION, in_stretches
 from ..params import SOURCE_WEIGHTS, MoodParams
 from ..sources.store import append_raw, pack_raw, upsert_composite
 
@@ -35,8 +35,14 @@ def follow(
     total: DataFrame, keys: Sequence[str], order: Sequence[str], p: MoodParams = MoodParams(), position: str | None = None
 ) -> DataFrame:
     """Average, change, rolling statistics, extreme test, label and flags of a column ``total``."""
-    s = with_ema(total, keys, order, "total", p.alpha)
-    s = with_change(s, keys, order, "ema")
+    return _after_average(with_ema(total, keys, order, "total", p.alpha), keys, order, p, position)
+
+
+def _after_average(
+    smooth: DataFrame, keys: Sequence[str], order: Sequence[str], p: MoodParams, position: str | None = None
+) -> DataFrame:
+    """What follows from the last ``stats_rows`` values of a column ``ema``."""
+    s = with_change(smooth, keys, order, "ema")
     s = with_rolling_stats(s, keys, order, "ema", p.stats_rows)
     s = with_prior_zscore(s, keys, order, "ema", p.stats_rows, p.min_std)
     s = with_extreme(s, keys, order, "ema", p, position)
@@ -61,10 +67,14 @@ def mood_by_observation(
     p: MoodParams = MoodParams(),
     limit: int | None = None,
 ) -> DataFrame:
-    """The same for every single score (symbol, ..., total), however many a symbol has."""
-    back = ema_look_back(p.alpha) + p.stats_rows
-    work = lambda df, keys: follow(df, keys, list(order), p, POSITION)
-    return in_stretches(scores, ["symbol"], order, back, work, limit)
+    """The same for every single score (symbol, ..., total), however many a symbol has.
+
+    The average is carried from block to block over the whole key, the rest looks back on a few rows, so the numbers
+    do not depend on where a large key is cut.
+    """
+    average = lambda df, keys: with_ema(df, keys, list(order), "total", p.alpha, position=POSITION)
+    work = lambda df, keys: _after_average(df, keys, list(order), p, POSITION)
+    return in_stretches(scores, ["symbol"], order, p.stats_rows, work, limit, average)
 
 
 def mood_state(series: DataFrame, step: str = "day") -> DataFrame:

@@ -23,7 +23,7 @@ from sentifold.operators.series import (
     with_return_zscore,
     with_trend,
 )
-from sentifold.params import SOURCE_WEIGHTS
+from sentifold.params import SOURCE_WEIGHTS, MoodParams
 from sentifold.plans.mood import follow, mood_by_observation
 
 LIMITS = pytest.mark.parametrize("limit", [None, 50], ids=["whole", "split"])
@@ -291,18 +291,33 @@ def test_ema_is_the_recursion(spark, alpha):
     assert got[0] == values[0] and worst < 1e-11
 
 
+@pytest.mark.parametrize("alpha", [0.2, 0.9])
 @pytest.mark.parametrize("limit", [None, 300], ids=["whole", "split"])
-def test_series_in_stretches(spark, limit):
+def test_series_in_stretches(spark, limit, alpha):
+    """Cut or not, a key has the very same numbers: nothing restarts at a cut."""
     rnd = random.Random(1)
+    p = MoodParams(alpha=alpha)
     rows = [(k, i, rnd.uniform(-5, 5)) for k, n in (("hot", 3000), ("a", 20)) for i in range(n)]
     df = spark.createDataFrame(rows, "symbol string, n int, total double")
-    got = {(r.symbol, r.n): r for r in mood_by_observation(df, ["n"], limit=limit).collect()}
-    want = {(r.symbol, r.n): r for r in follow(df, ["symbol"], ["n"]).collect()}
+    got = {(r.symbol, r.n): r for r in mood_by_observation(df, ["n"], p, limit).collect()}
+    want = {(r.symbol, r.n): r for r in follow(df, ["symbol"], ["n"], p).collect()}
     assert got.keys() == want.keys()
     for k, w in want.items():
-        g = got[k]
-        assert (g.rows_seen, g.is_extreme, g.label) == (w.rows_seen, w.is_extreme, w.label)
-        assert [g.ema, g.roc, g["mean"], g["std"], g.z_score] == pytest.approx([w.ema, w.roc, w["mean"], w["std"], w.z_score], abs=1e-9)
+        assert got[k].asDict() == w.asDict()
+
+
+def test_ema_forgets_nothing_at_a_cut(spark):
+    """A slow average over a key of many cuts still shows its first value, as the recursion does; a NULL key too."""
+    alpha, n = 0.002, 4000
+    for k in ("hot", None):
+        df = spark.createDataFrame([(k, i, 1e9 if i == 0 else 0.0) for i in range(n)], "symbol string, n int, total double")
+        numbered = df.withColumn("at", F.col("n").cast("bigint"))
+        got = [r.ema for r in with_ema(numbered, ["symbol"], ["n"], "total", alpha, position="at").orderBy("n").collect()]
+        assert got == pytest.approx([1e9 * (1 - alpha) ** i for i in range(n)], rel=1e-9)
+    fast = [(k, i, 1e9 if i == 0 else 0.0) for k in ("hot", None) for i in range(1000)]
+    df = spark.createDataFrame(fast, "symbol string, at bigint, total double")
+    for r in with_ema(df, ["symbol"], ["at"], "total", 0.5, position="at").filter("at < 800").collect():
+        assert r.ema == pytest.approx(1e9 * 0.5**r["at"], rel=1e-9)  # blocks of 432 rows
 
 
 def test_ema_known(spark):
