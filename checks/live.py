@@ -171,6 +171,11 @@ CASES = [
         lambda t: rounded(_drain(t, live.unique_bars(_prices(t).select("symbol", "ts"))).select("symbol", "ts")),
         sql(f"SELECT DISTINCT symbol, {stamp()} AS ts FROM fills"),
     ),
+    Case(
+        "stream_bars_of_symbols", "I3",
+        lambda t: rounded(_drain(t, live.unique_bars_of_symbols(_prices(t).select("symbol", "ts"))).select("symbol", "ts")),
+        sql(f"SELECT DISTINCT symbol, {stamp()} AS ts FROM fills"),
+    ),
     Case(
         "stream_stop_loss", "I4",
         lambda t: rounded(_drain(t, live.live_stop_loss(_prices(t), t.positions)).select("symbol", "l_orderkey", "l_linenumber", "price"), 9),

@@ -18,6 +18,7 @@ from ..operators.latest import latest
 from ..params import MoodParams, RiskParams
 from ..sources.store import merge_newest, read_snapshot, write_snapshot
 from .held import cooled, in_turn, moods
+from .seen import SPAN_DAYS, first_of_each_time
 
 MOOD_OUT = (
     "symbol string, ts timestamp, tie bigint, total double, ema double, roc double, rows_seen bigint, "
@@ -56,7 +57,7 @@ def replay_bars(
 def unique_bars(bars: DataFrame, ts: str = "ts", late: str | None = None, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """The first of each bar, whenever it comes.
 
-    The state keeps every key.  With ``late`` it forgets keys that the watermark has passed, and then bars later than
+    The state keeps every key (``unique_bars_of_symbols`` keeps them in far less room).  With ``late`` it forgets keys that the watermark has passed, and then bars later than
     that are lost: a choice of the caller.
     """
     if late is None:
@@ -64,6 +65,13 @@ def unique_bars(bars: DataFrame, ts: str = "ts", late: str | None = None, keys:
     return bars.withWatermark(ts, late).dropDuplicatesWithinWatermark([*keys, ts])
 
 
+def unique_bars_of_symbols(
+    bars: DataFrame, ts: str = "ts", keys: Sequence[str] = ("symbol",), span_days: int = SPAN_DAYS, forget_days: int | None = None
+) -> DataFrame:
+    """As ``unique_bars`` without a watermark, for long streams: state grows by symbols and spans of days, not by bars (see ``seen``)."""
+    return first_of_each_time(bars, keys, ts, span_days, forget_days)
+
+
 def live_stop_loss(prices: DataFrame, positions: DataFrame, p: RiskParams = RiskParams()) -> DataFrame:
     """Each new price (symbol, ts, price) against the held positions: a stream-static join."""
     held = positions.filter("quantity <> 0").select("symbol", "quantity", "avg_cost")

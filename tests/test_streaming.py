@@ -2,14 +2,18 @@
 
 import datetime as dt
 import random
+from decimal import Decimal
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sentifold.operators.cooldown import accept_after_cooldown
 from sentifold.operators.series import with_ema
 from sentifold.sources.store import read_snapshot
-from sentifold.streaming import live
+from sentifold.streaming import live, seen
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -158,3 +162,37 @@ def test_shuffled_within_the_hold_cooldown(spark, tmp_path):
     got = live.drain(live.live_cooldown(stream, 45, 55), f"{tmp_path}/out", f"{tmp_path}/state").collect()
     want = accept_after_cooldown(spark.createDataFrame(rows, SCORES), ["symbol"], "ts", ["tie"], 45).filter("accepted")
     assert {r.tie for r in got} == {r.tie for r in want.collect()}
+
+
+@given(st.sets(st.integers(-(2**50), 2**50), min_size=1, max_size=40), st.integers(1, 10**9), st.integers(0, 300))
+@settings(max_examples=60, deadline=None)
+def test_times_as_runs(loose, step, n):
+    times = np.array(sorted(loose | {step * i for i in range(n)}), np.int64)
+    assert (seen.unpacked(seen.packed(times)) == times).all()
+
+
+def test_even_times_take_little_room():
+    minutes = np.concatenate([d * seen.DAY_US + 60_000_000 * np.arange(240) for d in range(250)])
+    assert len(seen.packed(minutes)) < 250 * 40 < len(minutes)
+
+
+def test_first_of_each_time(spark, tmp_path):
+    """Repeats within a file, in the next and in the last; NULLs, NaN, long numbers and microseconds come out whole."""
+    schema = "symbol string, ts timestamp, price double, volume long, paid decimal(20,4), day date, `_from here` array<int>"
+    rnd = random.Random(8)
+    us = lambda k: T0 + dt.timedelta(days=k * 9, microseconds=k % 3)
+    values = {}
+    for s in ("a", "b", None):
+        for k in [*range(90), None]:
+            whole = (rnd.choice([None, 0.1, float("inf"), float("nan")]), rnd.choice([None, 2**62 + 1]), rnd.choice([None, Decimal("1234567890123456.7891")]))
+            values[s, None if k is None else us(k)] = (s, None if k is None else us(k), *whole, T0.date(), [1, 2])
+    rows = list(values.values())
+    landed_rows = rnd.sample(rows, 150) + rows + rnd.sample(rows, 150)
+    stream = landed(spark, f"{tmp_path}/in", landed_rows, schema, 5)
+    got = live.drain(live.unique_bars_of_symbols(stream, span_days=365), f"{tmp_path}/out", f"{tmp_path}/state")
+    assert got.schema.simpleString() == spark.createDataFrame([], schema).schema.simpleString()
+    text = lambda r: (*map(repr, r),)  # noqa: E731  (NaN equals nothing)
+    assert sorted(map(text, got.collect())) == sorted(map(text, rows))
+    state = spark.read.format("statestore").option("path", f"{tmp_path}/state").option("stateVarName", "seen").load()
+    years = {None if t is None else (t - dt.datetime(1970, 1, 1)).days // 365 for _, t in values}
+    assert state.count() == 3 * len(years) < 20  # a row per symbol and span, for 273 bars
