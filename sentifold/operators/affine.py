@@ -67,6 +67,8 @@ def affine_scan(
         starts = affine_scan(last, keys, number, "_a", "_b", "_start", -(-largest // stretch), stretch)
         rows = cut.join(starts.select(*parts, "_start"), parts)
     schema = ", ".join(f"`{n}` {k}" for n, k in rows.dtypes if n != "_start") + f", `{out}` double"
-    placed = rows.repartition(*parts).sortWithinPartitions(*parts, idx)
+    # By a hash of the parts: after a join on the parts themselves the shuffle would be left out as redundant, and adaptive
+    # execution, to which the walk states no requirement, could then deal the rows of one part to several tasks.
+    placed = rows.withColumn("_home", F.xxhash64(*parts)).repartition("_home").sortWithinPartitions(*parts, idx).drop("_home")
     walked = placed.mapInPandas(_walk(parts, a, b, out, "_start"), schema)
     return walked.drop(*parts[len(keys) :])
