@@ -65,14 +65,15 @@ def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int
     """Order rows by ``order`` inside each key, spreading them by range when a key exceeds ``limit``.
 
     Spread rows are written once: range bounds come from a sample, so two evaluations could cut the
-    rows differently, and every later step must see the same cut.
+    rows differently, and every later step must see the same cut.  Their number of partitions follows what a task
+    can hold, not ``limit``: the sample for the bounds and the tasks' reports, which reach the driver, grow with it.
     """
     keys, order = tuple(keys), tuple(order)
     limit = ROWS_PER_TASK if limit is None else limit
     largest, total = group_sizes(df, keys)
     if largest <= limit:
         return Ordered(df, keys, order, largest, total, False)
-    parts = max(-(-total // limit), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(-(-total // max(limit, ROWS_PER_TASK)), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     spread = df.repartitionByRange(parts, *keys, *order).withColumn(SEGMENT, F.spark_partition_id())
     return Ordered(durable(spread), keys, order, largest, total, True)
 

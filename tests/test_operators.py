@@ -420,3 +420,9 @@ def test_weighted_zscores_far_from_zero(spark):
         mean = sum(w * x for w, x in zip(weight, seen))
         var = sum(w * (x - mean) ** 2 for w, x in zip(weight, seen))
         assert got[i] == pytest.approx((seen[-1] - mean) / var**0.5, rel=1e-3)
+
+
+def test_partitions_follow_what_a_task_holds(spark):
+    """A low limit spreads keys; it does not multiply tasks and samples."""
+    cut = segments.ordered(spark.createDataFrame(fills(hot=4000), FILL_SCHEMA), ["symbol"], ["n"], 10)
+    assert cut.split and cut.df.select(segments.SEGMENT).distinct().count() <= 8
