@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sentifold.operators.cooldown import accept_after_cooldown
 from sentifold.operators.series import with_ema
 from sentifold.sources.store import read_snapshot
-from sentifold.streaming import live, seen
+from sentifold.streaming import buckets, live, seen
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -196,3 +196,30 @@ def test_first_of_each_time(spark, tmp_path):
     state = spark.read.format("statestore").option("path", f"{tmp_path}/state").option("stateVarName", "seen").load()
     years = {None if t is None else (t - dt.datetime(1970, 1, 1)).days // 365 for _, t in values}
     assert state.count() == 3 * len(years) < 20  # a row per symbol and span, for 273 bars
+
+
+def test_state_is_kept_per_bucket(spark, tmp_path):
+    """Many symbols are a state row per bucket, and a symbol is the same one in the next batch and after a restart."""
+    rnd = random.Random(6)
+    rows = [(f"s{rnd.randrange(400)}", T0 + dt.timedelta(minutes=i), i, rnd.uniform(-5, 5)) for i in range(2000)]
+    want = {r.tie: r.ema for r in with_ema(spark.createDataFrame(rows, SCORES), ["symbol"], ["ts", "tie"], "total", 0.2).collect()}
+    landed(spark, f"{tmp_path}/in", rows[:1200], SCORES, 2)
+    read = lambda: spark.readStream.schema(SCORES).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    live.drain(live.live_mood(read()), f"{tmp_path}/out", f"{tmp_path}/state")
+    landed(spark, f"{tmp_path}/in", rows[1200:], SCORES, 2)
+    got = live.drain(live.live_mood(read()), f"{tmp_path}/out", f"{tmp_path}/state").collect()
+    assert {r.tie: r.ema for r in got} == {k: pytest.approx(v) for k, v in want.items()}
+    state = spark.read.format("statestore").option("path", f"{tmp_path}/state").option("stateVarName", "symbols").load()
+    assert 0 < state.count() <= buckets.BUCKETS < len({r[0] for r in rows})
+
+
+def test_scores_without_symbol_time_or_tie(spark, tmp_path):
+    minute = lambda m: T0 + dt.timedelta(minutes=m)
+    rows = [(None, minute(0), 1, 1.0), ("a", minute(0), 2, 2.0), ("a", None, 3, 3.0), (None, minute(1), 4, 3.0), ("a", minute(1), None, 4.0), ("a", minute(1), 5, None), ("b", minute(9), 6, 0.0)]
+    stream = landed(spark, f"{tmp_path}/in", rows, SCORES, files=3)
+    out = live.drain(live.live_mood(stream), f"{tmp_path}/out", f"{tmp_path}/state").collect()
+    assert {(r.symbol, r.tie, r.rows_seen, r.late) for r in out} == {
+        (None, 1, 1, False), (None, 4, 2, False), ("a", 2, 1, False), ("a", 3, None, True), ("a", None, 2, False), ("a", 5, 3, False), ("b", 6, 1, False),
+    }
+    ema = {r.tie: r.ema for r in out}
+    assert (ema[4], ema[None], ema[5]) == (pytest.approx(1.4), pytest.approx(2.4), pytest.approx(2.4))
