@@ -213,6 +213,15 @@ def test_state_is_kept_per_bucket(spark, tmp_path):
     assert 0 < state.count() <= buckets.BUCKETS < len({r[0] for r in rows})
 
 
+def test_seen_bars_are_kept_per_bucket(spark, tmp_path):
+    rows = [(f"s{i % 400}", T0 + dt.timedelta(days=i // 800)) for i in range(1600)]
+    stream = landed(spark, f"{tmp_path}/in", rows, "symbol string, ts timestamp", 2)
+    got = live.drain(live.unique_bars_of_symbols(stream), f"{tmp_path}/out", f"{tmp_path}/state").collect()
+    assert sorted((r.symbol, r.ts) for r in got) == sorted(set(rows))
+    state = spark.read.format("statestore").option("path", f"{tmp_path}/state").option("stateVarName", "seen").load()
+    assert 0 < state.count() <= buckets.BUCKETS < 400
+
+
 def test_scores_without_symbol_time_or_tie(spark, tmp_path):
     minute = lambda m: T0 + dt.timedelta(minutes=m)
     rows = [(None, minute(0), 1, 1.0), ("a", minute(0), 2, 2.0), ("a", None, 3, 3.0), (None, minute(1), 4, 3.0), ("a", minute(1), None, 4.0), ("a", minute(1), 5, None), ("b", minute(9), 6, 0.0)]
@@ -223,3 +232,12 @@ def test_scores_without_symbol_time_or_tie(spark, tmp_path):
     }
     ema = {r.tie: r.ema for r in out}
     assert (ema[4], ema[None], ema[5]) == (pytest.approx(1.4), pytest.approx(2.4), pytest.approx(2.4))
+
+
+def test_bars_forgotten_by_the_clock():
+    span = seen._Span(None, 1000, 50)
+    assert span.add(np.array(["a", "b", "a"], object), np.array([5, 5, 5])).tolist() == [0, 1]
+    span = seen._Span((span.stored(),), 1049, 50)
+    assert span.add(np.array(["a", None], object), np.array([6, 6])).tolist() == [0, 1]
+    span = seen._Span((span.stored(),), 1050, 50)  # nothing of b was added for 50 ms
+    assert span.add(np.array(["b", "a", None, "a"], object), np.array([5, 5, 6, 6])).tolist() == [0]
