@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sentifold.operators.cooldown import accept_after_cooldown
 from sentifold.operators.series import with_ema
 from sentifold.sources.store import read_snapshot
-from sentifold.streaming import buckets, live, seen
+from sentifold.streaming import buckets, held, live, seen
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -241,3 +241,10 @@ def test_bars_forgotten_by_the_clock():
     assert span.add(np.array(["a", None], object), np.array([6, 6])).tolist() == [0, 1]
     span = seen._Span((span.stored(),), 1050, 50)  # nothing of b was added for 50 ms
     assert span.add(np.array(["b", "a", None, "a"], object), np.array([5, 5, 6, 6])).tolist() == [0]
+
+
+def test_state_of_unique_bars_is_not_copied_in_memory(spark, tmp_path):
+    spark.conf.unset(held.PROVIDER)
+    stream = landed(spark, f"{tmp_path}/in", [("a", T0), ("a", T0)], "symbol string, ts timestamp", 2)
+    assert live.drain(live.unique_bars(stream), f"{tmp_path}/out", f"{tmp_path}/state").count() == 1
+    assert spark.conf.get(held.PROVIDER) == held.ROCKSDB
