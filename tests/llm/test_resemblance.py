@@ -78,3 +78,13 @@ def test_recall_at_the_threshold():
 
 def test_empty_table(spark):
     assert resemblance.one_of_each(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_links_by_fingerprint_alone(spark):
+    """Texts that share no key but lie within three bits are verified; unlike ones are not linked, however near their fingerprints."""
+    words = ["w%d" % i for i in range(300)]
+    texts = [words, [*words[:-1], "other"], ["x%d" % i for i in range(300)], words[:100], words]
+    fps = [0b1011, 0b0001, 0b1010, 0b1011, 1 << 40 | 0b111111]
+    docs = spark.createDataFrame([(n, " ".join(t).encode()) for n, t in enumerate(texts)], "row long, text binary")
+    sets = spark.createDataFrame([(n, fp, [100 * n + k for k in range(32)]) for n, fp in enumerate(fps)], "row long, fp long, keys array<long>")
+    assert {tuple(sorted(r)) for r in resemblance.links(sets, docs).collect()} == {(0, 1)}
